@@ -1,0 +1,38 @@
+import random
+
+from pyspark.sql import functions as F
+
+from tests.llm import brute
+from tidewatch.llm import pii
+
+
+def odd_texts():
+    rng = random.Random(8)
+    bits = ["a.b@c.d", "@", "x@y", "a@b.c_d@e.f", "1.2.3.4", "1.2.3.4.5.6.7.8", "256.1.1.1", "001.02.3.255", "4111 1111 1111 1111", "4111-1111-1111-1112", "12", "1 2 3 4 5 6 7 8 9 0 1 2 3", "5500005555555559", "+1 (555) 123-4567", "+1", "+", "é", "\n", " ", "-", "+49.30.12345678 9", "token", "99999999999999999999", "😀", "a@b.com", "..", "x"]
+    texts = ["", None, "a" * 30000 + "@" + "b." * 20000 + "c", "1" * 50000, "1-" * 20000, "+" + "1" * 10000 + "(" * 10000]
+    for _ in range(400):
+        texts.append("".join(rng.choice(bits) + rng.choice(["", " ", " ", "-", "."]) for _ in range(rng.randrange(1, 14))))
+    return texts
+
+
+def test_base_spans_equal_brute_force(spark):
+    texts = odd_texts() + [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect()]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in pii.find_spans(docs).select("doc_id", "text", pii.span_text(F.col("base_spans")).alias("base"), "spans").collect():
+        assert r.base == ",".join(brute.pii_base(r.text)), r.text
+        for s in r.spans:
+            assert r.text[s.start : s.end] == s.body
+    assert pii.find_spans(docs.where("false")).count() == 0
+
+
+def test_candidates_and_redaction(spark):
+    rows = [(0, 'x password=b7db7aa4a5fcc78305 y'), (1, 'my token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff" z'), (2, "ssn: 123-45-6789."), (3, "ed 1234567 in v12 words"), (4, "mail a@b.co and jo (at) host (dot) org"), (5, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = {r.doc_id: [(s.kind, s.body) for s in r.spans] for r in pii.find_spans(docs).collect()}
+    assert out[0] == [("secret", "b7db7aa4a5fcc78305")]
+    assert out[1] == [("secret", "24be64439e3e49cf46b2d7c90f3602a3d0b907ff")]
+    assert out[2] == [("ssn", "123-45-6789")] and out[3] == [] and out[5] == []
+    assert [k for k, _ in out[4]] == ["email", "spelt_email"]
+    red = {r.doc_id: r.text for r in pii.redact(docs).collect()}
+    assert red[0] == "x password=[SECRET] y" and red[3] == rows[3][1] and red[5] is None
+    assert red[4] == "mail [EMAIL] and [SPELT_EMAIL]"

@@ -76,56 +76,80 @@ def fertility(ids: np.ndarray, n_chars: int, partial: np.ndarray) -> tuple[float
     return n_chars / len(ids), float(partial[ids].mean()), float(-(p * np.log2(p)).sum() / np.log2(max(2, len(ids))))
 
 
+COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+MEASURES = ["chars_per_token", "fallback_share", "entropy_share"]
+
+
+def _models(vocabularies: list) -> list[tuple[ByteBpe, np.ndarray]]:
+    """Each vocabulary with the ids that are no whole characters."""
+    models = []
+    for v in vocabularies:
+        bpe = ByteBpe(v.value[0], None, v.value[2])
+        partial = np.zeros(bpe.size + 1, bool)
+        for i in range(bpe.size - 1):
+            try:
+                bpe.fast.decode_single_token_bytes(i).decode()
+            except UnicodeDecodeError:
+                partial[i] = True
+            except KeyError:
+                pass
+        models.append((bpe, partial))
+    return models
+
+
+def _verdicts(texts: pa.Array, models: list, hasher: WordHasher, bands: dict, few_tokens: int) -> Iterator[tuple]:
+    """(first row, base counts, base_failed, kept, scripts, measures) of each slice of texts."""
+    for first, raw, offsets in text_slices(texts):
+        n = len(offsets) - 1
+        base = base_counts(raw, offsets, hasher)
+        failed = (base["n_words"] < 50) | (100 * base["n_repeat_words"] > 50 * base["n_words"])
+        kept, scripts, values = ~failed, [], np.full((3, n), np.nan)
+        for i in range(n):
+            text = texts[first + i].as_py() or ""
+            script = script_of(text)
+            scripts.append(script)
+            if failed[i]:
+                continue
+            low, high, fallback, least, most = bands.get(script, bands["other"])
+            kept[i] = False
+            for bpe, partial in models:
+                ids = np.array(bpe.ids(text), np.int64)
+                found = fertility(ids, len(text), partial)
+                if np.isnan(values[0, i]):
+                    values[:, i] = found
+                if len(ids) < few_tokens or (low <= found[0] <= high and found[1] <= fallback and least <= found[2] <= most):
+                    kept[i] = True
+                    break
+        yield first, base, failed, kept, scripts, values
+
+
 def fertility_rules(docs: DataFrame, vocabularies: list, id_col: str = "doc_id", text_col: str = "text", bands: dict = BANDS, few_tokens: int = FEW_TOKENS) -> DataFrame:
     """(id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, script, chars_per_token, fallback_share, entropy_share).
 
     base_failed: n_words < 50 or 100 n_repeat_words > 50 n_words. A text that passes is rejected if every vocabulary puts it outside
-    one of the bands of its script. A null text has no words and fails; rows are returned one for one, with repeated or null ids too.
-    An empty table gives an empty result; further columns play no part.
+    one of the bands of its script; measures are those of the first vocabulary, null where base_failed. A null text has no words and
+    fails; rows are returned one for one, with repeated or null ids too. An empty table gives an empty result; further columns play no part.
     """
-    counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-    measures = ["chars_per_token", "fallback_share", "entropy_share"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = WordHasher()
-        models = []
-        for v in vocabularies:
-            bpe = ByteBpe(v.value[0], None, v.value[2])
-            partial = np.zeros(bpe.size + 1, bool)
-            for i in range(bpe.size - 1):
-                try:
-                    bpe.fast.decode_single_token_bytes(i).decode()
-                except UnicodeDecodeError:
-                    partial[i] = True
-                except KeyError:
-                    pass
-            models.append((bpe, partial))
+        models, hasher = _models(vocabularies), WordHasher()
         for batch in batches:
-            texts = batch.column(1)
-            for first, raw, offsets in text_slices(texts):
-                n = len(offsets) - 1
-                base = base_counts(raw, offsets, hasher)
-                failed = (base["n_words"] < 50) | (100 * base["n_repeat_words"] > 50 * base["n_words"])
-                kept, scripts, values = ~failed, [], np.full((3, n), np.nan)
-                for i in range(n):
-                    text = texts[first + i].as_py() or ""
-                    script = script_of(text)
-                    scripts.append(script)
-                    if failed[i]:
-                        continue
-                    low, high, fallback, least, most = bands.get(script, bands["other"])
-                    fits = False
-                    for bpe, partial in models:
-                        ids = np.array(bpe.ids(text), np.int64)
-                        found = fertility(ids, len(text), partial)
-                        if np.isnan(values[0, i]):
-                            values[:, i] = found
-                        if len(ids) < few_tokens or (low <= found[0] <= high and found[1] <= fallback and least <= found[2] <= most):
-                            fits = True
-                            break
-                    kept[i] = fits
-                arrays = [batch.column(0).slice(first, n), *(pa.array(base[c].astype(np.int64)) for c in counts), pa.array(failed), pa.array(kept), pa.array(scripts), *(pa.array(v, from_pandas=True) for v in values)]
-                yield pa.RecordBatch.from_arrays(arrays, ["id", *counts, "base_failed", "kept", "script", *measures])
-
-    schema = "id long, " + ", ".join(f"{c} long" for c in counts) + ", base_failed boolean, kept boolean, script string, " + ", ".join(f"{c} double" for c in measures)
+            for first, base, failed, kept, scripts, values in _verdicts(batch.column(1), models, hasher, bands, few_tokens):
+                arrays = [batch.column(0).slice(first, len(kept)), *(pa.array(base[c].astype(np.int64)) for c in COUNTS), pa.array(failed), pa.array(kept), pa.array(scripts), *(pa.array(v, from_pandas=True) for v in values)]
+                yield pa.RecordBatch.from_arrays(arrays, ["id", *COUNTS, "base_failed", "kept", "script", *MEASURES])
+
+    schema = "id long, " + ", ".join(f"{c} long" for c in COUNTS) + ", base_failed boolean, kept boolean, script string, " + ", ".join(f"{c} double" for c in MEASURES)
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema).withColumnRenamed("id", id_col)
+
+
+def keep_fertile(docs: DataFrame, vocabularies: list, text_col: str = "text", bands: dict = BANDS, few_tokens: int = FEW_TOKENS) -> DataFrame:
+    """The rows of docs that fertility_rules keeps, with all their columns and without a shuffle."""
+    place = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        models, hasher = _models(vocabularies), WordHasher()
+        for batch in batches:
+            for first, _, _, kept, _, _ in _verdicts(batch.column(place), models, hasher, bands, few_tokens):
+                yield batch.slice(first, len(kept)).filter(pa.array(kept))
+
+    return docs.mapInArrow(run, docs.schema)

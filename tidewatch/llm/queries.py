@@ -5,11 +5,15 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import table
+from tidewatch.llm import pii
+from tidewatch.llm.ann import nearest
+from tidewatch.llm.common import materialize, table
+from tidewatch.llm.lang_id import identify
 from tidewatch.llm.line_dedup import dedup_lines
 from tidewatch.llm.ngram_join import jaccard_components
 from tidewatch.llm.packing import pack_by_curve, vocabulary
 from tidewatch.llm.quality import fertility_rules
+from tidewatch.llm.warc import read_bundles, write_bundles
 
 
 def bpe_vocabulary(spark, path=public_tokenizers.path):
@@ -24,6 +28,15 @@ def op1_ngram_jaccard_join(spark, sf_dir):
     return jaccard_components(table(spark, sf_dir, "documents"), size=5, percent=80)
 
 
+def op2_warc_bundles(spark, sf_dir):
+    bundles = materialize(write_bundles(table(spark, sf_dir, "pages"), min_bytes=100), "warc", "none")
+    return read_bundles(bundles).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op5_additive_quantisation(spark, sf_dir):
+    return nearest(table(spark, sf_dir, "embeddings"), every=50, k=5)
+
+
 def op6_quality_fertility(spark, sf_dir):
     return fertility_rules(table(spark, sf_dir, "documents"), rule_vocabularies(spark))
 
@@ -32,10 +45,21 @@ def op7_hilbert_packing(spark, sf_dir):
     return pack_by_curve(table(spark, sf_dir, "documents"), bpe_vocabulary(spark), length=2048)
 
 
+def op8_pii_boosting(spark, sf_dir):
+    found = pii.find_spans(table(spark, sf_dir, "documents"))
+    count = lambda kind: F.size(F.filter("base_spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    digest = F.sha2(F.encode(pii.span_text(F.col("base_spans")), "UTF-8"), 256)
+    return found.select("doc_id", *[count(k) for k in pii.BASE], digest.alias("base_sha256"), pii.span_text(F.col("spans")).alias("spans"))
+
+
 def op9_line_dedup(spark, sf_dir):
     out = dedup_lines(table(spark, sf_dir, "documents"), min_chars=20, min_docs=3)
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.encode("kept_text", "UTF-8"), 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op6_quality_fertility, op7_hilbert_packing, op9_line_dedup)}
+def op10_byte_gru_language(spark, sf_dir):
+    return identify(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_warc_bundles, op5_additive_quantisation, op6_quality_fertility, op7_hilbert_packing, op8_pii_boosting, op9_line_dedup, op10_byte_gru_language)}
 SQL: dict[str, str] = {}
