@@ -9,9 +9,11 @@ from tidewatch.llm import pii
 from tidewatch.llm.ann import nearest
 from tidewatch.llm.common import materialize, table
 from tidewatch.llm.lang_id import identify
+from tidewatch.llm.licences import scan_licences
 from tidewatch.llm.line_dedup import dedup_lines
 from tidewatch.llm.ngram_join import jaccard_components
 from tidewatch.llm.packing import pack_by_curve, vocabulary
+from tidewatch.llm.pieces import checksum, decode_ids, encode_texts, load_pieces
 from tidewatch.llm.quality import fertility_rules
 from tidewatch.llm.warc import read_bundles, write_bundles
 
@@ -33,6 +35,24 @@ def op2_warc_bundles(spark, sf_dir):
     return read_bundles(bundles).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def piece_vocabulary(spark, path=public_tokenizers.path):
+    return spark.sparkContext.broadcast(load_pieces(path("piece_bpe_32k.model"), "bpe"))
+
+
+def op3_sentencepiece(spark, sf_dir):
+    pieces = piece_vocabulary(spark)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("text_sha256", F.sha2(F.encode("text", "UTF-8"), 256))
+    encoded = checksum(encode_texts(docs, pieces)).drop("text")
+    decoded = F.sha2(F.encode("text", "UTF-8"), 256)
+    return decode_ids(encoded, pieces).select("doc_id", "n_ids", "ids_crc32", decoded.alias("decoded_sha256"), F.coalesce(decoded == F.col("text_sha256"), F.col("n_ids") == 0).alias("round_trip"))
+
+
+def op4_licence_scan(spark, sf_dir):
+    found = scan_licences(table(spark, sf_dir, "documents"))
+    spans = F.array_join(F.transform("licences", lambda x: F.concat_ws(":", x["family"], x["start"].cast("string"), x["end"].cast("string"))), ",")
+    return found.select("doc_id", "families", "n_licences", "n_unknown", spans.alias("licence_spans"))
+
+
 def op5_additive_quantisation(spark, sf_dir):
     return nearest(table(spark, sf_dir, "embeddings"), every=50, k=5)
 
@@ -61,5 +81,5 @@ def op10_byte_gru_language(spark, sf_dir):
     return identify(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_warc_bundles, op5_additive_quantisation, op6_quality_fertility, op7_hilbert_packing, op8_pii_boosting, op9_line_dedup, op10_byte_gru_language)}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_warc_bundles, op3_sentencepiece, op4_licence_scan, op5_additive_quantisation, op6_quality_fertility, op7_hilbert_packing, op8_pii_boosting, op9_line_dedup, op10_byte_gru_language)}
 SQL: dict[str, str] = {}
