@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict = {}
+from tidewatch.queries import QUERIES, SQL
+from tidewatch.queries import ordered, summaries  # noqa: F401  they register their queries
+
+__all__ = ["QUERIES", "SQL"]
