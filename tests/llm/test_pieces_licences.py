@@ -44,7 +44,8 @@ def test_unigram_words_have_the_best_score(words):
     vocab = ["".join(p) for n in (1, 2, 3) for p in itertools.product("ab", repeat=n)] + [MARK, MARK + "a", MARK + "ab"]
     table = Pieces([(0, "<unk>", 0.0, "unknown"), *((i + 1, p, -rng.uniform(1, 9) * 1.01, "normal") for i, p in enumerate(vocab))], "unigram")
     score = lambda parts: sum(table.scores.get(p, table.floor) for p in parts)
-    for word, ids in zip(words, table.words(words), strict=True):
+    for word, packed in zip(words, table.words(words), strict=True):
+        ids = np.frombuffer(packed, np.uint32)
         cuts = (sorted(c) for n in range(len(word)) for c in itertools.combinations(range(1, len(word)), n))
         splits = ([word[a:b] for a, b in zip([0, *c], [*c, len(word)], strict=True)] for c in cuts)
         best = max((s for s in splits if all(p in table.ids or len(p) == 1 for p in s)), key=score)

@@ -9,6 +9,7 @@ instead of log probabilities, the state is the only last piece that agrees with
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,8 +24,10 @@ from tidewatch.llm.common import WordHasher, mix, text_slices
 MARK = "▁"
 #: How far an unknown character scores below the worst piece of a unigram vocabulary.
 UNKNOWN_PENALTY = 10.0
-#: Entries of the tables of known words and piece pairs that a task holds; a full table is emptied.
-MEMO = 1 << 19
+#: Entries of the tables of known words and of piece pairs that a task holds; a full table is emptied.
+KNOWN, PAIRS = 1 << 17, 1 << 18
+#: Bytes of text that are encoded at a time.
+SLICE = 1 << 20
 
 
 class Pieces:
@@ -45,7 +48,13 @@ class Pieces:
         table = {i: piece.replace(MARK, " ").encode() if k == "normal" else bytes([int(piece[3:5], 16)]) if k == "byte" else " ⁇ ".encode() if k == "unknown" else b"" for i, piece, _, k in rows}
         self.texts = [table.get(i, b"") for i in range(max(table, default=-1) + 1)]
         self.pairs: dict[tuple[str, str], bool] = {}
-        self.known: dict[str, np.ndarray] = {}
+        #: Pieces that their own merges make, and by their last two characters their sizes, largest first.
+        self.whole = {p for p in self.ids if self.merged(p) == [p]} if kind == "bpe" else set()
+        ends: dict[str, set[int]] = {}
+        for piece in self.whole:
+            ends.setdefault(piece[-2:], set()).add(len(piece))
+        self.sizes = {tail: tuple(sorted(sizes | {1}, reverse=True)) for tail, sizes in ends.items()}
+        self.known: dict[str, bytes] = {}
 
     def merged(self, symbols: str) -> list[str]:
         """The byte-pair pieces of a short string, merge by merge: best score first, then leftmost."""
@@ -64,37 +73,46 @@ class Pieces:
 
     def _follows(self, before: str, piece: str) -> bool:
         """Whether the merges of before + piece leave exactly these two."""
-        found = self.pairs.get((before, piece))
-        if found is None:
-            if len(self.pairs) >= MEMO:
-                self.pairs.clear()
-            found = self.pairs[before, piece] = self.merged(before + piece) == ([before, piece] if before else [piece])
+        if len(self.pairs) >= PAIRS:
+            self.pairs.clear()
+        found = self.pairs[before, piece] = self.merged(before + piece) == [before, piece]
         return found
 
-    def _step(self, word: str, end: int, last: list, best: list) -> None:
-        """Adds the forward state of word[:end] to those of its prefixes."""
-        lowest = max(0, end - self.longest)
-        if self.kind == "unigram":
+    def _best(self, word: str, shared: int, last: list, best: list) -> None:
+        """Unigram forward states of word beyond the first ``shared`` characters."""
+        for end in range(shared + 1, len(word) + 1):
             top, choice = -np.inf, None
-            for at in range(lowest, end):
+            for at in range(max(0, end - self.longest), end):
                 score = self.scores.get(word[at:end], self.floor if at == end - 1 else None)
                 if score is not None and best[at] + score > top:
                     top, choice = best[at] + score, word[at:end]
             last.append(choice)
             best.append(top)
-            return
-        for at in range(lowest, end):
-            piece = word[at:end]
-            if (at == end - 1 or piece in self.ids) and (len(piece) == 1 or self._follows("", piece)) and (at == 0 or self._follows(last[at], piece)):
+
+    def _agreed(self, word: str, shared: int, last: list) -> None:
+        """The same for merge ranks: of the pieces that end here one agrees with the merges of what is before it."""
+        whole, sizes, pairs, one = self.whole, self.sizes, self.pairs, (1,)
+        for end in range(shared + 1, len(word) + 1):
+            for size in sizes.get(word[max(0, end - 2) : end], one):
+                if size > end:
+                    continue
+                piece = word[end - size : end]
+                if size > 1 and piece not in whole:
+                    continue
+                before = last[end - size]
+                if before:
+                    agrees = pairs.get((before, piece))
+                    if not (self._follows(before, piece) if agrees is None else agrees):
+                        continue
                 last.append(piece)
-                best.append(0.0)
-                return
-        raise ValueError("merge ranks are not consistent")
+                break
+            else:
+                raise ValueError("merge ranks are not consistent")
 
-    def words(self, words: list[str]) -> list[np.ndarray]:
-        """The ids of each marked word."""
+    def words(self, words: list[str]) -> list[bytes]:
+        """The ids of each marked word, as native unsigned 32-bit numbers."""
         new = sorted({w for w in words if w not in self.known})
-        if len(self.known) + len(new) > MEMO:
+        if len(self.known) + len(new) > KNOWN:
             self.known.clear()
             new = sorted(set(words))
         path, last, best = "", [""], [0.0]
@@ -103,8 +121,10 @@ class Pieces:
             while shared < most and path[shared] == word[shared]:
                 shared += 1
             del last[shared + 1 :], best[shared + 1 :]
-            for end in range(shared + 1, len(word) + 1):
-                self._step(word, end, last, best)
+            if self.kind == "bpe":
+                self._agreed(word, shared, last)
+            else:
+                self._best(word, shared, last, best)
             path, ids, at = word, [], len(word)
             while at:
                 piece = last[at]
@@ -116,7 +136,7 @@ class Pieces:
                     ids.extend(self.bytes[b] for b in reversed(piece.encode("utf-8", "replace")))
                 elif not ids or ids[-1] != self.unknown:
                     ids.append(self.unknown)
-            self.known[word] = np.array(ids[::-1], np.uint32)
+            self.known[word] = array("I", ids[::-1]).tobytes()
         return [self.known[w] for w in words]
 
     def decode(self, ids: np.ndarray) -> str:
@@ -152,8 +172,8 @@ def encoded_slice(pieces: Pieces, raw: np.ndarray, offsets: np.ndarray, hasher:
     blob = raw.tobytes()
     words = [(MARK if pieces.dummy_prefix and opens[i] else "") + blob[start[i] : end[i]].decode("utf-8", "replace").replace(" ", MARK) for i in sample]
     ids = pieces.words(words)
-    sizes = np.array([len(x) for x in ids], np.int64)
-    flat, begin = np.concatenate(ids), np.cumsum(sizes) - sizes
+    sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+    flat, begin = np.frombuffer(b"".join(ids), np.uint32), np.cumsum(sizes) - sizes
     count = sizes[which]
     where = np.repeat(begin[which], count) + np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
     row = np.searchsorted(offsets, start, "right") - 1
@@ -177,7 +197,7 @@ def encode_texts(docs: DataFrame, pieces, text_col: str = "text", out_col: str =
             texts = batch.column(place)
             if pc.any(pc.match_substring(texts, MARK)).as_py():
                 texts = pc.replace_substring(texts, MARK, " ")
-            for first, raw, offsets in text_slices(texts):
+            for first, raw, offsets in text_slices(texts, SLICE):
                 ids, bounds = encoded_slice(table, raw, offsets, hasher)
                 blobs = pa.array([ids[bounds[i] : bounds[i + 1]].astype("<u4").tobytes() for i in range(len(bounds) - 1)], pa.binary())
                 part = batch.slice(first, len(blobs))
