@@ -17,6 +17,8 @@ from tidewatch.llm.common import WordHasher, text_slices
 
 #: Bytes of one read; longer words are read in pieces.
 PIECE = 24
+#: Parts in which a language's least hashes are sought before they meet.
+SALTS = 32
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -161,8 +163,11 @@ def pooled(model: BiGru, raw: np.ndarray, offsets: np.ndarray, hasher: WordHashe
 def training_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_language: int) -> list:
     """(lang, text) of the per_language labelled documents of least hash of each language, none of them held out."""
     labelled = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (F.crc32(F.col(id_col).cast("string")) % 4 != 2))
-    order = Window.partitionBy(lang_col).orderBy(F.xxhash64(id_col), id_col)
-    ids = labelled.select(id_col, lang_col).withColumn("place", F.row_number().over(order)).where(F.col("place") <= per_language).select(id_col).distinct()
+    ids = labelled.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.pmod(F.hash(id_col), F.lit(SALTS)).alias("salt"))
+    for keys in (["lang", "salt"], ["lang"]):  # so a language's last task reads SALTS * per_language rows, whatever the input
+        order = Window.partitionBy(*keys).orderBy(F.xxhash64("id"), "id")
+        ids = ids.withColumn("place", F.row_number().over(order)).where(F.col("place") <= per_language)
+    ids = ids.select(F.col("id").alias(id_col)).distinct()
     chosen = labelled.join(F.broadcast(ids), id_col, "left_semi")  # at most per_language ids a language
     return sorted((r[0], r[1]) for r in chosen.select(F.col(lang_col).cast("string"), F.col(text_col).cast("string")).collect())
 
