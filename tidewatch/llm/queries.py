@@ -82,4 +82,31 @@ def op10_byte_gru_language(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_warc_bundles, op3_sentencepiece, op4_licence_scan, op5_additive_quantisation, op6_quality_fertility, op7_hilbert_packing, op8_pii_boosting, op9_line_dedup, op10_byte_gru_language)}
-SQL: dict[str, str] = {}
+_LINES = """
+    SELECT doc_id, line, i, lower_ascii AS key
+    FROM (
+        SELECT doc_id, i, line,
+               translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS lower_ascii
+        FROM (SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS i FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents))
+    )
+"""
+
+#: DuckDB SQL of the operators that SQL can express over whole tables.
+SQL: dict[str, str] = {
+    "op2_warc_bundles": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS payload FROM pages),
+        d AS (SELECT page_id, strlen(payload) AS payload_bytes, sha256(payload) AS payload_digest, min(page_id) OVER (PARTITION BY payload) AS first_id FROM p)
+        SELECT page_id, payload_bytes::BIGINT AS payload_bytes, payload_digest,
+               CASE WHEN payload_bytes >= 100 AND first_id <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN payload_bytes >= 100 AND first_id <> page_id THEN first_id END AS refers_to
+        FROM d
+    """,
+    "op9_line_dedup": f"""
+        WITH l AS ({_LINES}),
+        common AS (SELECT key, max(doc_id) AS keeper FROM l WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT doc_id) >= 3),
+        marked AS (SELECT l.*, common.key IS NOT NULL AND l.doc_id <> common.keeper AS gone FROM l LEFT JOIN common USING (key))
+        SELECT doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (gone)::BIGINT AS n_dropped,
+               sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
+        FROM marked GROUP BY doc_id
+    """,
+}
