@@ -2,7 +2,7 @@
 
 Sets hold 48-bit hashes of shingles. All sets follow one global order: rare shingles by hash, then frequent ones by hash. Two sets of
 similarity t share one of their first n - ceil(t n) + 1 shingles in any such order; which shingles count as frequent only steers
-cost, so a bitmap of fixed size carries it to the tasks. Texts that share such a shingle meet at the smallest of them (a hub); the
+cost, so a bitmap of fixed size carries it to the tasks. Texts that share such a shingle meet at the one of them with the fewest rare shingles (a hub); the
 tree of one hub's candidates is walked with shared partial overlaps, and subtrees whose remaining length can't reach the
 threshold are cut. Pairs that those links don't already connect are then compared as well, after a count of shared prefix shingles.
 """
@@ -127,7 +127,10 @@ def _counted(sets: DataFrame, late, percent: int) -> DataFrame:
 
 
 def _emitted(sets: DataFrame, late, counted_with, repeated, percent: int) -> DataFrame:
-    """(tok, sig, n) of each prefix; with repeated, without those that the last counting pass saw once, else only those it did not see."""
+    """(tok, sig, n, place) of each prefix; with repeated, without those that the last counting pass saw once, else only those it did not see.
+
+    place orders sets for the choice of hubs: those with the least share of rare shingles first, which are the middle of a group, then by sig.
+    """
 
     def run(batches):
         for batch in batches:
@@ -138,9 +141,11 @@ def _emitted(sets: DataFrame, late, counted_with, repeated, percent: int) -> Dat
                 seen = ~was_late & (_rank(rows, n, was_late) < np.ceil(AHEAD * prefix)[rows])
                 keep &= (was_late | _held(repeated.value, tokens)) if repeated else ~was_late & ~seen
                 if keep.any():
-                    yield pa.RecordBatch.from_arrays([pa.array(tokens[keep].view(np.int64)), pa.array(sig[rows[keep]]), pa.array(n[rows[keep]].astype(np.int32))], ["tok", "sig", "n"])
+                    rare = (np.bincount(rows[~is_late], minlength=len(n)) * 4095 // np.maximum(n, 1)).astype(np.int64)
+                    place = (rare << 50) | ((sig >> 14) & ((1 << 50) - 1))
+                    yield pa.RecordBatch.from_arrays([pa.array(tokens[keep].view(np.int64)), *(pa.array(x[rows[keep]]) for x in (sig, n.astype(np.int32), place))], ["tok", "sig", "n", "place"])
 
-    return sets.select("sig", "n", "tokens").mapInArrow(run, "tok long, sig long, n int")
+    return sets.select("sig", "n", "tokens").mapInArrow(run, "tok long, sig long, n int, place long")
 
 
 def walk_tree(hub: np.ndarray, sets: list[np.ndarray], percent: int) -> np.ndarray:
@@ -223,10 +228,11 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     seen = spark.sparkContext.broadcast(repeated)
     runs = materialize(_emitted(sets, order, used, seen, percent).distinct(), "runs")
 
-    least = runs.groupBy("tok").agg(F.min("sig").alias("a"), F.max("sig").alias("z"), F.min("n").alias("n_min"), F.max("n").alias("n_max")).where("a <> z")
-    sized = runs.select("tok", F.col("sig").alias("b"), F.col("n").alias("nb")).join(least, "tok").where("a <> b")
-    hubs = sized.select("a", "b", "nb").distinct().join(nodes.select(F.col("sig").alias("a"), F.col("n").alias("na")), "a")
-    hubs = materialize(hubs.where(F.expr(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")).select("a", "b"), "hubs")
+    alike_size = f"100 * least(na, nb) >= {percent} * greatest(na, nb)"
+    alike_size = f"100 * least(na, nb) >= {percent} * greatest(na, nb)"
+    least = runs.groupBy("tok").agg(F.min("sig").alias("lo"), F.max("sig").alias("hi"), F.min_by("sig", "place").alias("a"), F.min_by("n", "place").alias("na")).where("lo <> hi")
+    sized = runs.select("tok", F.col("sig").alias("b"), F.col("n").alias("nb")).join(least.select("tok", "a", "na"), "tok")
+    hubs = materialize(sized.where(f"a <> b and {alike_size}").select("a", "b").distinct(), "hubs")
     needed = materialize(_only(all_sets, nodes, hubs), "needed", "none")
     links = materialize(_verified(hubs, needed, percent), "links")
     release(hubs, needed)
@@ -236,7 +242,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     mixed = labelled.groupBy("tok").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("k")).where("lo <> hi").select("tok", "k")
     open_runs = materialize(labelled.join(mixed, "tok"), "open")
     left, right = (open_runs.select("tok", F.col("sig").alias(s), F.col("n").alias(f"n{s}"), F.col("component").alias(f"c{s}")) for s in "ab")
-    cross = left.join(right, "tok").where(f"ca <> cb and a < b and 100 * least(na, nb) >= {percent} * greatest(na, nb)")
+    cross = left.join(right, "tok").where(f"ca <> cb and a < b and {alike_size}")
     counts = cross.groupBy("a", "b").agg(F.count("*").alias("common"), F.first("na").alias("na"), F.first("nb").alias("nb"))
     # Shared shingles beyond both prefixes number at most what is left of the shorter remainder.
     rest = lambda s: F.expr(f"({percent} * n{s} + 99) div 100 - 1")
