@@ -4,7 +4,8 @@ Sets hold 48-bit hashes of shingles. All sets follow one global order: rare shin
 similarity t share one of their first n - ceil(t n) + 1 shingles in any such order; which shingles count as frequent only steers
 cost, so a bitmap of fixed size carries it to the tasks. Texts that share such a shingle meet at the one of them with the fewest rare shingles (a hub); the
 tree of one hub's candidates is walked with shared partial overlaps, and subtrees whose remaining length can't reach the
-threshold are cut. Pairs that those links don't already connect are then compared as well, after a count of shared prefix shingles.
+threshold are cut. Pairs that those links don't already connect are then compared as well, if the
+places of their common shingles allow it.
 """
 
 from __future__ import annotations
@@ -127,7 +128,7 @@ def _counted(sets: DataFrame, late, percent: int) -> DataFrame:
 
 
 def _emitted(sets: DataFrame, late, counted_with, repeated, percent: int) -> DataFrame:
-    """(tok, sig, n, place) of each prefix; with repeated, without those that the last counting pass saw once, else only those it did not see.
+    """(tok, sig, n, at, place) of each prefix, at its position in the set; with repeated, without those that the last counting pass saw once, else only those it did not see.
 
     place orders sets for the choice of hubs: those with the least share of rare shingles first, which are the middle of a group, then by sig.
     """
@@ -137,15 +138,16 @@ def _emitted(sets: DataFrame, late, counted_with, repeated, percent: int) -> Dat
             for sig, n, rows, tokens in _rows_of(batch):
                 is_late, was_late = _held(late.value, tokens), _held(counted_with.value, tokens)
                 prefix = _prefix(n, percent)
-                keep = _rank(rows, n, is_late) < prefix[rows]
+                rank = _rank(rows, n, is_late)
+                keep = rank < prefix[rows]
                 seen = ~was_late & (_rank(rows, n, was_late) < np.ceil(AHEAD * prefix)[rows])
                 keep &= (was_late | _held(repeated.value, tokens)) if repeated else ~was_late & ~seen
                 if keep.any():
                     rare = (np.bincount(rows[~is_late], minlength=len(n)) * 4095 // np.maximum(n, 1)).astype(np.int64)
                     place = (rare << 50) | ((sig >> 14) & ((1 << 50) - 1))
-                    yield pa.RecordBatch.from_arrays([pa.array(tokens[keep].view(np.int64)), *(pa.array(x[rows[keep]]) for x in (sig, n.astype(np.int32), place))], ["tok", "sig", "n", "place"])
+                    yield pa.RecordBatch.from_arrays([pa.array(tokens[keep].view(np.int64)), *(pa.array(x[rows[keep]]) for x in (sig, n.astype(np.int32))), pa.array(rank[keep].astype(np.int32)), pa.array(place[rows[keep]])], ["tok", "sig", "n", "at", "place"])
 
-    return sets.select("sig", "n", "tokens").mapInArrow(run, "tok long, sig long, n int, place long")
+    return sets.select("sig", "n", "tokens").mapInArrow(run, "tok long, sig long, n int, at int, place long")
 
 
 def walk_tree(hub: np.ndarray, sets: list[np.ndarray], percent: int) -> np.ndarray:
@@ -238,16 +240,15 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     release(hubs, needed)
 
     labels = materialize(connected_components(links), "labels")
-    labelled = runs.join(labels.withColumnRenamed("node", "sig"), "sig", "left").select("tok", "sig", "n", F.coalesce("component", "sig").alias("component"))
+    labelled = runs.join(labels.withColumnRenamed("node", "sig"), "sig", "left").select("tok", "sig", "n", "at", F.coalesce("component", "sig").alias("component"))
     mixed = labelled.groupBy("tok").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("k")).where("lo <> hi").select("tok", "k")
     open_runs = materialize(labelled.join(mixed, "tok"), "open")
-    left, right = (open_runs.select("tok", F.col("sig").alias(s), F.col("n").alias(f"n{s}"), F.col("component").alias(f"c{s}")) for s in "ab")
-    cross = left.join(right, "tok").where(f"ca <> cb and a < b and {alike_size}")
-    counts = cross.groupBy("a", "b").agg(F.count("*").alias("common"), F.first("na").alias("na"), F.first("nb").alias("nb"))
-    # Shared shingles beyond both prefixes number at most what is left of the shorter remainder.
-    rest = lambda s: F.expr(f"({percent} * n{s} + 99) div 100 - 1")
-    need = F.expr(f"({percent} * (na + nb) + {99 + percent}) div {100 + percent}")
-    pairs = materialize(counts.where(F.col("common") + F.greatest(rest("a"), rest("b")) >= need).select("a", "b"), "pairs")
+    left, right = (open_runs.select("tok", F.col("sig").alias(s), F.col("n").alias(f"n{s}"), F.col("at").alias(f"at{s}"), F.col("component").alias(f"c{s}")) for s in "ab")
+    # All sets follow one order: what two sets share before a common shingle lies before it in both, and at most the shorter remainder after it.
+    need = f"(({percent} * (na + nb) + {99 + percent}) div {100 + percent})"
+    cross = left.join(right, "tok").where(f"ca <> cb and a < b and {alike_size} and least(na - ata, nb - atb) >= {need}")
+    counts = cross.groupBy("a", "b").agg(F.count("*").alias("common"), F.min(F.expr("least(na - ata, nb - atb)")).alias("rest"), F.first("na").alias("na"), F.first("nb").alias("nb"))
+    pairs = materialize(counts.where(f"common + rest - 1 >= {need}").select("a", "b"), "pairs")
     needed = materialize(_only(all_sets, nodes, pairs), "needed", "none")
     more = materialize(_verified(pairs, needed, percent), "links")
     release(pairs, needed, open_runs, runs)
