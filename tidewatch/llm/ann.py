@@ -1,8 +1,8 @@
 """Approximate nearest neighbours by additive quantisation.
 
 A vector of unit length is encoded as the sum of one full-dimensional codeword from each of several codebooks, found by beam search over
-residuals. Its codes and the norm of their sum are stored; a query scores codes through lookup tables of its products with
-the codewords, and the best are ranked again on the original vectors.
+residuals. Its codes, the norm of their sum and the angle between sum and vector are stored; a query scores codes through lookup tables of
+its products with the codewords, and all that the angles cannot rule out are ranked again on the original vectors.
 """
 
 from __future__ import annotations
@@ -24,40 +24,43 @@ def _squared(x: np.ndarray, c: np.ndarray) -> np.ndarray:
 def encode(x: np.ndarray, books: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
     """(codes, sums) of the rows of x: in each of books (m, k, d) the beam keeps the partial sums with the least residual."""
     n, (m, k, d) = len(x), books.shape
-    codes, residual = np.zeros((n, 1, 0), np.uint8), x[:, None, :].astype(np.float32)
+    codes, residual, rows = np.zeros((n, 1, 0), np.uint8), x[:, None, :].astype(np.float32), np.arange(n)[:, None]
     for book in books:
         width = residual.shape[1]
         flat = residual.reshape(n * width, d)
         error = ((flat * flat).sum(1)[:, None] + _squared(flat, book)).reshape(n, width * k)
-        best = np.argsort(error, axis=1, kind="stable")[:, : min(beam, width * k)]
-        rows = np.arange(n)[:, None]
+        keep = min(beam, width * k)
+        best = np.argpartition(error, keep - 1, axis=1)[:, :keep]
         residual = residual[rows, best // k] - book[best % k]
         codes = np.concatenate([codes[rows, best // k], (best % k).astype(np.uint8)[:, :, None]], axis=2)
-    return codes[:, 0], x - residual[:, 0]
+    least = (residual * residual).sum(2).argmin(1)
+    return codes[rows[:, 0], least], x - residual[rows[:, 0], least]
 
 
-def train_books(x: np.ndarray, m: int, k: int, rounds: int = 6, refits: int = 2, seed: int = 5) -> np.ndarray:
+def train_books(x: np.ndarray, m: int, k: int, rounds: int = 6, refits: int = 1, seed: int = 5, ridge: float = 10.0) -> np.ndarray:
     """Codebooks (m, k, d): k-means on residuals, then all codewords are fitted jointly by least squares to beam-searched codes."""
     rng = np.random.default_rng(seed)
     residual, books = x.astype(np.float32).copy(), []
     for _ in range(m):
         book = residual[rng.choice(len(residual), k, replace=len(residual) < k)].copy()
         for _ in range(rounds):
-            own = _squared(residual, book).argmin(1)
-            count = np.bincount(own, minlength=k)
-            total = np.zeros((k, x.shape[1]), np.float32)
-            np.add.at(total, own, residual)
+            hot = np.zeros((len(residual), k), np.float32)
+            hot[np.arange(len(residual)), _squared(residual, book).argmin(1)] = 1
+            count, total = hot.sum(0), hot.T @ residual
             book[count > 0] = total[count > 0] / count[count > 0, None]
         residual -= book[_squared(residual, book).argmin(1)]
         books.append(book)
     books = np.stack(books)
     for _ in range(refits):
-        codes, _ = encode(x, books, 4)
-        hot = np.zeros((len(x), m * k), np.float32)
-        for j in range(m):
-            hot[np.arange(len(x)), j * k + codes[:, j].astype(np.int64)] = 1
-        gram = hot.T @ hot + 1e-2 * np.eye(m * k, dtype=np.float32)
-        books = np.linalg.solve(gram, hot.T @ x + 1e-2 * books.reshape(m * k, -1)).reshape(books.shape).astype(np.float32)
+        gram, target = ridge * np.eye(m * k, dtype=np.float32), ridge * books.reshape(m * k, -1)
+        for at in range(0, len(x), 512):
+            part = x[at : at + 512]
+            codes, _ = encode(part, books, 4)
+            hot = np.zeros((len(part), m * k), np.float32)
+            hot[np.arange(len(part))[:, None], codes + k * np.arange(m)] = 1
+            gram += hot.T @ hot
+            target += hot.T @ part
+        books = np.linalg.solve(gram, target).reshape(books.shape).astype(np.float32)
     return books
 
 
@@ -73,14 +76,16 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return np.stack(column.to_numpy(zero_copy_only=False)).astype(np.float64) if len(column) else np.zeros((0, 1))
 
 
-def nearest(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", every: int = 50, k: int = 5, books: int = 8, words: int = 64, beam: int = 8, sample: int = 8192, rerank: int = 64, query_block: int = 256, code_block: int = 4096) -> DataFrame:
+def nearest(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", every: int = 50, k: int = 5, books: int = 48, words: int = 64, beam: int = 8, sample: int = 8192, first: int = 16, query_block: int = 256, code_block: int = 4096) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row whose id is divisible by ``every`` its k nearest others by cosine.
 
     Codebooks are fitted on the ``sample`` vectors of least hash of the id; all vectors are encoded and scored. Null, zero and non-finite
     vectors take no part, nor do null ids. Equal vectors are one code with its k + 1 smallest ids, which is exact: no list can hold more
-    of them. The ``rerank`` best codes of a query are ranked on original vectors in double precision, ties by smaller id. Vectors must
-    have one length; those of another length than the sample's most frequent take no part. With repeated ids each row is a candidate, and
-    queries of one id are answered once, for the row of least vector. Empty tables give an empty result; further columns play no part.
+    of them. The ``first`` best codes of a query, on original vectors, give a k-th best score; then every code whose stored angle to its
+    vector lets the vector reach that score is ranked on original vectors in double precision, ties by smaller id. No neighbour is lost, at
+    any number of vectors; the codes decide only how many are ranked. Vectors must have one length; those of another length than the
+    sample's most frequent take no part. With repeated ids each row is a candidate, and queries of one id are answered once, for the row
+    of least vector. Empty tables give an empty result; further columns play no part.
     """
     spark = vectors.sparkSession
     own = usable(vectors, id_col, vector_col)
@@ -104,50 +109,94 @@ def nearest(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
             for at in range(0, len(batch), code_block):
                 part = batch.slice(at, code_block)
                 x = _matrix(part.column(0))
-                x = (x / part.column(2).to_numpy()[:, None]).astype(np.float32)
-                found, sums = zip(*(encode(x[i : i + 512], trained.value, beam) for i in range(0, len(x), 512)), strict=True)
+                x = x / part.column(2).to_numpy()[:, None]
+                found, sums = zip(*(encode(x[i : i + 512].astype(np.float32), trained.value, beam) for i in range(0, len(x), 512)), strict=True)
                 sums = np.concatenate(sums).astype(np.float64)
-                norms = np.sqrt((sums * sums).sum(1)).astype(np.float32)
+                norms = np.sqrt((sums * sums).sum(1))
+                # A sum of no length says nothing of its vector: its angle counts as a half turn.
+                cosine = np.where(norms > 1e-9, np.clip((sums * x).sum(1) / np.maximum(norms, 1e-9), -1, 1), -1.0)
+                sizes = np.stack([np.maximum(norms, 1e-9), cosine, np.sqrt(1 - cosine * cosine)]).astype(np.float32)
                 ids = part.column(1).to_numpy(zero_copy_only=False)
-                first = np.array([i[0] for i in ids], np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array([len(first)], pa.int32()), *(pa.array([b.tobytes()], pa.binary()) for b in (first, np.concatenate(found), norms))], ["n", "ids", "codes", "norms"])
+                low = np.array([i[0] for i in ids], np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array([len(low)], pa.int32()), *(pa.array([b.tobytes()], pa.binary()) for b in (low, np.concatenate(found), sizes))], ["n", "ids", "codes", "sizes"])
 
-    blocks = distinct.select("v", "ids", "norm").mapInArrow(codes, "n int, ids binary, codes binary, norms binary")
+    blocks = materialize(distinct.select("v", "ids", "norm").mapInArrow(codes, "n int, ids binary, codes binary, sizes binary"), "codes")
     queries = own.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min_by(F.struct("v", "norm"), "v").alias("q")).select(F.col("vec_id").alias("query_id"), "q.v", "q.norm")
     queries = materialize(queries, "queries")
     n_blocks = max(1, -(-queries.count() // query_block))
-    grouped = queries.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)))
-    packed = grouped.groupBy("block").agg(F.collect_list(F.struct("query_id", "v", "norm")).alias("queries"))
-    # The stated query set against all codes: codes, a few bytes a vector, go once to each block of queries.
-    work = blocks.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))).withColumn("block", F.col("block").cast("long")).join(packed, "block").select("queries", "n", "ids", "codes", "norms")
-
-    def scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words_of = trained.value
-        m, width, _ = words_of.shape
+
+    def work(asked: DataFrame) -> DataFrame:
+        """The stated query set against all codes: each block of queries (query_id, v, norm, reach), then the codes, a few bytes a vector."""
+        block = F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)).alias("block")
+        packed = asked.groupBy(block).agg(F.collect_list(F.struct("query_id", "v", "norm", "reach")).alias("queries"))
+        dealt = blocks.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_blocks - 1).cast("long")))).join(packed.select("block"), "block", "left_semi")
+        rows = packed.unionByName(dealt, allowMissingColumns=True).select("block", "queries", "n", "ids", "codes", "sizes")
+        return rows.repartition("block").sortWithinPartitions("block", F.col("queries").isNull())
+
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        """(query ids, reach, ids of codes, cosines of their sums with the queries (codes, queries), sizes) of each block of codes, after (query ids,) alone."""
+        m, width, size = trained.value.shape
+        words_of = trained.value.reshape(m * width, size)
         for batch in batches:
             for i in range(len(batch)):
-                asked = batch.column(0)[i].values if hasattr(batch.column(0)[i], "values") else batch.column(0).slice(i, 1).flatten()
-                q_ids = asked.field(0).to_numpy()
-                q = np.stack([np.array(v) for v in asked.field(1).to_pylist()]) / asked.field(2).to_numpy()[:, None]
-                table = np.einsum("qd,mkd->qmk", q.astype(np.float32), words_of)
-                n = batch.column(1)[i].as_py()
-                ids = np.frombuffer(batch.column(2)[i].as_py(), np.int64)
-                code = np.frombuffer(batch.column(3)[i].as_py(), np.uint8).reshape(n, m)
-                norms = np.frombuffer(batch.column(4)[i].as_py(), np.float32)
-                for j, q_id in enumerate(q_ids):
-                    own_table = table[j]
-                    score = own_table[0][code[:, 0]]
-                    for b in range(1, m):
-                        score = score + own_table[b][code[:, b]]
-                    score = score / np.maximum(norms, 1e-12)
-                    top = np.argpartition(-score, rerank)[:rerank] if n > rerank else np.arange(n)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(top), q_id)), pa.array(ids[top]), pa.array(score[top].astype(np.float64))], ["query_id", "first_id", "approx"])
-
-    found = work.mapInArrow(scores, "query_id long, first_id long, approx double")
-    best = found.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("approx"), "first_id"))).where(F.col("place") <= rerank)
+                row = {c: batch.column(c)[i] for c in ("queries", "n", "ids", "codes", "sizes")}
+                if row["queries"].is_valid:
+                    asked = row["queries"].values
+                    q_ids, reach = asked.field(0).to_numpy(), asked.field(3).to_numpy(zero_copy_only=False)
+                    table = words_of @ (_matrix(asked.field(1)) / asked.field(2).to_numpy()[:, None]).astype(np.float32).T
+                    yield (q_ids,)
+                    continue
+                n = row["n"].as_py()
+                code = np.frombuffer(row["codes"].as_py(), np.uint8).reshape(n, m)
+                sizes = np.frombuffer(row["sizes"].as_py(), np.float32).reshape(3, n)
+                score = table[code[:, 0]]
+                for b in range(1, m):
+                    score += table[b * width + code[:, b].astype(np.int64)]
+                yield q_ids, reach, np.frombuffer(row["ids"].as_py(), np.int64), score / sizes[0][:, None], sizes
+
+    def leaders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The ``first`` best codes of each query."""
+        q_ids, ids, best = None, None, None
+
+        def done() -> Iterator[pa.RecordBatch]:
+            if best is not None:
+                yield pa.RecordBatch.from_arrays([pa.array(np.broadcast_to(q_ids, best.shape).ravel()), pa.array(ids.ravel())], ["query_id", "first_id"])
+
+        for found in scored(batches):
+            if len(found) == 1:
+                yield from done()
+                q_ids, ids, best = found[0], None, None
+                continue
+            _, _, own_ids, score, _ = found
+            own_ids = np.broadcast_to(own_ids[:, None], score.shape)
+            ids, best = (own_ids, score) if best is None else (np.concatenate([ids, own_ids]), np.concatenate([best, score]))
+            if len(best) > first:
+                top = np.argpartition(-best, first - 1, axis=0)[:first]
+                ids, best = np.take_along_axis(ids, top, 0), np.take_along_axis(best, top, 0)
+        yield from done()
+
+    def within_reach(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The codes whose vectors may score ``reach`` or more: angles on the sphere obey the triangle inequality."""
+        for found in scored(batches):
+            if len(found) > 1:
+                q_ids, reach, ids, score, (_, cosine, sine) = found
+                t = np.clip(reach, -1, 1).astype(np.float32)
+                u = np.sqrt(1 - t.astype(np.float64) ** 2).astype(np.float32)
+                least = np.outer(cosine, t) - np.outer(sine, u)
+                code, query = np.nonzero((score >= least - 1e-4) | (t[None, :] <= 1e-6 - cosine[:, None]))
+                yield pa.RecordBatch.from_arrays([pa.array(q_ids[query]), pa.array(ids[code])], ["query_id", "first_id"])
+
     there = distinct.select(F.element_at("ids", 1).alias("first_id"), "ids", "v", F.col("norm").alias("norm_v"))
-    exact = best.select("query_id", "first_id").join(there, "first_id").join(queries.select("query_id", F.col("v").alias("q"), F.col("norm").alias("norm_q")), "query_id")
     dot = F.aggregate(F.zip_with("q", "v", lambda a, b: a * b), F.lit(0.0), lambda a, c: a + c)
-    pairs = exact.select("query_id", F.explode("ids").alias("vec_id"), (dot / (F.col("norm_q") * F.col("norm_v"))).alias("score")).where("vec_id <> query_id")
+
+    def exact(best: DataFrame) -> DataFrame:
+        rows = best.join(there, "first_id").join(queries.select("query_id", F.col("v").alias("q"), F.col("norm").alias("norm_q")), "query_id")
+        return rows.select("query_id", F.explode("ids").alias("vec_id"), (dot / (F.col("norm_q") * F.col("norm_v"))).alias("score")).where("vec_id <> query_id")
+
+    pair = "query_id long, first_id long"
+    led = exact(work(queries.withColumn("reach", F.lit(-1.0))).mapInArrow(leaders, pair))
+    reached = led.groupBy("query_id").agg(F.get(F.sort_array(F.collect_list("score"), asc=False), F.lit(k - 1)).alias("reach"))
+    asked = materialize(queries.join(reached, "query_id", "left").withColumn("reach", F.coalesce("reach", F.lit(-1.0))), "reach")
+    pairs = exact(work(asked).mapInArrow(within_reach, pair))
     ranked = pairs.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score").to(spark.createDataFrame([], schema).schema)
