@@ -23,8 +23,12 @@ BASE = {
 }
 #: What a text must contain for a kind to be looked for.
 NEEDS = {"email": "@", "ip": ".", "card": None, "phone": "+"}
+#: Words that announce a credential.
+SECRET_CUES = "password|passwd|pwd|secret|token|api.?key|access.?key|credential|auth"
 GENERATORS = {
-    "secret": r"(?<![A-Za-z0-9])(?=[A-Za-z0-9]{10})(?:[A-Za-z]{0,8}[0-9]){2,64}+[A-Za-z0-9]{0,64}(?![A-Za-z0-9])",
+    # The value after a credential cue and an equals sign or colon, or any run of 10 characters that holds a digit.
+    "secret": rf"(?:(?<=[=:])|(?<=[=:] )|(?<=[=:][\"'])|(?<=[=:] [\"']))(?<=(?i:{SECRET_CUES})[\"']? ?[=:] ?[\"']?)[^\s\"'<>,;=:][^\s\"'<>,;]{{2,255}}[^\s\"'<>,;.:!?)]"
+    r"|(?<![A-Za-z0-9_+/-])(?=[A-Za-z_+/-]*+[0-9])[A-Za-z0-9_+/-]{10,}+(?:={1,2}+(?![A-Za-z0-9_+/=-]))?+",
     "local_phone": r"(?<![0-9+(.-])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9-])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}+(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
@@ -34,12 +38,12 @@ KINDS = [*BASE, *GENERATORS]
 #: Words that announce a kind, searched in the CONTEXT code points before a span.
 CONTEXT = 28
 CUES = {
-    "secret": "password|passwd|pwd|secret|token|api.?key|access.?key|credential|auth",
+    "secret": SECRET_CUES,
     "phone": "phone|tel|call|fax|mobile|cell|contact",
     "number": "ssn|social|iban|account|bank|security",
     "mail": "mail|contact|write|reach",
 }
-FEATURES = ["length", "digits", "uppers", "hexes", "switches", "assigned", "quoted", "cue_secret", "cue_phone", "cue_number", "cue_mail", "is_secret", "is_local_phone", "is_ssn", "is_iban", "is_spelt_email"]
+FEATURES = ["length", "digits", "uppers", "hexes", "switches", "puncts", "assigned", "tight", "quoted", "cue_secret", "cue_phone", "cue_number", "cue_mail", "is_secret", "is_local_phone", "is_ssn", "is_iban", "is_spelt_email"]
 
 
 def _spans(text: Column, kind: str, pattern: str) -> Column:
@@ -110,7 +114,9 @@ def candidate_features(text: Column, span: Column) -> Column:
         "uppers": share("[A-Z]"),
         "hexes": share("[0-9a-f]"),
         "switches": F.size(F.split(body, "(?<=[0-9])(?=[A-Za-z])|(?<=[A-Za-z])(?=[0-9])")) / size,
+        "puncts": share("[^A-Za-z0-9]"),
         "assigned": F.regexp_like(before, F.lit(r"[=:] ?[\"']?$")),
+        "tight": F.regexp_like(before, F.lit(r"[=:][\"']?$")),
         "quoted": F.regexp_like(before, F.lit(r"[\"']$")),
     }
     values |= {f"cue_{k}": F.regexp_like(before, F.lit(words)) for k, words in CUES.items()}
@@ -124,21 +130,30 @@ def candidates(text: Column) -> Column:
     return F.transform(found, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"), s["body"].alias("body"), candidate_features(text, s).alias("f")))
 
 
-def training_texts(n: int, seed: int) -> list[tuple[str, int]]:
-    """n generated texts with one candidate of personal data (1) or of something that only looks like it (0)."""
+def training_texts(n: int, seed: int) -> list[tuple[str, str, int, int]]:
+    """n generated texts, every other one with personal data of a kind from start to end; the rest ('', 0, 0) only look like it."""
     rng = random.Random(seed)
-    hexes = lambda k: "".join(rng.choice("0123456789abcdef") for _ in range(k))
-    alnum = lambda k: "".join(rng.choice("ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz0123456789") for _ in range(k))
-    num = lambda k: "".join(rng.choice("0123456789") for _ in range(k))
-    word = lambda: "".join(rng.choice("abcdefghilmnoprstu") for _ in range(rng.randrange(2, 9)))
+    some = lambda letters, k: "".join(rng.choice(letters) for _ in range(k))
+    lower, digits = "abcdefghijklmnopqrstuvwxyz", "0123456789"
+    hexes = lambda k: some("0123456789abcdef", k)
+    alnum = lambda k: some(lower + lower.upper() + digits, k)
+    base64 = lambda k: some(lower + lower.upper() + digits + "+/", k) + rng.choice(["", "=", "=="])
+    key = lambda k: rng.choice(["AKIA", "ASIA", "AKIAI"]) + some(lower.upper() + rng.choice(["7", "234567", digits]), k - 1) + num(1)
+    prefixed = lambda k: rng.choice(["ghp_", "sk-", "sk_live_", "xoxb-"]) + alnum(k)
+    num = lambda k: some(digits, k)
+    word = lambda: some("abcdefghilmnoprstu", rng.randrange(2, 9))
+    phrase = lambda: word() + word() + word() + rng.choice(["", num(2), "!" + num(1), "-" + word()])
+    cues = ["password=", "pwd: ", "secret = ", "my token = \"", "api_key=", "access key: ", "auth: ", "password: \"", "passwd=", "TOKEN="]
     good = [
-        lambda: rng.choice(["password=", "pwd: ", "secret = ", "my token = \"", "api_key=", "access key: "]) + rng.choice([hexes, alnum])(rng.randrange(12, 48)),
-        lambda: rng.choice(["token = \"", "auth: "]) + hexes(40),
-        lambda: rng.choice(["call ", "phone ", "tel. ", "fax: ", ""]) + f"({num(3)}) {num(3)}-{num(4)}",
-        lambda: rng.choice(["mobile ", "contact ", "tel "]) + f"{num(3)}{rng.choice('-. ')}{num(3)}-{num(4)}",
-        lambda: rng.choice(["ssn ", "social security ", "ssn: "]) + f"{num(3)}-{num(2)}-{num(4)}",
-        lambda: rng.choice(["iban ", "account ", "bank: "]) + f"DE{num(2)} {num(4)} {num(4)} {num(4)} {num(4)} {num(2)}",
-        lambda: rng.choice(["mail ", "write to ", "", "contact "]) + f"{word()} {rng.choice(['(at)', '[at]'])} {word()} {rng.choice(['.', '(dot)', '[dot]'])} com",
+        lambda: ("secret", rng.choice(cues), rng.choice([hexes, alnum, base64, prefixed])(rng.randrange(12, 48))),
+        lambda: ("secret", rng.choice(["token = \"", "auth: "]), hexes(40)),
+        lambda: ("secret", rng.choice([word() + " ", "key ", "use "]), rng.choice([lambda: key(16), lambda: prefixed(rng.randrange(24, 40)), lambda: alnum(rng.randrange(20, 64)), lambda: base64(40)])()),
+        lambda: ("secret", rng.choice(["password=", "pwd=", "passwd=", "secret=\"", "password:"]), phrase()),
+        lambda: ("local_phone", rng.choice(["call ", "phone ", "tel. ", "fax: ", ""]), f"({num(3)}) {num(3)}-{num(4)}"),
+        lambda: ("local_phone", rng.choice(["mobile ", "contact ", "tel "]), f"{num(3)}{rng.choice('-. ')}{num(3)}-{num(4)}"),
+        lambda: ("ssn", rng.choice(["ssn ", "social security ", "ssn: "]), f"{num(3)}-{num(2)}-{num(4)}"),
+        lambda: ("iban", rng.choice(["iban ", "account ", "bank: "]), f"DE{num(2)} {num(4)} {num(4)} {num(4)} {num(4)} {num(2)}"),
+        lambda: ("spelt_email", rng.choice(["mail ", "write to ", "", "contact "]), f"{word()} {rng.choice(['(at)', '[at]'])} {word()} {rng.choice(['.', '(dot)', '[dot]'])} com"),
     ]
     bad = [
         lambda: f"{word()} " + num(rng.randrange(4, 9)),
@@ -149,11 +164,21 @@ def training_texts(n: int, seed: int) -> list[tuple[str, int]]:
         lambda: f"{word()} {word()} {num(3)}-{num(2)}-{num(4)} {word()}",
         lambda: f"isbn {num(13)}",
         lambda: f"model AB{num(2)} {alnum(4).upper()} {alnum(4).upper()}",
+        lambda: f"on 20{num(2)}-0{num(1)}-1{num(1)}" + rng.choice(["", f"T1{num(1)}", f"_{word()}"]),
+        lambda: f"{rng.choice(['/', 'see ', 'https://'])}{word()}/{word()}{num(2)}/{word()}-{num(3)}",
+        lambda: f"{word()}-{num(2)}-{word()}-{word()}" if rng.random() < 0.5 else f"{word()}_{word()}_{word()}{num(1)}",
+        lambda: f"{word()}{word()}{word()}{num(rng.randrange(1, 4))}",
+        lambda: f"the {rng.choice(['secret', 'token', 'password', 'auth'])}{rng.choice([': ', ' : '])}{word()}{word()} {word()}",
     ]
     out = []
     for i in range(n):
-        label = i % 2
-        out.append((" ".join([word(), word(), rng.choice(good if label else bad)(), word() + "."]), label))
+        before, after = f"{word()} {word()} ", f" {word()}."
+        if i % 2:
+            kind, cue, body = rng.choice(good)()
+            start = len(before) + len(cue)
+            out.append((before + cue + body + ("\"" if cue.endswith("\"") else "") + after, kind, start, start + len(body)))
+        else:
+            out.append((before + rng.choice(bad)() + after, "", 0, 0))
     return out
 
 
@@ -205,19 +230,25 @@ def score_sql(bias: float, trees: list[dict], struct: str) -> str:
     return " + ".join([f"{bias!r}D", *(f"({value(t)})" for t in trees)])
 
 
-def fitted_score(spark, n_train: int = 1200, seed: int = 3, precision: float = 0.98) -> tuple[str, float]:
-    """(score expression over candidate c, threshold): fitted on n_train generated texts, the threshold calibrated on half as many more."""
+def fitted_score(spark, n_train: int = 1200, seed: int = 3, precision: float = 0.98) -> tuple[str, float, float]:
+    """(score expression over candidate c, threshold, recall): fitted on n_train generated texts, calibrated on half as many more.
+
+    Recall is of all planted spans of the calibration texts; one that no generator proposes is a miss.
+    """
     texts = training_texts(n_train + n_train // 2, seed)
-    given = spark.range(1).select(F.explode(F.from_json(F.lit(json.dumps([{"id": i, "text": t, "label": l} for i, (t, l) in enumerate(texts)])), "array<struct<id:int,text:string,label:int>>")).alias("t")).select("t.*")
-    rows = given.select("id", "label", F.explode(candidates(F.col("text"))).alias("c")).select("id", "label", *[f"c.f.{n}" for n in FEATURES]).orderBy("id", *FEATURES).collect()
-    data = np.array([[float(v) for v in r] for r in rows])
-    fit, rest = data[data[:, 0] < n_train], data[data[:, 0] >= n_train]
-    bias, trees = fit_trees(fit[:, 2:], fit[:, 1])
-    scores = bias + predict(trees, rest[:, 2:])
+    given = spark.range(1).select(F.explode(F.from_json(F.lit(json.dumps([{"id": i, "text": t[0]} for i, t in enumerate(texts)])), "array<struct<id:int,text:string>>")).alias("t")).select("t.*")
+    rows = given.select("id", F.explode(candidates(F.col("text"))).alias("c")).select("id", "c.kind", "c.start", "c.end", *[f"c.f.{n}" for n in FEATURES]).orderBy("id", "kind", "start", "end").collect()
+    ids = np.array([r["id"] for r in rows])
+    y = np.array([float((r["kind"], r["start"], r["end"]) == texts[r["id"]][1:]) for r in rows])
+    x = np.array([[float(v) for v in r[4:]] for r in rows])
+    fit = ids < n_train
+    bias, trees = fit_trees(x[fit], y[fit])
+    scores, held = bias + predict(trees, x[~fit]), y[~fit]
+    planted = sum(1 for t in texts[n_train:] if t[1])
     for threshold in sorted(scores):
-        if rest[scores >= threshold, 1].mean() >= precision:
-            return score_sql(bias, trees, "c.f"), float(threshold)
-    return score_sql(bias, trees, "c.f"), float(scores.max()) + 1
+        if held[scores >= threshold].mean() >= precision:
+            return score_sql(bias, trees, "c.f"), float(threshold), float(held[scores >= threshold].sum() / planted)
+    return score_sql(bias, trees, "c.f"), float(scores.max()) + 1, 0.0
 
 
 def find_spans(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -226,7 +257,7 @@ def find_spans(docs: DataFrame, text_col: str = "text") -> DataFrame:
     spans holds all base spans and the accepted candidates that overlap no base span; of accepted candidates that overlap each other all
     stay. A null text is empty. Rows come back one for one, whatever their ids; base_spans and spans replace columns of these names.
     """
-    expression, threshold = fitted_score(docs.sparkSession)
+    expression, threshold, _ = fitted_score(docs.sparkSession)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     out = docs.withColumn("base_spans", base_spans(text)).withColumn("spans", candidates(text))
     accepted = f"filter(spans, c -> ({expression}) >= {threshold!r}D AND NOT exists(base_spans, b -> b.start < c.end AND c.start < b.end))"
