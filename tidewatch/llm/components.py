@@ -32,6 +32,8 @@ def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             out = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
-            return out.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+            out = materialize(out.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()), "labels")
+            release(edges)
+            return out
         before = now
     raise RuntimeError("components did not settle")

@@ -1,11 +1,16 @@
 """N-gram Jaccard join: every pair of texts whose shingle sets are alike, through prefix filtering and a prefix tree.
 
-Sets hold 48-bit hashes of shingles. All sets follow one global order: rare shingles by hash, then frequent ones by hash. Two sets of
-similarity t share one of their first n - ceil(t n) + 1 shingles in any such order; which shingles count as frequent only steers
-cost, so a bitmap of fixed size carries it to the tasks. Texts that share such a shingle meet at the one of them with the fewest rare shingles (a hub); the
-tree of one hub's candidates is walked with shared partial overlaps, and subtrees whose remaining length can't reach the
-threshold are cut. Pairs that those links don't already connect are then compared as well, if the
-places of their common shingles allow it.
+All sets follow one global order: rare shingles by hash, then frequent ones by hash. Two sets of similarity t share one of their first
+n - ceil(t n) + 1 shingles in any such order. The rare part of a prefix nearly always lies among the lowest hashes, so the shingles below one
+hash bound are counted first, exactly and over all sets; the few sets whose prefix reaches further have their other shingles counted as well.
+A rare shingle is in at most ``FREQUENT`` prefixes, and the sets that share one make pairs; a pair is left out if the shingles that its
+prefixes share and what lies beyond them can't reach the threshold. Sets that share a frequent shingle meet at the one of them with
+the fewest rare shingles (a hub), and only pairs that the links so far don't connect are compared besides. Surviving pairs are compared in a
+prefix tree: the candidates of one set are walked in order, share the overlaps of their common beginnings, and subtrees whose remaining length
+can't reach the threshold are cut.
+
+Sets hold 48-bit hashes of shingles and are named by a 64-bit hash of the whole set: a text of a million shingles has a miscounted one in
+about 1 of 500 cases, and two of a billion different sets fall together in about 1 of 40.
 """
 
 from __future__ import annotations
@@ -14,18 +19,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.llm.common import WordHasher, binary_column, materialize, mix, release, shingles, text_slices
 from tidewatch.llm.components import connected_components
 
-#: A shingle in more prefixes than this comes late in the global order.
-FREQUENT = 24
-#: Bits of the bitmaps that carry frequent and repeated shingles to the tasks: 8 MB, whatever the input.
+#: A shingle that more sets hold comes late in the global order.
+FREQUENT = 16
+#: Bits of the bitmap that keeps sets nobody asks for from being shuffled: 8 MB, whatever the input; a full one costs time only.
 BITS = 26
-#: The counting passes look this much further than the prefix, as frequent shingles will move back.
-AHEAD = 1.3
+#: The share of all hashes that is counted first, as a multiple of the prefix's share of a set.
+AHEAD = 1.5
+#: Shingles that a task gathers before it deals them out, and that one task counts.
+GATHERED, COUNTED = 1_000_000, 1_000_000
+#: Candidates of one set that one task compares.
+CELL = 256
 
 _MASK = np.uint64((1 << 48) - 1)
 
@@ -45,8 +54,8 @@ def required(size_a, size_b, percent: int):
     return -(-percent * (size_a + size_b) // (100 + percent))
 
 
-def shingle_sets(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
-    """(id, sig, n, tokens): the distinct shingles of each whole text, as sorted 6-byte hashes; sig stands for the whole set."""
+def shingle_sets(docs: DataFrame, id_col: str, text_col: str, size: int, bound: int) -> DataFrame:
+    """(id, sig, n, low, tokens): the distinct shingles of each whole text, as sorted 6-byte hashes of which low are under bound; sig stands for the whole set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = WordHasher()
@@ -66,41 +75,121 @@ def shingle_sets(docs: DataFrame, id_col: str, text_col: str, size: int) -> Data
                 bounds = np.concatenate([[0], np.cumsum(counts)])
                 total = np.concatenate([[np.uint64(0)], np.cumsum(mix(tokens + np.uint64(0x5851F42D4C957F2D)))])
                 sig = mix(total[bounds[1:]] - total[bounds[:-1]] + counts.astype(np.uint64)).view(np.int64)
-                yield pa.RecordBatch.from_arrays([ids.slice(first, n_rows), pa.array(sig), pa.array(counts.astype(np.int32)), binary_column(pack(tokens), bounds)], ["id", "sig", "n", "tokens"])
+                low = np.bincount(rows[tokens < np.uint64(bound)], minlength=n_rows)
+                numbers = [pa.array(x.astype(np.int32)) for x in (counts, low)]
+                yield pa.RecordBatch.from_arrays([ids.slice(first, n_rows), pa.array(sig), *numbers, binary_column(pack(tokens), bounds)], ["id", "sig", "n", "low", "tokens"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "id long, sig long, n int, tokens binary")
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "id long, sig long, n int, low int, tokens binary")
 
 
-def _rows_of(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(sig, n, row of each token, tokens) of a batch of sets, in slices."""
+def _rows_of(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, ...]]:
+    """(sig, n, low, row of each token, tokens) of a batch of sets, in slices."""
     column = batch.column(batch.schema.get_field_index("tokens")).cast(pa.large_binary())
     offsets = np.frombuffer(column.buffers()[1], np.int64, len(column) + 1 + column.offset)[column.offset :]
     raw = np.frombuffer(column.buffers()[2], np.uint8) if column.buffers()[2] is not None else np.zeros(0, np.uint8)
-    sig, n = (batch.column(batch.schema.get_field_index(c)).to_numpy() for c in ("sig", "n"))
+    sig, n, low = (batch.column(batch.schema.get_field_index(c)).to_numpy() for c in ("sig", "n", "low"))
     at = 0
     while at < len(column):
         end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + (3 << 20), "right")) - 1)
-        yield sig[at:end], n[at:end].astype(np.int64), np.repeat(np.arange(end - at), n[at:end]), unpack(raw[offsets[at] : offsets[end]])
+        yield sig[at:end], n[at:end], low[at:end], np.repeat(np.arange(end - at), n[at:end]), unpack(raw[offsets[at] : offsets[end]])
         at = end
 
 
-def _held(bitmap: np.ndarray, values: np.ndarray) -> np.ndarray:
-    cell = (values & values.dtype.type((1 << BITS) - 1)).astype(np.int64)
-    return ((bitmap[cell >> 3] >> (cell & 7).astype(np.uint8)) & 1).astype(bool)
+def _prefix(n):
+    """SQL of the length of the prefix of a set of n; {percent} stays open."""
+    return f"({n} - ({{percent}} * {n} + 99) div 100 + 1)"
 
 
-def _rank(rows: np.ndarray, n: np.ndarray, late: np.ndarray) -> np.ndarray:
-    """Place of each token in its set when the late ones go last (sets hold tokens by hash)."""
-    starts = np.cumsum(n) - n
-    early = np.concatenate([[0], np.cumsum(~late)])
-    before = early[:-1] - early[starts][rows]
-    n_early = (early[np.minimum(starts + n, len(late))] - early[starts])[rows]
-    place = np.arange(len(rows)) - starts[rows]
-    return np.where(late, n_early + place - before, before)
+_ENTRY = ["tok", "sig", "n", "low", "pos"]
+_DEALT = "bucket int, frequent boolean, " + ", ".join(f"{c} binary" for c in _ENTRY)
 
 
-def _prefix(n: np.ndarray, percent: int) -> np.ndarray:
-    return n - -(-percent * n // 100) + 1
+def _dealt(sets: DataFrame, bound: int, beyond: bool, buckets: int) -> DataFrame:
+    """The shingles under the hash bound, or beyond it, of each set, gathered by bucket of the shingle into columns of numbers.
+
+    Equal sets that meet in a task are dealt once. A shingle that is frequent among the sets of one task is marked so: its entries only go
+    back to their sets, and its bucket learns of it once, as a single entry without a set (n = 0).
+    """
+
+    def flush(parts: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        tok, sig, n, low, pos = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.argsort(tok, kind="stable")
+        edge = np.flatnonzero(np.concatenate([[True], tok[order][1:] != tok[order][:-1], [True]]))
+        often = np.diff(edge) > FREQUENT
+        hot = np.zeros(len(tok), bool)
+        hot[order] = np.repeat(often, np.diff(edge))
+        told = tok[order][edge[:-1][often]]
+        bucket = (tok % np.uint64(buckets)).astype(np.int32)
+        bucket[hot] = (sig[hot].view(np.uint64) % np.uint64(buckets)).astype(np.int32)
+        nothing = np.zeros(len(told), np.int32)
+        bucket = np.concatenate([bucket, (told % np.uint64(buckets)).astype(np.int32)])
+        columns = [np.concatenate(x) for x in ((tok, told), (sig, nothing.astype(np.int64)), (n, nothing), (low, nothing), (pos, nothing))]
+        hot = np.concatenate([hot, np.zeros(len(told), bool)])
+        key = bucket * 2 + hot
+        order = np.argsort(key, kind="stable")
+        edge = np.flatnonzero(np.concatenate([[True], key[order][1:] != key[order][:-1], [True]]))
+        first = order[edge[:-1]]
+        blobs = [binary_column(pack(x[order]) if x is columns[0] else x[order], edge) for x in columns]
+        yield pa.RecordBatch.from_arrays([pa.array(bucket[first]), pa.array(hot[first]), *blobs], ["bucket", "frequent", *_ENTRY])
+
+    def run(batches):
+        parts, held = [], 0
+        for batch in batches:
+            for sig, n, low, rows, tokens in _rows_of(batch):
+                chosen = np.zeros(len(sig), bool)
+                chosen[np.unique(sig, return_index=True)[1]] = True
+                pos = (np.arange(len(rows)) - (np.cumsum(n) - n)[rows]).astype(np.int32)
+                keep = chosen[rows] & ((tokens >= np.uint64(bound)) == beyond)
+                rows = rows[keep]
+                parts.append([tokens[keep], sig[rows], n[rows], low[rows], pos[keep]])
+                held += len(rows)
+                if held >= GATHERED:
+                    yield from flush(parts)
+                    parts, held = [], 0
+        if held:
+            yield from flush(parts)
+
+    return sets.select("sig", "n", "low", "tokens").mapInArrow(run, _DEALT)
+
+
+def _shared(dealt: DataFrame, partitions: int) -> DataFrame:
+    """(tok, sig, n, low, pos, frequent) of every entry whose shingle at least two sets hold; a frequent one is held by more than FREQUENT."""
+
+    def run(batches):
+        known, parts = [], []
+        for batch in batches:
+            columns = {c: batch.column(batch.schema.get_field_index(c)) for c in ["frequent", *_ENTRY]}
+            for i, frequent in enumerate(columns["frequent"].to_pylist()):
+                raw = [np.frombuffer(columns[c][i].as_buffer(), np.uint8) for c in _ENTRY]
+                (known if frequent else parts).append([unpack(raw[0]), raw[1].view(np.int64), *(x.view(np.int32) for x in raw[2:])])
+        if known:
+            tok, *rest = (np.concatenate(x) for x in zip(*known, strict=True))
+            yield from entries(tok, *rest, np.ones(len(tok), bool))
+        if not parts:
+            return
+        tok, sig, n, low, pos = (np.concatenate(x) for x in zip(*parts, strict=True))
+        parts.clear()
+        order = np.lexsort((sig, tok))
+        tok, sig, n, low, pos = (x[order] for x in (tok, sig, n, low, pos))
+        fresh = np.concatenate([[True], (tok[1:] != tok[:-1]) | (sig[1:] != sig[:-1]) | (n[1:] != n[:-1])])  # equal sets of other tasks
+        tok, sig, n, low, pos = (x[fresh] for x in (tok, sig, n, low, pos))
+        edge = np.flatnonzero(np.concatenate([[True], tok[1:] != tok[:-1], [True]]))
+        count = np.diff(edge)
+        hot = np.repeat((count > FREQUENT) | (np.minimum.reduceat(n, edge[:-1]) == 0), count)
+        keep = (hot | np.repeat(count > 1, count)) & (n > 0)
+        yield from entries(*(x[keep] for x in (tok, sig, n, low, pos, hot)))
+
+    def entries(tok, sig, n, low, pos, hot):
+        for at in range(0, len(tok), 100_000):
+            part = [pa.array(x[at : at + 100_000]) for x in (tok.view(np.int64), sig, n, low, pos, hot)]
+            yield pa.RecordBatch.from_arrays(part, [*_ENTRY, "frequent"])
+
+    return dealt.repartition(partitions, "bucket").mapInArrow(run, "tok long, sig long, n int, low int, pos int, frequent boolean")
+
+
+def _held(bitmap: np.ndarray, values: np.ndarray) -> np.ndarray:
+    cell = (values & values.dtype.type((1 << BITS) - 1)).astype(np.int64)
+    return ((bitmap[cell >> 3] >> (cell & 7).astype(np.uint8)) & 1).astype(bool)
 
 
 def _bitmap(values: DataFrame) -> np.ndarray:
@@ -113,41 +202,21 @@ def _bitmap(values: DataFrame) -> np.ndarray:
     return out
 
 
-def _counted(sets: DataFrame, late, percent: int) -> DataFrame:
-    """(tok, c) of the shingles found in two prefixes or more, looking AHEAD of them."""
-
-    def run(batches):
-        for batch in batches:
-            for _, n, rows, tokens in _rows_of(batch):
-                is_late = _held(late.value, tokens)
-                near = ~is_late & (_rank(rows, n, is_late) < np.ceil(AHEAD * _prefix(n, percent))[rows])
-                if near.any():
-                    yield pa.RecordBatch.from_arrays([pa.array(tokens[near].view(np.int64))], ["tok"])
-
-    return sets.select("sig", "n", "tokens").mapInArrow(run, "tok long").groupBy("tok").agg(F.count("*").alias("c")).where("c > 1")
-
-
-def _emitted(sets: DataFrame, late, counted_with, repeated, percent: int) -> DataFrame:
-    """(tok, sig, n, at, place) of each prefix, at its position in the set; with repeated, without those that the last counting pass saw once, else only those it did not see.
-
-    place orders sets for the choice of hubs: those with the least share of rare shingles first, which are the middle of a group, then by sig.
-    """
+def _only(sets: DataFrame, nodes: DataFrame, named: DataFrame) -> DataFrame:
+    """One copy of each set whose sig is in named."""
+    wanted = materialize(nodes.join(named.distinct(), "sig").select("sig", F.col("first_id").alias("id")), "wanted")
+    held = sets.sparkSession.sparkContext.broadcast(_bitmap(wanted.select(F.expr("coalesce(id ^ shiftright(id, 26), 0)"))))
 
     def run(batches):
         for batch in batches:
-            for sig, n, rows, tokens in _rows_of(batch):
-                is_late, was_late = _held(late.value, tokens), _held(counted_with.value, tokens)
-                prefix = _prefix(n, percent)
-                rank = _rank(rows, n, is_late)
-                keep = rank < prefix[rows]
-                seen = ~was_late & (_rank(rows, n, was_late) < np.ceil(AHEAD * prefix)[rows])
-                keep &= (was_late | _held(repeated.value, tokens)) if repeated else ~was_late & ~seen
-                if keep.any():
-                    rare = (np.bincount(rows[~is_late], minlength=len(n)) * 4095 // np.maximum(n, 1)).astype(np.int64)
-                    place = (rare << 50) | ((sig >> 14) & ((1 << 50) - 1))
-                    yield pa.RecordBatch.from_arrays([pa.array(tokens[keep].view(np.int64)), *(pa.array(x[rows[keep]]) for x in (sig, n.astype(np.int32))), pa.array(rank[keep].astype(np.int32)), pa.array(place[rows[keep]])], ["tok", "sig", "n", "at", "place"])
+            ids = batch.column(0).fill_null(0).to_numpy()
+            yield batch.filter(pa.array(_held(held.value, ids ^ (ids >> 26))))
 
-    return sets.select("sig", "n", "tokens").mapInArrow(run, "tok long, sig long, n int, at int, place long")
+    near = sets.mapInArrow(run, sets.schema)
+    found = near.alias("s").join(wanted.alias("w"), F.expr("s.sig = w.sig and s.id <=> w.id"), "left_semi").dropDuplicates(["sig"])
+    out = materialize(found.select("sig", "n", "low", "tokens"), "needed", "none")
+    release(wanted)
+    return out
 
 
 def walk_tree(hub: np.ndarray, sets: list[np.ndarray], percent: int) -> np.ndarray:
@@ -181,23 +250,64 @@ def walk_tree(hub: np.ndarray, sets: list[np.ndarray], percent: int) -> np.ndarr
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of sets whose similarity holds, each compared in full."""
+    """The pairs (a, b) of sets whose similarity holds. Each set a meets at most about CELL candidates in one group; a is sent once to each group."""
 
     def run(batches):
+        hub = tokens = None
         for batch in batches:
-            hubs = batch.column(0).to_numpy()
-            change = np.concatenate([[0], np.flatnonzero(hubs[1:] != hubs[:-1]) + 1, [len(hubs)]]) if len(hubs) else []
-            keep = np.zeros(len(hubs), bool)
-            for start, end in zip(change[:-1], change[1:], strict=True):
-                blob = lambda c, i: unpack(np.frombuffer(batch.column(c)[i].as_py(), np.uint8))
-                keep[start:end] = walk_tree(blob(2, int(start)), [blob(3, i) for i in range(start, end)], percent)
-            if keep.any():
-                yield pa.RecordBatch.from_arrays([pa.array(hubs[keep]), pa.array(batch.column(1).to_numpy()[keep])], ["a", "b"])
+            group, b = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            a, is_hub = batch.column(2).to_numpy(), batch.column(3).to_numpy(zero_copy_only=False)
+            blob = lambda i: unpack(np.frombuffer(batch.column(4)[i].as_buffer(), np.uint8))  # noqa: E731, B023
+            cuts = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (group[1:] != group[:-1]) | is_hub[1:], [True]])) if len(a) else []
+            for start, end in zip(cuts[:-1], cuts[1:], strict=True):
+                if is_hub[start]:
+                    hub, tokens, start = (a[start], group[start]), blob(int(start)), start + 1
+                if start == end:
+                    continue
+                assert hub == (a[start], group[start])
+                alike = walk_tree(tokens, [blob(i) for i in range(start, end)], percent)
+                if alike.any():
+                    yield pa.RecordBatch.from_arrays([pa.array(a[start:end][alike]), pa.array(b[start:end][alike])], ["a", "b"])
 
     own = sets.select("sig", "tokens")
-    with_b = pairs.join(own.select(F.col("sig").alias("b"), F.col("tokens").alias("tb")), "b")
-    both = with_b.join(own.select(F.col("sig").alias("a"), F.col("tokens").alias("ta")), "a")
-    return both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
+    groups = pairs.groupBy("a").agg(F.expr(f"(count(*) + {CELL - 1}) div {CELL}").alias("groups"))
+    dealt = pairs.join(groups, "a").select("a", "b", F.expr("pmod(xxhash64(b), groups)").alias("cell"))
+    hubs = dealt.select("a", "cell").distinct().join(own, F.col("a") == F.col("sig")).select("cell", F.col("a").alias("b"), "a", F.lit(True).alias("is_hub"), "tokens")
+    others = dealt.join(own, F.col("b") == F.col("sig")).select("cell", "b", "a", F.lit(False).alias("is_hub"), "tokens")
+    together = hubs.unionByName(others).repartition("a", "cell").sortWithinPartitions("a", "cell", F.desc("is_hub"))
+    return together.mapInArrow(run, "a long, b long")
+
+
+def _placed(entries: DataFrame, percent: int) -> DataFrame:
+    """Entries with the number of frequent shingles of their set (late_ones), at, their place in the global order as far as it was counted, and p, the prefix's length."""
+    own = Window.partitionBy("sig")
+    before = own.orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    late = F.col("frequent").cast("int")
+    once = entries.withColumn("last", F.lag("pos").over(own.orderBy("pos"))).where("last is null or last <> pos")  # equal sets of several tasks
+    counted = once.withColumn("late_ones", F.sum(late).over(own)).withColumn("before", F.coalesce(F.sum(late).over(before), F.lit(0)))
+    at = F.when(F.col("frequent"), F.expr("n - late_ones + before")).otherwise(F.expr("pos - before"))
+    return counted.select("tok", "sig", "n", "low", "pos", "frequent", "late_ones", at.alias("at"), F.expr(_prefix("n").format(percent=percent)).alias("p"))
+
+
+def _prefixes(all_sets: DataFrame, nodes: DataFrame, bound: int, percent: int) -> DataFrame:
+    """(tok, sig, n, p, at, frequent, late): the shared shingles of every prefix; late is how many frequent ones the prefix holds, shared or not."""
+
+    def entries(sets: DataFrame, beyond: bool, total: int) -> DataFrame:
+        partitions = total // COUNTED + 1
+        return _shared(_dealt(sets, bound, beyond, 8 * partitions), partitions)
+
+    total = nodes.agg(F.sum("low")).first()[0] or 0
+    first = _placed(entries(all_sets, False, total), percent).withColumn("short", F.expr("low - late_ones < p and low < n or n - late_ones < p"))
+    first = materialize(first.where("short or (not frequent and at < p)"), "placed")
+    more = first.where("short").select("sig").unionByName(nodes.where(f"low < {_prefix('n').format(percent=percent)}").select("sig"))
+    needed = _only(all_sets, nodes, more)
+    total = needed.agg(F.sum(F.col("n") - F.col("low"))).first()[0] or 0
+    whole = entries(needed, True, total).unionByName(first.where("short").select(*_ENTRY, "frequent"))
+    columns = ["tok", "sig", "n", "p", "at", "frequent", F.expr("greatest(0, p - n + late_ones)").alias("late")]
+    second = _placed(whole, percent).where("at < p").select(*columns)
+    out = materialize(first.where("not short").select(*columns[:-1], F.lit(0).alias("late")).unionByName(second), "runs")
+    release(first, needed)
+    return out
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
@@ -208,70 +318,52 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     Rows with the same id are all returned; a null id takes no part in naming a component (its component_id is the smallest other
     id, or null). An empty table gives an empty result; further columns of docs play no part.
     """
-    spark = docs.sparkSession
-    all_sets = materialize(shingle_sets(docs, id_col, text_col, size), "sets", "none")
-    nodes = all_sets.where("n > 0").groupBy("sig").agg(F.min("id").alias("first_id"), F.min("n").alias("n"))
-
-    empty = np.zeros(1 << (BITS - 3), np.uint8)
-    late, sets = empty, all_sets.where("n > 0")
-    for _ in range(4):
-        used = spark.sparkContext.broadcast(late)
-        counted = materialize(_counted(sets, used, percent), "counts")
-        fresh = _bitmap(counted.where(F.col("c") > FREQUENT).select("tok"))
-        repeated = _bitmap(counted.select("tok"))
-        total, moved = counted.agg(F.sum("c"), F.sum(F.when(F.col("c") > FREQUENT, F.col("c")))).first()
-        release(counted)
-        late = late | fresh
-        if (moved or 0) <= 0.02 * (total or 0):
-            break
-    order = spark.sparkContext.broadcast(late)
-    # A shingle that moved into some prefix only now may have been counted once for another text: those pass as well.
-    repeated |= _bitmap(_emitted(sets, order, used, None, percent).select("tok"))
-    seen = spark.sparkContext.broadcast(repeated)
-    runs = materialize(_emitted(sets, order, used, seen, percent).distinct(), "runs")
+    bound = min(1 << 48, int(AHEAD * (100 - percent) / 100 * (1 << 48)) + 1)
+    all_sets = materialize(shingle_sets(docs, id_col, text_col, size, bound), "sets", "none")
+    numbers = ["n", "low"]
+    nodes = materialize(all_sets.where("n > 0").groupBy("sig").agg(F.min("id").alias("first_id"), *(F.min(c).alias(c) for c in numbers)), "nodes")
+    runs = _prefixes(all_sets.where("n > 0"), nodes, bound, percent)
 
     alike_size = f"100 * least(na, nb) >= {percent} * greatest(na, nb)"
-    alike_size = f"100 * least(na, nb) >= {percent} * greatest(na, nb)"
-    least = runs.groupBy("tok").agg(F.min("sig").alias("lo"), F.max("sig").alias("hi"), F.min_by("sig", "place").alias("a"), F.min_by("n", "place").alias("na")).where("lo <> hi")
-    sized = runs.select("tok", F.col("sig").alias("b"), F.col("n").alias("nb")).join(least.select("tok", "a", "na"), "tok")
-    hubs = materialize(sized.where(f"a <> b and {alike_size}").select("a", "b").distinct(), "hubs")
-    needed = materialize(_only(all_sets, nodes, hubs), "needed", "none")
-    links = materialize(_verified(hubs, needed, percent), "links")
-    release(hubs, needed)
-
-    labels = materialize(connected_components(links), "labels")
-    labelled = runs.join(labels.withColumnRenamed("node", "sig"), "sig", "left").select("tok", "sig", "n", "at", F.coalesce("component", "sig").alias("component"))
-    mixed = labelled.groupBy("tok").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("k")).where("lo <> hi").select("tok", "k")
-    open_runs = materialize(labelled.join(mixed, "tok"), "open")
-    left, right = (open_runs.select("tok", F.col("sig").alias(s), F.col("n").alias(f"n{s}"), F.col("at").alias(f"at{s}"), F.col("component").alias(f"c{s}")) for s in "ab")
-    # All sets follow one order: what two sets share before a common shingle lies before it in both, and at most the shorter remainder after it.
     need = f"(({percent} * (na + nb) + {99 + percent}) div {100 + percent})"
-    cross = left.join(right, "tok").where(f"ca <> cb and a < b and {alike_size} and least(na - ata, nb - atb) >= {need}")
-    counts = cross.groupBy("a", "b").agg(F.count("*").alias("common"), F.min(F.expr("least(na - ata, nb - atb)")).alias("rest"), F.first("na").alias("na"), F.first("nb").alias("nb"))
-    pairs = materialize(counts.where(f"common + rest - 1 >= {need}").select("a", "b"), "pairs")
-    needed = materialize(_only(all_sets, nodes, pairs), "needed", "none")
-    more = materialize(_verified(pairs, needed, percent), "links")
-    release(pairs, needed, open_runs, runs)
+    # What both prefixes hold is counted; of the set whose prefix ends first in the order, only what lies beyond it can be common besides.
+    beyond = "greatest(na - pa, nb - pb)"
+    first_rest = "max(least(na - ata, nb - atb)) AS rest"  # of the first shingle in common: at most so many are common from there on
+    side = lambda df, s, *more: df.select("tok", F.col("sig").alias(s), *(F.col(c).alias(f"{c}{s}") for c in ("n", "p", "at", "late", *more)))
+
+    rare = runs.where("not frequent")
+    both = side(rare, "a").join(side(rare, "b"), "tok").where(f"a < b and {alike_size}")
+    sizes = [F.first(c).alias(c) for c in ("na", "nb", "pa", "pb", "latea", "lateb")] + [F.expr(first_rest)]
+    pairs = both.groupBy("a", "b").agg(F.count("*").alias("common"), *sizes).where(f"rest >= {need} and common + least(latea, lateb) + {beyond} >= {need}").select("a", "b")
+
+    late = runs.where("frequent").withColumn("place", F.expr("((p - late) * 4095L div n << 50) | (shiftright(sig, 14) & ((1L << 50) - 1))"))
+    least = late.groupBy("tok").agg(F.min("sig").alias("lo"), F.max("sig").alias("hi"), F.min_by("sig", "place").alias("a"), F.min_by("n", "place").alias("na")).where("lo <> hi")
+    sized = late.select("tok", F.col("sig").alias("b"), F.col("n").alias("nb")).join(least.select("tok", "a", "na"), "tok")
+    pairs = materialize(pairs.unionByName(sized.where(f"a <> b and {alike_size}").select("a", "b").distinct()), "pairs")
+    links = _linked(all_sets, nodes, pairs, percent)
+
+    labels = connected_components(links)
+    labelled = runs.where("frequent").join(labels.withColumnRenamed("node", "sig"), "sig", "left").withColumn("component", F.coalesce("component", "sig"))
+    mixed = labelled.groupBy("tok").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("tok")
+    open_runs = materialize(labelled.join(mixed, "tok"), "open")
+    cross = side(open_runs, "a", "component").join(side(open_runs, "b", "component"), "tok").where(f"componenta <> componentb and a < b and {alike_size}")
+    counts = cross.groupBy("a", "b").agg(F.count("*").alias("common"), *sizes).where(f"rest >= {need} and common + least(pa - latea, pb - lateb) + {beyond} >= {need}")
+    more_pairs = materialize(counts.select("a", "b"), "pairs")
+    more = _linked(all_sets, nodes, more_pairs, percent)
     final = connected_components(links.unionByName(more))
 
     by_sig = nodes.join(final.withColumnRenamed("node", "sig"), "sig", "left").select("sig", "first_id", F.coalesce("component", "sig").alias("component"))
     least_id = by_sig.groupBy("component").agg(F.min("first_id").alias("component_id"))
     names = by_sig.join(least_id, "component").select("sig", "component_id")
     out = all_sets.select("id", "sig", "n").join(names, "sig", "left")
-    return out.select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
-
-
-def _only(sets: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """One copy of each set that the pairs name; a bitmap of ids keeps most others from being shuffled."""
-    named = pairs.select(F.col("a").alias("sig")).unionByName(pairs.select(F.col("b").alias("sig"))).distinct()
-    wanted = materialize(nodes.join(named, "sig").select("sig", F.col("first_id").alias("id")), "wanted")
-    held = sets.sparkSession.sparkContext.broadcast(_bitmap(wanted.select(F.expr("coalesce(id ^ shiftright(id, 26), 0)"))))
+    out = materialize(out.select(F.col("id").alias(id_col), F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id")), "components")
+    release(all_sets, nodes, runs, pairs, links, labels, open_runs, more_pairs, more, final)
+    return out
 
-    def run(batches):
-        for batch in batches:
-            ids = batch.column(0).fill_null(0).to_numpy()
-            yield batch.filter(pa.array(_held(held.value, ids ^ (ids >> 26))))
 
-    near = sets.select("id", "sig", "tokens").mapInArrow(run, "id long, sig long, tokens binary")
-    found = near.alias("s").join(wanted.alias("w"), F.expr("s.sig = w.sig and s.id <=> w.id"), "left_semi")
-    return found.select("s.sig", "s.tokens").dropDuplicates(["sig"])
+def _linked(all_sets: DataFrame, nodes: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """The pairs that hold, each compared over its whole sets."""
+    needed = _only(all_sets, nodes, pairs.select(F.col("a").alias("sig")).unionByName(pairs.select(F.col("b").alias("sig"))))
+    links = materialize(_verified(pairs, needed, percent), "links")
+    release(needed)
+    return links
