@@ -125,10 +125,10 @@ def test_hilbert_neighbours():
     assert sorted(keys) == list(range(512)) and (np.abs(np.diff(walk, axis=0)).sum(axis=1) == 1).all()
 
 
-@pytest.mark.parametrize("batches,fanout", [(1, 2), (2, 2), (5, 2)])
-def test_line_dedup_equals_brute_force(spark, batches, fanout):
+@pytest.mark.parametrize("batch_lines,fanout", [(10**9, 2), (400, 2)])
+def test_line_dedup_equals_brute_force(spark, batch_lines, fanout):
     rows = corpus(spark) + [(1000 + i, t) for i, t in odd_rows()] + [(None, "the same line of some length")]
-    out = dedup_lines(frame(spark, rows), batches=batches, fanout=fanout).collect()
+    out = dedup_lines(frame(spark, rows), batch_lines=batch_lines, fanout=fanout).collect()
     want = brute.line_dedup(rows)
     key = lambda x: (x[0] is None, x[0] or 0, x[1:])
     assert sorted([(r.doc_id, r.n_lines, r.n_dropped, hashlib.sha256(r.kept_text.encode()).hexdigest()) for r in out], key=key) == sorted(want, key=key)

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text that one numpy step holds at a time inside a task.
 SLICE_BYTES = 1 << 21
@@ -23,11 +23,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where none is set (tests)."""
+    """The folder that driver and executors share. Without one nothing is written: a local folder would be lost with its machine."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = tempfile.mkdtemp(prefix="tidewatch-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return found.rstrip("/")
 
 
@@ -45,16 +44,67 @@ def materialize(df: DataFrame, tag: str, compression: str = "zstd") -> DataFrame
     return out
 
 
+def materialize_sorted(df: DataFrame, tag: str, keys: list[str]) -> DataFrame:
+    """materialize(), dealt by a hash of keys into as many sorted buckets as a shuffle has parts: tables dealt alike join without a new shuffle."""
+    spark = df.sparkSession
+    path, name = new_path(spark, tag), f"tidewatch_{tag}_{uuid.uuid4().hex}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.bucketBy(buckets, *keys).sortBy(*keys).option("path", path).option("compression", "zstd").saveAsTable(name)
+    out = spark.table(name)
+    out._tidewatch_path, out._tidewatch_table = path, name
+    return out
+
+
 def release(*frames: DataFrame) -> None:
     """Deletes tables made by materialize() that nothing reads any more."""
     for df in frames:
-        path = getattr(df, "_tidewatch_path", None)
-        if path:
-            spark = df.sparkSession
+        spark = df.sparkSession
+        if name := getattr(df, "_tidewatch_table", None):
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
+        if path := getattr(df, "_tidewatch_path", None):
             where = spark._jvm.org.apache.hadoop.fs.Path(path)
             where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def free_prefix(*frames: DataFrame) -> str:
+    """A prefix that no column of the frames begins with."""
+    prefix = "own_"
+    while any(c.lower().startswith(prefix) for df in frames for c in df.columns):
+        prefix = f"_{prefix}"
+    return prefix
+
+
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), where value is evaluated once however often use() names it, lambdas included."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+#: Elements that scan() appends to one array before it begins another.
+BLOCK = 256
+
+
+def scan(items: Column, state: Column, step: Callable[[Column, Column], tuple[Column, Column]], out_type: str) -> Column:
+    """The array of out of (state, out) = step(state, item) over items in their order.
+
+    An array that grows is copied at each step; blocks keep that to BLOCK elements, so the whole is near linear.
+    """
+    none = lambda kind: F.from_json(F.lit("[]"), kind)
+
+    def inner(acc: Column, item: Column) -> Column:
+        following, out = step(acc["state"], item)
+        return F.struct(following.alias("state"), F.concat(acc["outs"], F.array(out)).alias("outs"))
+
+    def over(all_items: Column) -> Column:
+        def outer(acc: Column, at: Column) -> Column:
+            begin = F.struct(acc["state"].alias("state"), none(f"array<{out_type}>").alias("outs"))
+            return let(F.aggregate(F.slice(all_items, at, BLOCK), begin, inner), lambda r: F.struct(r["state"].alias("state"), F.concat(acc["outs"], F.array(r["outs"])).alias("outs")))
+
+        begin = F.struct(state.alias("state"), none(f"array<array<{out_type}>>").alias("outs"))
+        return F.flatten(F.aggregate(F.sequence(F.lit(1), F.greatest(F.size(all_items), F.lit(1)), F.lit(BLOCK)), begin, outer)["outs"])
+
+    return let(items, over)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser (splitmix)."""
     x = x ^ (x >> _U(30))
