@@ -32,7 +32,7 @@ BITS = 26
 #: The share of all hashes that is counted first, as a multiple of the prefix's share of a set.
 AHEAD = 1.5
 #: Shingles that a task gathers before it deals them out, and that one task counts.
-GATHERED, COUNTED = 1_000_000, 1_000_000
+GATHERED, COUNTED = 1_000_000, 700_000
 #: Candidates of one set that one task compares.
 CELL = 256
 
@@ -101,14 +101,15 @@ def _prefix(n):
 
 
 _ENTRY = ["tok", "sig", "n", "low", "pos"]
-_DEALT = "bucket int, frequent boolean, " + ", ".join(f"{c} binary" for c in _ENTRY)
+_DEALT = "part int, frequent boolean, tok binary, pos binary, owner binary, sig binary, n binary, low binary"
 
 
-def _dealt(sets: DataFrame, bound: int, beyond: bool, buckets: int) -> DataFrame:
-    """The shingles under the hash bound, or beyond it, of each set, gathered by bucket of the shingle into columns of numbers.
+def _dealt(sets: DataFrame, bound: int, beyond: bool, partitions: int) -> DataFrame:
+    """The shingles under the hash bound, or beyond it, of each set, gathered by partition of the shingle into columns of numbers.
 
-    Equal sets that meet in a task are dealt once. A shingle that is frequent among the sets of one task is marked so: its entries only go
-    back to their sets, and its bucket learns of it once, as a single entry without a set (n = 0).
+    A row holds for each of its shingles the place in the set and the number of the set in the row's own list (sig, n, low). Equal sets that meet in a
+    task are dealt once. A shingle that is frequent among the sets of one task is marked so: its entries only go back to their sets, and its
+    partition learns of it once, as a single entry of a set that is none (n = 0).
     """
 
     def flush(parts: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
@@ -119,18 +120,23 @@ def _dealt(sets: DataFrame, bound: int, beyond: bool, buckets: int) -> DataFrame
         hot = np.zeros(len(tok), bool)
         hot[order] = np.repeat(often, np.diff(edge))
         told = tok[order][edge[:-1][often]]
-        bucket = (tok % np.uint64(buckets)).astype(np.int32)
-        bucket[hot] = (sig[hot].view(np.uint64) % np.uint64(buckets)).astype(np.int32)
+        part = (tok % np.uint64(partitions)).astype(np.int32)
+        part[hot] = (sig[hot].view(np.uint64) % np.uint64(partitions)).astype(np.int32)
+        part = np.concatenate([part, (told % np.uint64(partitions)).astype(np.int32)])
         nothing = np.zeros(len(told), np.int32)
-        bucket = np.concatenate([bucket, (told % np.uint64(buckets)).astype(np.int32)])
-        columns = [np.concatenate(x) for x in ((tok, told), (sig, nothing.astype(np.int64)), (n, nothing), (low, nothing), (pos, nothing))]
-        hot = np.concatenate([hot, np.zeros(len(told), bool)])
-        key = bucket * 2 + hot
-        order = np.argsort(key, kind="stable")
-        edge = np.flatnonzero(np.concatenate([[True], key[order][1:] != key[order][:-1], [True]]))
-        first = order[edge[:-1]]
-        blobs = [binary_column(pack(x[order]) if x is columns[0] else x[order], edge) for x in columns]
-        yield pa.RecordBatch.from_arrays([pa.array(bucket[first]), pa.array(hot[first]), *blobs], ["bucket", "frequent", *_ENTRY])
+        tok, sig, n, low, pos = (np.concatenate(x) for x in ((tok, told), (sig, nothing.astype(np.int64)), (n, nothing), (low, nothing), (pos, nothing)))
+        key = part * 2 + np.concatenate([hot, np.zeros(len(told), bool)])
+        order = np.argsort(key, kind="stable")  # within a row, sets stay together
+        key, sig = key[order], sig[order]
+        edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
+        other = np.concatenate([[True], (sig[1:] != sig[:-1]) | (key[1:] != key[:-1])])
+        owner = np.cumsum(other) - 1
+        own_edge = np.append(owner[edge[:-1]], owner[-1] + 1)
+        owner -= np.repeat(own_edge[:-1], np.diff(edge))
+        blobs = [binary_column(x, edge) for x in (pack(tok[order]), pos[order], owner.astype(np.int32))]
+        blobs += [binary_column(x[other], own_edge) for x in (sig, n[order], low[order])]
+        first = key[edge[:-1]]
+        yield pa.RecordBatch.from_arrays([pa.array((first // 2).astype(np.int32)), pa.array(first % 2 == 1), *blobs], ["part", "frequent", "tok", "pos", "owner", "sig", "n", "low"])
 
     def run(batches):
         parts, held = [], 0
@@ -158,10 +164,12 @@ def _shared(dealt: DataFrame, partitions: int) -> DataFrame:
     def run(batches):
         known, parts = [], []
         for batch in batches:
-            columns = {c: batch.column(batch.schema.get_field_index(c)) for c in ["frequent", *_ENTRY]}
-            for i, frequent in enumerate(columns["frequent"].to_pylist()):
-                raw = [np.frombuffer(columns[c][i].as_buffer(), np.uint8) for c in _ENTRY]
-                (known if frequent else parts).append([unpack(raw[0]), raw[1].view(np.int64), *(x.view(np.int32) for x in raw[2:])])
+            column = {c: batch.column(i) for i, c in enumerate(batch.schema.names)}
+            for i, frequent in enumerate(column["frequent"].to_pylist()):
+                raw = {c: np.frombuffer(column[c][i].as_buffer(), np.uint8) for c in ("tok", "pos", "owner", "sig", "n", "low")}
+                owner = raw["owner"].view(np.int32)
+                rest = [raw["sig"].view(np.int64)[owner], raw["n"].view(np.int32)[owner], raw["low"].view(np.int32)[owner], raw["pos"].view(np.int32)]
+                (known if frequent else parts).append([unpack(raw["tok"]), *rest])
         if known:
             tok, *rest = (np.concatenate(x) for x in zip(*known, strict=True))
             yield from entries(tok, *rest, np.ones(len(tok), bool))
@@ -184,7 +192,7 @@ def _shared(dealt: DataFrame, partitions: int) -> DataFrame:
             part = [pa.array(x[at : at + 100_000]) for x in (tok.view(np.int64), sig, n, low, pos, hot)]
             yield pa.RecordBatch.from_arrays(part, [*_ENTRY, "frequent"])
 
-    return dealt.repartition(partitions, "bucket").mapInArrow(run, "tok long, sig long, n int, low int, pos int, frequent boolean")
+    return dealt.repartitionById(partitions, F.col("part")).mapInArrow(run, "tok long, sig long, n int, low int, pos int, frequent boolean")
 
 
 def _held(bitmap: np.ndarray, values: np.ndarray) -> np.ndarray:
@@ -294,7 +302,7 @@ def _prefixes(all_sets: DataFrame, nodes: DataFrame, bound: int, percent: int) -
 
     def entries(sets: DataFrame, beyond: bool, total: int) -> DataFrame:
         partitions = total // COUNTED + 1
-        return _shared(_dealt(sets, bound, beyond, 8 * partitions), partitions)
+        return _shared(_dealt(sets, bound, beyond, partitions), partitions)
 
     total = nodes.agg(F.sum("low")).first()[0] or 0
     first = _placed(entries(all_sets, False, total), percent).withColumn("short", F.expr("low - late_ones < p and low < n or n - late_ones < p"))
@@ -328,13 +336,13 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     need = f"(({percent} * (na + nb) + {99 + percent}) div {100 + percent})"
     # What both prefixes hold is counted; of the set whose prefix ends first in the order, only what lies beyond it can be common besides.
     beyond = "greatest(na - pa, nb - pb)"
-    first_rest = "max(least(na - ata, nb - atb)) AS rest"  # of the first shingle in common: at most so many are common from there on
+    bounds = {"least_common": f"{need} - {beyond} - least(latea, lateb)", "first_fits": f"least(na - ata, nb - atb) >= {need}"}  # from the first one in common on, no more than the rest of either
     side = lambda df, s, *more: df.select("tok", F.col("sig").alias(s), *(F.col(c).alias(f"{c}{s}") for c in ("n", "p", "at", "late", *more)))
 
     rare = runs.where("not frequent")
-    both = side(rare, "a").join(side(rare, "b"), "tok").where(f"a < b and {alike_size}")
-    sizes = [F.first(c).alias(c) for c in ("na", "nb", "pa", "pb", "latea", "lateb")] + [F.expr(first_rest)]
-    pairs = both.groupBy("a", "b").agg(F.count("*").alias("common"), *sizes).where(f"rest >= {need} and common + least(latea, lateb) + {beyond} >= {need}").select("a", "b")
+    both = side(rare, "a").join(side(rare, "b"), "tok").where(f"a < b and {alike_size}").select("a", "b", *(F.expr(x).alias(c) for c, x in bounds.items()))
+    found = both.groupBy("a", "b").agg(F.count("*").alias("common"), F.first("least_common").alias("least_common"), F.max("first_fits").alias("first_fits"))
+    pairs = found.where("first_fits and common >= least_common").select("a", "b")
 
     late = runs.where("frequent").withColumn("place", F.expr("((p - late) * 4095L div n << 50) | (shiftright(sig, 14) & ((1L << 50) - 1))"))
     least = late.groupBy("tok").agg(F.min("sig").alias("lo"), F.max("sig").alias("hi"), F.min_by("sig", "place").alias("a"), F.min_by("n", "place").alias("na")).where("lo <> hi")
@@ -346,9 +354,14 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     labelled = runs.where("frequent").join(labels.withColumnRenamed("node", "sig"), "sig", "left").withColumn("component", F.coalesce("component", "sig"))
     mixed = labelled.groupBy("tok").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("tok")
     open_runs = materialize(labelled.join(mixed, "tok"), "open")
-    cross = side(open_runs, "a", "component").join(side(open_runs, "b", "component"), "tok").where(f"componenta <> componentb and a < b and {alike_size}")
-    counts = cross.groupBy("a", "b").agg(F.count("*").alias("common"), *sizes).where(f"rest >= {need} and common + least(pa - latea, pb - lateb) + {beyond} >= {need}")
-    more_pairs = materialize(counts.select("a", "b"), "pairs")
+    # A pair is compared once, at the first frequent shingle of its open lists, and only if these and its rare ones may suffice.
+    per_set = ["sig", "n", "p", "late", "component"]
+    whole = open_runs.groupBy(*per_set).agg(F.expr("transform(sort_array(collect_list(struct(at, tok))), x -> x.tok) AS own"))
+    placed = whole.select(*per_set, "own", F.posexplode("own").alias("at", "tok"))
+    first_here = "not arrays_overlap(slice(owna, 1, ata), slice(ownb, 1, atb))"
+    enough = f"size(array_intersect(owna, ownb)) + least(pa - latea, pb - lateb) + {beyond} >= {need}"
+    cross = side(placed, "a", "component", "own").join(side(placed, "b", "component", "own"), "tok").where(f"componenta <> componentb and a < b and {alike_size} and {first_here} and {enough}")
+    more_pairs = materialize(cross.select("a", "b"), "pairs")
     more = _linked(all_sets, nodes, more_pairs, percent)
     final = connected_components(links.unionByName(more))
 
