@@ -138,10 +138,10 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     gone = materialize(gone, "gone")
     release(lines, common)
 
-    own = free_prefix(docs)
+    own = free_prefix(docs)  # gone grows with the documents: never broadcast, whatever its size
     gone = gone.toDF(f"{own}id", f"{own}version", f"{own}gone")
     row = docs.withColumns({f"{own}key": F.col(id_col).cast("long"), f"{own}hash": F.xxhash64(text_col)})
-    out = row.join(gone, (F.col(f"{own}key") == F.col(f"{own}id")) & (F.col(f"{own}hash") == F.col(f"{own}version")), "left")
+    out = row.join(gone.hint("merge"), (F.col(f"{own}key") == F.col(f"{own}id")) & (F.col(f"{own}hash") == F.col(f"{own}version")), "left")
     left_out = F.col(f"{own}gone")
     kept = lambda lines: F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), left_out)
     rest = let(text_lines(F.col(text_col)), lambda lines: F.array_join(F.transform(kept(lines), lambda i: F.get(lines, i)), "\n"))
