@@ -21,7 +21,7 @@ def db():
 
 def plain(value):
     if isinstance(value, float):
-        return "nan" if math.isnan(value) else round(value, 3) + 0.0
+        return "nan" if math.isnan(value) else value + 0.0
     return value
 
 
@@ -44,4 +44,4 @@ def test_query(spark, db, name):
     assert len(got) == len(want)
     for a, b in zip(got, want, strict=True):
         for x, y in zip(a, b, strict=True):
-            assert x == y or isinstance(x, float) and isinstance(y, (int, float)) and abs(x - y) <= 0.0021, (a, b)
+            assert x == y or isinstance(x, float) and isinstance(y, (int, float)) and math.isclose(x, y, rel_tol=1e-9, abs_tol=1e-9), (a, b)

@@ -7,6 +7,8 @@ from collections.abc import Callable
 QUERIES: dict[str, Callable] = {}
 SQL: dict[str, str] = {}
 AS_OF = "2024-01-20 12:00:00"
+#: Added before rounding, in both languages: means of decimals often lie exactly between two roundings, and the last bits of a sum depend on its order.
+NUDGE = 1e-9
 
 EVENTS_SQL = """
 raw AS (SELECT *, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k, CASE WHEN value BETWEEN 0.01 AND 200 THEN value ELSE 0.0 END AS flow FROM events),
@@ -21,6 +23,13 @@ clusters AS (SELECT circuit, cluster_id, count(*) AS member_count, CASE WHEN clu
 fixtures AS (SELECT 'f' || n AS fixture_id, CASE WHEN n % 4 <> 0 THEN 'Fixture ' || n END AS fixture_name, CASE WHEN n % 4 = 2 THEN 'toilet' WHEN n % 4 = 0 THEN 'shower' END AS fixture_type, n % 3 <> 0 AS confirmed FROM range(0, 12) t(n))"""
 
 
+def settled(value, digits: int):
+    """The rounded column, ties upwards whatever the last bits."""
+    from pyspark.sql import functions as F
+
+    return F.round((F.col(value) if isinstance(value, str) else value) + NUDGE, digits)
+
+
 def query(sql: str | None = None) -> Callable:
     """Registers a function under its name; the SQL may use the views u, r, clusters and fixtures."""
 

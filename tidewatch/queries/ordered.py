@@ -8,7 +8,7 @@ from tidewatch.functions import curves, scalars
 from tidewatch.operators import clustering, intervals, maintenance, rollups, series, signal
 from tidewatch.operators import relational as rel
 from tidewatch.plans import sessions
-from tidewatch.queries import query
+from tidewatch.queries import query, settled
 from tidewatch.sources.history import clusters, fixtures, readings, usage_events
 from tidewatch.streaming.detector import detect
 
@@ -21,16 +21,16 @@ def micros(a, b):
     return f"(epoch_us({a}) - epoch_us({b})) / 1e6"
 
 
-@query(f"SELECT id, circuit, round(avg(value) OVER w, 4) AS v, round(sum(value) OVER w, 3) AS s FROM (SELECT * FROM r) WINDOW w AS ({PART} ROWS UNBOUNDED PRECEDING)")
+@query(f"SELECT id, circuit, round(avg(value) OVER w + 1e-9, 4) AS v, round(sum(value) OVER w, 3) AS s FROM (SELECT * FROM r) WINDOW w AS ({PART} ROWS UNBOUNDED PRECEDING)")
 def agg15_readings(spark, d):
     own = series.running(readings(spark, d), "circuit", ORDER, {"s": ("sum", F.col("value")), "n": ("sum", F.lit(1))})
-    return own.select("id", "circuit", F.round(F.col("s") / F.col("n"), 4).alias("v"), F.round("s", 3).alias("s"))
+    return own.select("id", "circuit", settled(F.col("s") / F.col("n"), 4).alias("v"), F.round("s", 3).alias("s"))
 
 
-@query("SELECT id, circuit, cluster_id, count(*) OVER w AS member_count, round(avg(avg_flow_lpm) OVER w, 4) AS mean_avg_flow_lpm, round(avg(duration_seconds) OVER w, 4) AS mean_duration_seconds FROM u WHERE cluster_id IS NOT NULL WINDOW w AS (PARTITION BY circuit, cluster_id ORDER BY start_ts, id ROWS UNBOUNDED PRECEDING)")
+@query("SELECT id, circuit, cluster_id, count(*) OVER w AS member_count, round(avg(avg_flow_lpm) OVER w + 1e-9, 4) AS mean_avg_flow_lpm, round(avg(duration_seconds) OVER w + 1e-9, 4) AS mean_duration_seconds FROM u WHERE cluster_id IS NOT NULL WINDOW w AS (PARTITION BY circuit, cluster_id ORDER BY start_ts, id ROWS UNBOUNDED PRECEDING)")
 def agg15(spark, d):
     out = clustering.running_centroids(usage_events(spark, d), START, ["avg_flow_lpm", "duration_seconds"])
-    return out.select("id", "circuit", "cluster_id", "member_count", F.round("mean_avg_flow_lpm", 4).alias("mean_avg_flow_lpm"), F.round("mean_duration_seconds", 4).alias("mean_duration_seconds"))
+    return out.select("id", "circuit", "cluster_id", "member_count", settled("mean_avg_flow_lpm", 4).alias("mean_avg_flow_lpm"), settled("mean_duration_seconds", 4).alias("mean_duration_seconds"))
 
 
 @query(f"SELECT circuit, CAST(ts AS DATE) AS day, round(coalesce(sum((value + f) / 2 * {micros('ts', 't')} / 60), 0e0), 3) AS litres FROM (SELECT *, lag(ts) OVER w AS t, lag(value) OVER w AS f FROM r WINDOW w AS ({PART})) GROUP BY ALL")
@@ -39,21 +39,21 @@ def agg17(spark, d):
     return signal.integrated(own, "circuit", ORDER, "value", ["circuit", "day"]).withColumn("litres", F.round("litres", 3))
 
 
-@query("SELECT circuit, date_trunc('hour', ts) AS hour_ts, round(avg(value), 4) AS mean, max(value) AS top, round(coalesce(stddev_samp(value), 0e0), 4) AS stdev FROM r GROUP BY ALL")
+@query("SELECT circuit, date_trunc('hour', ts) AS hour_ts, round(avg(value) + 1e-9, 4) AS mean, max(value) AS top, round(coalesce(stddev_samp(value), 0e0) + 1e-9, 4) AS stdev FROM r GROUP BY ALL")
 def agg12(spark, d):
-    own = readings(spark, d).groupBy("circuit", F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("hour_ts")).agg(F.array_sort(F.collect_list("value")).alias("a"))
-    stats = curves.array_stats(F.col("a"))
-    return own.select("circuit", "hour_ts", F.round(stats["mean"], 4).alias("mean"), stats["max"].alias("top"), F.round(stats["stdev"], 4).alias("stdev"))
+    own = readings(spark, d).groupBy("circuit", F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("hour_ts"))
+    stats = own.agg(F.avg("value").alias("mean"), F.max("value").alias("top"), F.coalesce(F.stddev_samp("value"), F.lit(0.0)).alias("stdev"))
+    return stats.select("circuit", "hour_ts", settled("mean", 4).alias("mean"), "top", settled("stdev", 4).alias("stdev"))
 
 
-@query(f"SELECT id, circuit, CASE WHEN g >= 0 AND g < 300 THEN round(g, 4) END AS gap FROM (SELECT id, circuit, {micros('lead(start_ts) OVER (PARTITION BY circuit ORDER BY start_ts, id)', 'end_ts')} AS g FROM u)")
+@query(f"SELECT id, circuit, CASE WHEN g >= 0 AND g < 300 THEN round(g, 6) END AS gap FROM (SELECT id, circuit, {micros('lead(start_ts) OVER (PARTITION BY circuit ORDER BY start_ts, id)', 'end_ts')} AS g FROM u)")
 def win02(spark, d):
-    return sessions.with_gaps(usage_events(spark, d)).select("id", "circuit", F.round("seconds_to_next_event", 4).alias("gap"))
+    return sessions.with_gaps(usage_events(spark, d)).select("id", "circuit", F.round("seconds_to_next_event", 6).alias("gap"))
 
 
-@query(f"SELECT id, circuit, CASE WHEN count(value) OVER w = 80 THEN round(avg(value) OVER w, 4) END AS baseline, coalesce(CASE WHEN count(value) OVER w = 80 THEN avg(value) OVER w END - value >= 20, false) AS is_drop FROM r WINDOW w AS ({PART} ROWS BETWEEN 199 PRECEDING AND 120 PRECEDING)")
+@query(f"SELECT id, circuit, CASE WHEN count(value) OVER w = 80 THEN round(avg(value) OVER w + 1e-9, 4) END AS baseline, coalesce(CASE WHEN count(value) OVER w = 80 THEN avg(value) OVER w END - value >= 20, false) AS is_drop FROM r WINDOW w AS ({PART} ROWS BETWEEN 199 PRECEDING AND 120 PRECEDING)")
 def win03(spark, d):
-    return signal.lagged_baseline(readings(spark, d), "circuit", ORDER, "value", threshold=20.0).select("id", "circuit", F.round("baseline", 4).alias("baseline"), "is_drop")
+    return signal.lagged_baseline(readings(spark, d), "circuit", ORDER, "value", threshold=20.0).select("id", "circuit", settled("baseline", 4).alias("baseline"), "is_drop")
 
 
 @query(f"SELECT id, circuit, coalesce(count(value) OVER w = 5 AND avg(value) OVER w - value >= 30, false) AS is_composite FROM r WINDOW w AS ({PART} ROWS BETWEEN 7 PRECEDING AND 3 PRECEDING)")
@@ -62,9 +62,9 @@ def win05(spark, d):
     return out.select("id", "circuit", F.coalesce("is_composite", F.lit(False)).alias("is_composite"))
 
 
-@query(f"SELECT id, circuit, m AS moving_avg FROM (SELECT id, circuit, round(avg(value) OVER ({PART} ROWS BETWEEN 29 PRECEDING AND CURRENT ROW), 4) AS m, row_number() OVER ({PART}) AS p FROM r) WHERE p % 5 = 0")
+@query(f"SELECT id, circuit, m AS moving_avg FROM (SELECT id, circuit, round(1e-9 + avg(value) OVER ({PART} ROWS BETWEEN 29 PRECEDING AND CURRENT ROW), 4) AS m, row_number() OVER ({PART}) AS p FROM r) WHERE p % 5 = 0")
 def win07(spark, d):
-    return signal.moving_average(readings(spark, d), "circuit", ORDER, "value", 30, 5).select("id", "circuit", F.round("moving_avg", 4).alias("moving_avg"))
+    return signal.moving_average(readings(spark, d), "circuit", ORDER, "value", 30, 5).select("id", "circuit", settled("moving_avg", 4).alias("moving_avg"))
 
 
 @query("SELECT circuit, hour_ts, round(list_reduce(a, lambda x, y: 0.2 * y + 0.8 * x), 4) AS last_ema FROM (SELECT circuit, date_trunc('hour', ts) AS hour_ts, list(value ORDER BY ts, id) AS a FROM r GROUP BY ALL)")
@@ -172,11 +172,11 @@ def set04(spark, d):
     return intervals.near(u.where("user_id % 2 = 0"), u.where("user_id % 2 = 1"), "circuit", "start_ts", 300.0, anti=True).select("id", "circuit")
 
 
-SPANS = "spans AS (SELECT circuit, start_ts AS started_at, start_ts + INTERVAL 2 HOUR AS ends_at FROM u WHERE id % 50 = 0)"
+SPANS = "spans AS (SELECT circuit, start_ts AS started_at, start_ts + INTERVAL 2 HOUR AS ends_at FROM u WHERE anomaly_score >= 0.97)"
 
 
 def windows(u):
-    return u.where("id % 50 = 0").select("circuit", F.col("start_ts").alias("started_at"), (F.col("start_ts") + F.expr("interval 2 hours")).alias("ends_at"))
+    return u.where("anomaly_score >= 0.97").select("circuit", F.col("start_ts").alias("started_at"), (F.col("start_ts") + F.expr("interval 2 hours")).alias("ends_at"))
 
 
 @query(f", {SPANS} SELECT id, circuit FROM u WHERE EXISTS (SELECT 1 FROM spans s WHERE s.circuit = u.circuit AND u.start_ts BETWEEN s.started_at AND s.ends_at)")
@@ -191,19 +191,19 @@ def flt07(spark, d):
     return intervals.in_interval(u, windows(u), "circuit", "start_ts", "started_at", "ends_at", anti=True).select("id", "circuit")
 
 
-@query("SELECT u.id, u.circuit, count(*) AS n, round(avg(r.value) FILTER (r.ts >= u.start_ts), 4) AS inside, round(avg(r.value) FILTER (r.ts <= u.start_ts), 4) AS baseline FROM u JOIN r ON r.circuit = u.circuit AND r.ts BETWEEN u.start_ts - INTERVAL 1800 SECOND AND u.end_ts GROUP BY ALL")
+@query("SELECT u.id, u.circuit, count(*) AS n, round(avg(r.value) FILTER (r.ts >= u.start_ts) + 1e-9, 4) AS inside, round(avg(r.value) FILTER (r.ts <= u.start_ts) + 1e-9, 4) AS baseline FROM u JOIN r ON r.circuit = u.circuit AND r.ts BETWEEN u.start_ts - INTERVAL 1800 SECOND AND u.end_ts GROUP BY ALL")
 def jn08(spark, d):
     u = usage_events(spark, d).select("id", "circuit", "start_ts", "end_ts")
     joined = intervals.range_join(u, readings(spark, d).select("circuit", "ts", "value"), "circuit", "start_ts", "end_ts", "ts", 1800.0)
     value, ts = F.col("point.value"), F.col("point.ts")
     out = joined.groupBy("id", "circuit").agg(F.count("*").alias("n"), F.avg(F.when(ts >= F.col("start_ts"), value)).alias("inside"), F.avg(F.when(ts <= F.col("start_ts"), value)).alias("baseline"))
-    return out.select("id", "circuit", "n", F.round("inside", 4).alias("inside"), F.round("baseline", 4).alias("baseline"))
+    return out.select("id", "circuit", "n", settled("inside", 4).alias("inside"), settled("baseline", 4).alias("baseline"))
 
 
-@query(f", {RUNS}, s AS (SELECT circuit, min(ts) AS started_at, max(ts) AS ended_at FROM runs WHERE inside GROUP BY circuit, run) SELECT s.circuit, s.started_at, r.id FROM s JOIN r ON r.circuit = s.circuit AND r.ts BETWEEN s.started_at AND s.ended_at AND r.sensor = 1")
+@query(f", {RUNS}, s AS (SELECT circuit, min(ts) AS started_at, max(ts) AS ended_at FROM runs WHERE inside GROUP BY circuit, run) SELECT s.circuit, s.started_at, r.id FROM s JOIN r ON r.circuit = s.circuit AND r.ts BETWEEN s.started_at AND s.ended_at")
 def jn08_runs(spark, d):
     spans = signal.sustained_runs(readings(spark, d), "circuit", ORDER, F.col("value").between(2, 60), 0.0)
-    out = intervals.range_join(spans, readings(spark, d).where("sensor = 1"), "circuit", "started_at", "ended_at", "ts")
+    out = intervals.range_join(spans, readings(spark, d), "circuit", "started_at", "ended_at", "ts")
     return out.select("circuit", "started_at", F.col("point.id").alias("id"))
 
 
@@ -248,7 +248,7 @@ def clu06(spark, d):
     return usage_events(spark, d).select("id", F.round(sure, 4).alias("confidence"), scalars.anomaly_score(sure, F.lit(None).cast("string")).alias("score"))
 
 
-@query(f"""SELECT circuit, from_cluster, to_cluster, count(*) AS count, round(avg(g), 3) AS mean_gap, max(start_ts) AS last_seen FROM (
+@query(f"""SELECT circuit, from_cluster, to_cluster, count(*) AS count, round(avg(g) + 1e-9, 3) AS mean_gap, max(start_ts) AS last_seen FROM (
  SELECT circuit, cluster_id AS to_cluster, start_ts, lag(cluster_id) OVER w AS from_cluster, {micros('start_ts', 'lag(end_ts) OVER w')} AS g FROM u WINDOW w AS (PARTITION BY circuit ORDER BY start_ts, id))
  WHERE g >= 0 AND g < 300 AND from_cluster IS NOT NULL AND to_cluster IS NOT NULL GROUP BY ALL""")
 def clu09(spark, d):
@@ -256,7 +256,7 @@ def clu09(spark, d):
     gap = series.seconds(F.col("start_ts")) - series.seconds(F.col("before"))
     pairs = own.where((gap >= 0) & (gap < 300) & F.col("from_cluster").isNotNull() & F.col("cluster_id").isNotNull())
     pairs = pairs.select("circuit", "from_cluster", F.col("cluster_id").alias("to_cluster"), gap.alias("gap_seconds"), F.col("start_ts").alias("seen_at"))
-    return maintenance.transitions(pairs).withColumn("mean_gap", F.round("mean_gap", 3))
+    return maintenance.transitions(pairs).withColumn("mean_gap", settled("mean_gap", 3))
 
 
 def rules_sql():

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions import scalars
 from tidewatch.operators import maintenance, rollups, rules
-from tidewatch.queries import AS_OF, query
+from tidewatch.queries import AS_OF, query, settled
 from tidewatch.sources.history import clusters, configurable_entities, normalised_history, readings, table, usage_events
 
 COLUMNS = ["id", "circuit", "start_ts", "cluster_id", "volume_litres"]
@@ -54,10 +54,10 @@ def snk04(spark, d):
     return maintenance.replace_rows(own, again, ["circuit", "day"], "computed_at").drop("computed_at")
 
 
-@query("SELECT circuit, cluster_id AS from_cluster, CAST(id % 4 AS BIGINT) AS to_cluster, count(*) AS count, round(avg(duration_seconds), 4) AS mean_gap, max(start_ts) AS last_seen FROM u WHERE cluster_id IS NOT NULL GROUP BY ALL")
+@query("SELECT circuit, cluster_id AS from_cluster, CAST(id % 4 AS BIGINT) AS to_cluster, count(*) AS count, round(avg(duration_seconds) + 1e-9, 4) AS mean_gap, max(start_ts) AS last_seen FROM u WHERE cluster_id IS NOT NULL GROUP BY ALL")
 def snk06(spark, d):
     pairs = usage_events(spark, d).where("cluster_id is not null").select("circuit", F.col("cluster_id").alias("from_cluster"), (F.col("id") % 4).alias("to_cluster"), F.col("duration_seconds").alias("gap_seconds"), F.col("start_ts").alias("seen_at"))
-    return maintenance.transitions(pairs).withColumn("mean_gap", F.round("mean_gap", 4))
+    return maintenance.transitions(pairs).withColumn("mean_gap", settled("mean_gap", 4))
 
 
 @query("SELECT x.circuit, x.alert_type FROM (SELECT DISTINCT circuit, CASE WHEN triggered_alert THEN 'high_flow' ELSE 'trickle' END AS alert_type FROM u) x WHERE x.alert_type = 'high_flow' OR x.circuit <> 'click'")

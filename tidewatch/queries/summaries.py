@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tidewatch.operators import relational as rel
 from tidewatch.operators import rollups
 from tidewatch.operators.intervals import as_of
-from tidewatch.queries import AS_OF, query
+from tidewatch.queries import AS_OF, query, settled
 from tidewatch.sources.history import clusters, fixtures, readings, table, usage_events
 
 
@@ -21,7 +21,7 @@ HOURS = "hours AS (SELECT circuit, date_trunc('hour', start_ts) AS hour_ts, sum(
 
 
 def rounded(df, *names):
-    return df.withColumns({n: F.round(n, 4) for n in names})
+    return df.withColumns({n: settled(n, 4) for n in names})
 
 
 def days(events):
@@ -32,8 +32,8 @@ def circuits(events):
     return events.select("circuit").distinct()
 
 
-SUMMARY = """SELECT circuit, CAST(start_ts AS DATE) AS day, count(*) AS event_count, round(sum(volume_litres), 4) AS total_volume, round(avg(avg_flow_lpm), 4) AS avg_flow, max(peak_flow_lpm) AS peak_flow,
- round(avg(pre_event_pressure_psi), 4) AS avg_pressure, min(min_pressure_psi) AS min_pressure, count(*) FILTER (anomaly_score >= 0.6) AS anomaly_count, count(*) FILTER (triggered_alert) AS alert_count FROM u GROUP BY ALL"""
+SUMMARY = """SELECT circuit, CAST(start_ts AS DATE) AS day, count(*) AS event_count, round(sum(volume_litres) + 1e-9, 4) AS total_volume, round(avg(avg_flow_lpm) + 1e-9, 4) AS avg_flow, max(peak_flow_lpm) AS peak_flow,
+ round(avg(pre_event_pressure_psi) + 1e-9, 4) AS avg_pressure, min(min_pressure_psi) AS min_pressure, count(*) FILTER (anomaly_score >= 0.6) AS anomaly_count, count(*) FILTER (triggered_alert) AS alert_count FROM u GROUP BY ALL"""
 TOP = """, c AS (SELECT circuit, CAST(start_ts AS DATE) AS day, fixture_id, count(*) AS n FROM u WHERE fixture_id IS NOT NULL GROUP BY ALL),
 k AS (SELECT *, row_number() OVER (PARTITION BY circuit, day ORDER BY n DESC, fixture_id) AS p FROM c),
 t AS (SELECT circuit, day, '[' || string_agg('{"fixture_id":"' || fixture_id || '","count":' || n || '}', ',' ORDER BY p) || ']' AS breakdown, max(fixture_id) FILTER (p = 1) AS top_fixture_id, max(n) AS top_count FROM k WHERE p <= 5 GROUP BY ALL)"""
@@ -49,7 +49,7 @@ def agg02(spark, d):
     return rounded(rollups.daily_report(usage_events(spark, d)), "total_volume", "avg_flow", "avg_pressure")
 
 
-@query("SELECT circuit, fixture_id, CAST(start_ts AS DATE) AS day, count(*) AS event_count, round(sum(volume_litres), 4) AS total_volume, round(avg(duration_seconds), 4) AS avg_duration, round(avg(avg_flow_lpm), 4) AS avg_flow FROM u WHERE fixture_id IS NOT NULL GROUP BY ALL")
+@query("SELECT circuit, fixture_id, CAST(start_ts AS DATE) AS day, count(*) AS event_count, round(sum(volume_litres) + 1e-9, 4) AS total_volume, round(avg(duration_seconds) + 1e-9, 4) AS avg_duration, round(avg(avg_flow_lpm) + 1e-9, 4) AS avg_flow FROM u WHERE fixture_id IS NOT NULL GROUP BY ALL")
 def agg03(spark, d):
     return rounded(rollups.fixture_days(usage_events(spark, d)), "total_volume", "avg_duration", "avg_flow")
 
@@ -69,7 +69,7 @@ def agg05(spark, d):
     return rollups.volume_since(u, circuits(u), now(), 7)
 
 
-@query(f", {HOURS} SELECT circuit, CAST(hour_ts AS DATE) AS day, round(sum(volume), 4) AS volume FROM hours GROUP BY ALL")
+@query(f", {HOURS} SELECT circuit, CAST(hour_ts AS DATE) AS day, round(sum(volume) + 1e-9, 4) AS volume FROM hours GROUP BY ALL")
 def agg06(spark, d):
     hours = rollups.hourly_volume(usage_events(spark, d))
     return rounded(hours.groupBy("circuit", F.to_date("hour_ts").alias("day")).agg(F.sum("volume").alias("volume")), "volume")
@@ -80,7 +80,7 @@ def agg07(spark, d):
     return rollups.calendar_rollup(days(usage_events(spark, d))).withColumn("volume", F.round("volume", 3))
 
 
-@query("SELECT circuit, cluster_id, count(*) AS event_count, round(avg(volume_litres), 4) AS avg_volume, round(avg(duration_seconds), 4) AS avg_duration, round(avg(avg_flow_lpm), 4) AS avg_flow, max(start_ts) AS last_seen FROM u WHERE cluster_id IS NOT NULL GROUP BY ALL")
+@query("SELECT circuit, cluster_id, count(*) AS event_count, round(avg(volume_litres) + 1e-9, 4) AS avg_volume, round(avg(duration_seconds) + 1e-9, 4) AS avg_duration, round(avg(avg_flow_lpm) + 1e-9, 4) AS avg_flow, max(start_ts) AS last_seen FROM u WHERE cluster_id IS NOT NULL GROUP BY ALL")
 def agg08(spark, d):
     return rounded(rollups.cluster_stats(usage_events(spark, d)), "avg_volume", "avg_duration", "avg_flow")
 
@@ -88,12 +88,12 @@ def agg08(spark, d):
 PROFILE = f"{HOURS}, profile AS (SELECT circuit, CAST(hour(hour_ts) AS INTEGER) AS hr, avg(volume) AS avg_volume, count(*) AS n FROM hours GROUP BY ALL HAVING count(*) >= 7)"
 
 
-@query(f", {PROFILE} SELECT circuit, hr, round(avg_volume, 4) AS avg_volume, n FROM profile")
+@query(f", {PROFILE} SELECT circuit, hr, round(avg_volume + 1e-9, 4) AS avg_volume, n FROM profile")
 def agg09(spark, d):
     return rounded(rollups.hour_profile(rollups.hourly_volume(usage_events(spark, d))), "avg_volume")
 
 
-@query("""SELECT e.circuit, c.cluster_count, round(e.matched * 100e0 / e.n, 4) AS coverage, e.n - e.matched AS unmatched, round(c.avg_confidence, 4) AS avg_confidence
+@query("""SELECT e.circuit, c.cluster_count, round(e.matched * 100e0 / e.n, 4) AS coverage, e.n - e.matched AS unmatched, round(c.avg_confidence + 1e-9, 4) AS avg_confidence
 FROM (SELECT circuit, count(*) AS n, count(cluster_id) AS matched FROM u GROUP BY circuit) e LEFT JOIN (SELECT circuit, count(*) FILTER (member_count > 0) AS cluster_count, avg(suggested_confidence) AS avg_confidence FROM clusters GROUP BY circuit) c USING (circuit)""")
 def agg10(spark, d):
     u = usage_events(spark, d)
@@ -185,12 +185,12 @@ def jn09(spark, d):
     return as_of(usage_events(spark, d).select("circuit", "start_ts", "id"), states, "circuit", "start_ts", "id", "ts", "value", "valve").select("id", "circuit", "valve")
 
 
-@query("""SELECT a.id, a.circuit, CASE WHEN g >= 0 AND g < 300 THEN round(g, 4) END AS gap, CASE WHEN g >= 0 AND g < 300 THEN p.cluster_id END AS prev_cluster_id
+@query("""SELECT a.id, a.circuit, CASE WHEN g >= 0 AND g < 300 THEN round(g, 6) END AS gap, CASE WHEN g >= 0 AND g < 300 THEN p.cluster_id END AS prev_cluster_id
 FROM (SELECT u.id, u.circuit, u.start_ts, (SELECT arg_max(b.id, (b.end_ts, b.id)) FROM u b WHERE b.circuit = u.circuit AND b.end_ts < u.start_ts) AS prev FROM u) a
 LEFT JOIN u p ON p.id = a.prev LEFT JOIN LATERAL (SELECT (epoch_us(a.start_ts) - epoch_us(p.end_ts)) / 1e6 AS g) ON true""")
 def jn10(spark, d):
     out = rel.previous_by_end(usage_events(spark, d))
-    return out.select("id", "circuit", F.round("seconds_since_prev_event", 4).alias("gap"), "prev_cluster_id")
+    return out.select("id", "circuit", F.round("seconds_since_prev_event", 6).alias("gap"), "prev_cluster_id")
 
 
 @query(""", c AS (SELECT label AS center_id, list(embedding ORDER BY vec_id)[1] AS c FROM embeddings GROUP BY label)

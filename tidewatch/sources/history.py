@@ -9,6 +9,9 @@ from pyspark.sql import types as T
 #: A history as it is stored: state and time may come under short or long names.
 RAW_HISTORY = "entity_id string, s string, state string, lu string, last_updated string"
 
+#: Written backups keep microseconds.
+JSON_TIMES = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -21,11 +24,11 @@ def normalised_history(raw: DataFrame) -> DataFrame:
     return raw.select("entity_id", ts.alias("ts"), F.coalesce("s", "state").alias("state")).where("ts is not null")
 
 
-def read_history(spark: SparkSession, path: str, entities: list[str] | None = None, start=None, end=None) -> DataFrame:
-    """The readings of some entities and a time range from a table with columns entity_id, ts and state; both filters reach the scan."""
+def read_history(spark: SparkSession, path: str, entities: list[str] | None = None, start=None, end=None, entity: str = "entity_id") -> DataFrame:
+    """The readings of some entities and a time range from a table with ts and the column entity; both filters reach the scan."""
     out = spark.read.parquet(path)
     if entities is not None:
-        out = out.where(F.col("entity_id").isin(entities))
+        out = out.where(F.col(entity).isin(entities))
     if start is not None:
         out = out.where(F.col("ts") >= F.lit(start))
     if end is not None:
@@ -53,11 +56,21 @@ def read_backup(spark: SparkSession, path: str, table_name: str, schema: T.Struc
 def write_backup(tables: dict[str, DataFrame], path: str) -> None:
     """One folder of JSON lines per table, written by the tasks; nothing passes through the driver."""
     for name, rows in tables.items():
-        rows.write.mode("overwrite").json(f"{path}/{name}")
+        rows.write.mode("overwrite").options(**JSON_TIMES).json(f"{path}/{name}")
+
+
+def configured_circuits(options: DataFrame) -> DataFrame:
+    """(circuit, circuit_type, enabled) of options(options: JSON text); without circuits the default two: main, and irrigation as a zone."""
+    kind = "struct<circuits:array<struct<circuit:string,circuit_type:string,enabled:boolean>>>"
+    default = F.from_json(F.lit('[{"circuit":"main","circuit_type":"fixture"},{"circuit":"irrigation","circuit_type":"zone"}]'), "array<struct<circuit:string,circuit_type:string,enabled:boolean>>")
+    found = F.from_json("options", kind)["circuits"]
+    rows = options.select(F.explode(F.when(F.size(found) > 0, found).otherwise(default)).alias("c"))
+    return rows.select("c.circuit", F.coalesce("c.circuit_type", F.lit("fixture")).alias("circuit_type"), F.coalesce("c.enabled", F.lit(True)).alias("enabled"))
 
 
-def read_archive(spark: SparkSession, path: str, table_name: str, schema: str) -> DataFrame:
-    return spark.read.schema(schema).json(f"{path}/{table_name}")
+def read_archive(spark: SparkSession, path: str, table_name: str, schema: T.StructType | str) -> DataFrame:
+    """One table of a written backup: unknown columns are dropped, missing ones null."""
+    return spark.read.schema(schema).options(**JSON_TIMES).json(f"{path}/{table_name}")
 
 
 def usage_events(spark: SparkSession, sf_dir: str) -> DataFrame:
