@@ -277,7 +277,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 if alike.any():
                     yield pa.RecordBatch.from_arrays([pa.array(a[start:end][alike]), pa.array(b[start:end][alike])], ["a", "b"])
 
-    own = sets.select("sig", "tokens")
+    own = sets.select("sig", "tokens").hint("merge")  # grows with the documents: never broadcast, whatever its size
     groups = pairs.groupBy("a").agg(F.expr(f"(count(*) + {CELL - 1}) div {CELL}").alias("groups"))
     dealt = pairs.join(groups, "a").select("a", "b", F.expr("pmod(xxhash64(b), groups)").alias("cell"))
     hubs = dealt.select("a", "cell").distinct().join(own, F.col("a") == F.col("sig")).select("cell", F.col("a").alias("b"), "a", F.lit(True).alias("is_hub"), "tokens")
@@ -287,18 +287,25 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _placed(entries: DataFrame, percent: int) -> DataFrame:
-    """Entries with the number of frequent shingles of their set (late_ones), at, their place in the global order as far as it was counted, and p, the prefix's length."""
+    """Entries with the number of frequent shingles of their set (late_ones), at, their place in the global order as far as it was counted, and p, the prefix's length.
+
+    held is how many of the set's shingles came as shared, and most how many can be if only the low ones were counted: it has no more in common with any.
+    """
     own = Window.partitionBy("sig")
     before = own.orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
     late = F.col("frequent").cast("int")
     once = entries.withColumn("last", F.lag("pos").over(own.orderBy("pos"))).where("last is null or last <> pos")  # equal sets of several tasks
     counted = once.withColumn("late_ones", F.sum(late).over(own)).withColumn("before", F.coalesce(F.sum(late).over(before), F.lit(0)))
+    counted = counted.withColumns({"held": F.count("*").over(own).cast("int"), "most": F.expr("n - low") + F.sum(F.expr("cast(pos < low as int)")).over(own)})
     at = F.when(F.col("frequent"), F.expr("n - late_ones + before")).otherwise(F.expr("pos - before"))
-    return counted.select("tok", "sig", "n", "low", "pos", "frequent", "late_ones", at.alias("at"), F.expr(_prefix("n").format(percent=percent)).alias("p"))
+    return counted.select("tok", "sig", "n", "low", "pos", "frequent", "late_ones", "held", F.col("most").cast("int").alias("most"), at.alias("at"), F.expr(_prefix("n").format(percent=percent)).alias("p"))
 
 
 def _prefixes(all_sets: DataFrame, nodes: DataFrame, bound: int, percent: int) -> DataFrame:
-    """(tok, sig, n, p, at, frequent, late): the shared shingles of every prefix; late is how many frequent ones the prefix holds, shared or not."""
+    """(tok, sig, n, p, at, frequent, late, held, most): the shared shingles of every prefix; late is how many frequent ones the prefix holds.
+
+    Sets whose prefixes hold frequent shingles were counted in full, so such a set has at most held shingles in common with another of them, and most with any.
+    """
 
     def entries(sets: DataFrame, beyond: bool, total: int) -> DataFrame:
         partitions = total // COUNTED + 1
@@ -311,9 +318,9 @@ def _prefixes(all_sets: DataFrame, nodes: DataFrame, bound: int, percent: int) -
     needed = _only(all_sets, nodes, more)
     total = needed.agg(F.sum(F.col("n") - F.col("low"))).first()[0] or 0
     whole = entries(needed, True, total).unionByName(first.where("short").select(*_ENTRY, "frequent"))
-    columns = ["tok", "sig", "n", "p", "at", "frequent", F.expr("greatest(0, p - n + late_ones)").alias("late")]
-    second = _placed(whole, percent).where("at < p").select(*columns)
-    out = materialize(first.where("not short").select(*columns[:-1], F.lit(0).alias("late")).unionByName(second), "runs")
+    columns = ["tok", "sig", "n", "p", "at", "frequent", "held", "most"]
+    second = _placed(whole, percent).where("at < p").select(*columns, F.expr("greatest(0, p - n + late_ones)").alias("late"))
+    out = materialize(first.where("not short").select(*columns, F.lit(0).alias("late")).unionByName(second), "runs")
     release(first, needed)
     return out
 
@@ -337,17 +344,17 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     # What both prefixes hold is counted; of the set whose prefix ends first in the order, only what lies beyond it can be common besides.
     beyond = "greatest(na - pa, nb - pb)"
     bounds = {"least_common": f"{need} - {beyond} - least(latea, lateb)", "first_fits": f"least(na - ata, nb - atb) >= {need}"}  # from the first one in common on, no more than the rest of either
-    side = lambda df, s, *more: df.select("tok", F.col("sig").alias(s), *(F.col(c).alias(f"{c}{s}") for c in ("n", "p", "at", "late", *more)))
+    side = lambda df, s, *more: df.select("tok", F.col("sig").alias(s), *(F.col(c).alias(f"{c}{s}") for c in ("n", "p", "at", "late", "held", "most", *more)))
 
     rare = runs.where("not frequent")
-    both = side(rare, "a").join(side(rare, "b"), "tok").where(f"a < b and {alike_size}").select("a", "b", *(F.expr(x).alias(c) for c, x in bounds.items()))
+    both = side(rare, "a").join(side(rare, "b"), "tok").where(f"a < b and {alike_size} and least(mosta, mostb) >= {need}").select("a", "b", *(F.expr(x).alias(c) for c, x in bounds.items()))
     found = both.groupBy("a", "b").agg(F.count("*").alias("common"), F.first("least_common").alias("least_common"), F.max("first_fits").alias("first_fits"))
     pairs = found.where("first_fits and common >= least_common").select("a", "b")
 
     late = runs.where("frequent").withColumn("place", F.expr("((p - late) * 4095L div n << 50) | (shiftright(sig, 14) & ((1L << 50) - 1))"))
-    least = late.groupBy("tok").agg(F.min("sig").alias("lo"), F.max("sig").alias("hi"), F.min_by("sig", "place").alias("a"), F.min_by("n", "place").alias("na")).where("lo <> hi")
-    sized = late.select("tok", F.col("sig").alias("b"), F.col("n").alias("nb")).join(least.select("tok", "a", "na"), "tok")
-    pairs = materialize(pairs.unionByName(sized.where(f"a <> b and {alike_size}").select("a", "b").distinct()), "pairs")
+    least = late.groupBy("tok").agg(F.min("sig").alias("lo"), F.max("sig").alias("hi"), F.min_by("sig", "place").alias("a"), F.min_by("n", "place").alias("na"), F.min_by("held", "place").alias("helda")).where("lo <> hi")
+    sized = late.select("tok", F.col("sig").alias("b"), F.col("n").alias("nb"), F.col("held").alias("heldb")).join(least.select("tok", "a", "na", "helda"), "tok")
+    pairs = materialize(pairs.unionByName(sized.where(f"a <> b and {alike_size} and least(helda, heldb) >= {need}").select("a", "b").distinct()), "pairs")
     links = _linked(all_sets, nodes, pairs, percent)
 
     labels = connected_components(links)
@@ -355,12 +362,12 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     mixed = labelled.groupBy("tok").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("tok")
     open_runs = materialize(labelled.join(mixed, "tok"), "open")
     # A pair is compared once, at the first frequent shingle of its open lists, and only if these and its rare ones may suffice.
-    per_set = ["sig", "n", "p", "late", "component"]
+    per_set = ["sig", "n", "p", "late", "held", "most", "component"]
     whole = open_runs.groupBy(*per_set).agg(F.expr("transform(sort_array(collect_list(struct(at, tok))), x -> x.tok) AS own"))
     placed = whole.select(*per_set, "own", F.posexplode("own").alias("at", "tok"))
     first_here = "not arrays_overlap(slice(owna, 1, ata), slice(ownb, 1, atb))"
     enough = f"size(array_intersect(owna, ownb)) + least(pa - latea, pb - lateb) + {beyond} >= {need}"
-    cross = side(placed, "a", "component", "own").join(side(placed, "b", "component", "own"), "tok").where(f"componenta <> componentb and a < b and {alike_size} and {first_here} and {enough}")
+    cross = side(placed, "a", "component", "own").join(side(placed, "b", "component", "own"), "tok").where(f"componenta <> componentb and a < b and {alike_size} and least(helda, heldb) >= {need} and {first_here} and {enough}")
     more_pairs = materialize(cross.select("a", "b"), "pairs")
     more = _linked(all_sets, nodes, more_pairs, percent)
     final = connected_components(links.unionByName(more))
