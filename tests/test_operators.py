@@ -62,8 +62,8 @@ def test_identifiers_and_curves(spark):
     rows = spark.createDataFrame(list(arrays.items()), "want string, a array<double>").select("want", curves.curve_shape(F.col("a")).alias("got"), curves.array_stats(F.col("a"))["stdev"].alias("sd")).collect()
     assert all(r["want"] == r["got"] for r in rows)
     assert all(abs(r["sd"] - np.std(arrays[r["want"]], ddof=1)) < 1e-9 for r in rows)
-    ema = spark.createDataFrame([([1.0, 2.0, 3.0],)], "a array<double>").select(curves.ema(F.col("a"))).first()[0]
-    assert np.allclose(ema, [1.0, 1.2, 1.56])
+    ema = spark.createDataFrame([([1.0, 2.0, 3.0],)], "a array<double>").select(curves.last_ema(F.col("a"))).first()[0]
+    assert np.isclose(ema, 1.56)
     assert [r[0] for r in spark.createDataFrame([("3.5.1 (x)",), ("3.4",), (None,), ("v4",)], "v string").select(scalars.version_at_least(F.col("v"), (3, 5, 1))).collect()] == [True, False, True, True]
 
 
@@ -94,3 +94,51 @@ def test_learner_finds_blobs(spark):
     again = {r["id"]: (r["circuit"], r["learned_id"]) for r in clustering.learn_clusters(df.repartition(7), ["x", "y"]).collect()}
     assert got == again and len(got) == 300
     assert len({got[i] for i in range(150)}) == 3 and all(got[i] == got[i % 3] for i in range(150))
+
+
+def test_detector_in_batches_equals_one_machine(spark):
+    """All three triggers and gaps, many circuits and batches, against the machine fed with one sorted list."""
+    from tidewatch.streaming.detector import Circuit, detect
+
+    rng = random.Random(12)
+    rows = []
+    for circuit in ("a", "b", "c"):
+        t = 0.0
+        for i in range(6000):
+            t += rng.choice([0.1, 0.5, 1.0])
+            role = rng.choices(["flow", "pressure", "onset", "reset"], [3, 12, 1, 0.01])[0]
+            busy = int(t) % 200 < 40
+            state = {"flow": str(rng.choice([4.0, 6.5]) if busy else 0), "pressure": str(round(50 - (9 if busy else 0) + rng.random(), 2)), "onset": "on" if busy else "off", "reset": "unavailable"}[role]
+            rows.append((circuit, i, at(t), role, state if rng.random() > 0.01 else "unknown"))
+    df = spark.createDataFrame(rows, "circuit string, id long, ts timestamp_ntz, role string, state string").repartition(7)
+    want = []
+    for circuit in ("a", "b", "c"):
+        machine = Circuit(2.0, 3.0)
+        for _, i, ts, role, state in sorted((r for r in rows if r[0] == circuit), key=lambda r: (r[2], r[3], r[1])):
+            found = machine.read((ts - datetime(1970, 1, 1)).total_seconds(), role, state)
+            if found:
+                want.append((circuit, found["start_trigger"], found["has_pressure_transient"], found["is_composite"], found["n_flow"], round(found["end"] - found["start"], 3)))
+    got = [(r.circuit, r.start_trigger, r.has_pressure_transient, r.is_composite, r.n_flow, round((r.end_ts - r.start_ts).total_seconds(), 3)) for r in detect(df).collect()]
+    assert sorted(got) == sorted(want) and len({w[1] for w in want}) >= 2 and any(w[2] for w in want)
+
+
+def test_learned_groups_take_stored_clusters(spark):
+    learned = spark.createDataFrame([("a", 0, 0.0, 0.0), ("a", 1, 9.0, 9.0), ("b", 0, 1.0, 1.0)], "circuit string, learned_id long, x double, y double")
+    stored = spark.createDataFrame([("a", 5, "toilet", 0.5, 0.0), ("a", 6, "toilet", 0.7, 0.0), ("a", 7, None, 0.0, 2.0), ("b", 8, "toilet", 0.0, 0.0)], "circuit string, cluster_id long, suggested_type string, x double, y double")
+    got = {(r.circuit, r.learned_id): r.cluster_id for r in clustering.remapped(learned, stored, ["x", "y"]).collect()}
+    assert got == {("a", 0): 5, ("a", 1): None, ("b", 0): None}
+
+
+def test_upkeep_edges(spark):
+    import pytest
+
+    from tidewatch.operators import upkeep
+
+    row = spark.createDataFrame([(1.0,)], "pressure_drop double")
+    with pytest.raises(ValueError, match="unknown settings: nope"):
+        upkeep.updated_singleton(row, {"nope": 1}, row.columns)
+    tests = spark.createDataFrame([(1, at(0), 1, 50.0), (2, at(0), 1, None)], "test_id long, run_at timestamp_ntz, minutes int, baseline double")
+    polls = spark.createDataFrame([(1, at(100), "In progress", 49.0), (1, at(239), upkeep.TEST_RESULTS[1], 47.5), (1, at(500), upkeep.TEST_RESULTS[0], 40.0), (2, at(240), upkeep.TEST_RESULTS[0], 1.0)], "test_id long, ts timestamp_ntz, result string, pressure double")
+    got = {r.test_id: (r.result, r.duration_minutes, r.pressure_drop, r.passed) for r in upkeep.test_reports(tests, polls).collect()}
+    assert got == {1: (upkeep.TEST_RESULTS[1], 4.0, 2.5, False), 2: (upkeep.TIMED_OUT, 4.0, None, False)}
+    assert len(upkeep.role_patterns()) == 28

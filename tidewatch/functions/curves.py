@@ -46,7 +46,6 @@ def curve_shape(a: Column) -> Column:
     return F.when(unknown, "unknown").when(spread >= 0.55, "pulsed").when(change > 0.15, "rising").when(change < -0.15, "falling").otherwise("steady")
 
 
-def ema(a: Column, alpha: float = 0.2) -> Column:
-    """The exponential average of an ordered array, value by value; the first value starts it."""
-    step = lambda acc, x: F.concat(acc, F.array(F.when(F.size(acc) == 0, x).otherwise(alpha * x + (1 - alpha) * F.element_at(acc, -1))))
-    return F.aggregate(a, F.array().cast("array<double>"), step)
+def last_ema(a: Column, alpha: float = 0.2) -> Column:
+    """The exponential average of an ordered array after its last value; the first value starts it, an empty array has none."""
+    return F.aggregate(a, F.lit(None).cast("double"), lambda acc, x: F.when(acc.isNull(), x).otherwise(alpha * x + (1 - alpha) * acc))

@@ -14,32 +14,31 @@ from tidewatch.operators.series import running
 
 FEATURES = ["avg_flow_lpm", "duration_seconds", "volume_litres", "pressure_delta_psi", "has_pressure_transient", "flow_variability", "hour_sin", "hour_cos", "duration_log"]
 THRESHOLD, FADING, SEQUENCE_GAP = 1.5, 0.05, 300.0
-#: Distance allowed by fixture type, and weights that differ from 1 (flow, dur, vol, dP, trans, var, hs, hc as below).
-SHORT = {"flow": "avg_flow_lpm", "dur": "duration_seconds", "vol": "volume_litres", "dP": "pressure_delta_psi", "trans": "has_pressure_transient", "var": "flow_variability", "hs": "hour_sin", "hc": "hour_cos"}
+#: Distance allowed by fixture type, and the weights of features that differ from 1.
 GATES = {
-    "toilet": (0.6, "vol=3 dur=3 flow=2 trans=2 hs=0 hc=0"),
-    "ice_maker": (0.5, "vol=4 dur=4 flow=3 hs=0 hc=0"),
-    "refrigerator_water": (0.7, "vol=2.5 dur=2 flow=2 hs=0 hc=0"),
-    "humidifier": (1.0, "vol=2 flow=2.5 dur=0 hs=0 hc=0"),
-    "boiler_makeup": (1.0, "vol=2.5 flow=2 hs=0 hc=0"),
-    "shower": (2.5, "flow=3 dP=2 var=1.5 dur=0 vol=0"),
-    "bath": (2.8, "flow=3 dP=2 dur=0 vol=0"),
-    "bathroom_tap": (1.8, "flow=2.5 dP=1.5 dur=0 vol=0"),
-    "kitchen_tap": (1.8, "flow=2.5 dP=1.5 dur=0 vol=0"),
-    "utility_tap": (2.0, "flow=2 dur=0 vol=0"),
-    "bidet": (1.6, "flow=2 dur=0 vol=0"),
-    "ro_drinking_faucet": (1.5, "flow=2.5 dur=0 vol=0"),
-    "washing_machine": (3.0, "flow=2 dP=1.5 var=1.5 dur=0 vol=0"),
-    "dishwasher": (2.8, "flow=2 var=1.5 dur=0 vol=0"),
-    "water_softener": (2.5, "flow=2 var=1.5 dur=0 vol=0"),
-    "irrigation_zone": (2.2, "flow=2.5 dP=1.5 dur=0 vol=0"),
-    "pool_fill": (1.8, "flow=2 dur=0 vol=0"),
-    "hose_bib": (2.5, "flow=2 dur=0 vol=0"),
-    "outdoor_tap": (2.5, "flow=2 dur=0 vol=0"),
-    "evaporative_cooler": (1.8, "flow=2 dur=0 vol=0"),
-    "ro_system_whole_house": (2.0, "flow=2 dur=0 vol=0"),
-    "leak_test": (0.8, "vol=3 dur=3 flow=2"),
-    "other": (1.5, ""),
+    "toilet": (0.6, {"volume_litres": 3, "duration_seconds": 3, "avg_flow_lpm": 2, "has_pressure_transient": 2, "hour_sin": 0, "hour_cos": 0}),
+    "ice_maker": (0.5, {"volume_litres": 4, "duration_seconds": 4, "avg_flow_lpm": 3, "hour_sin": 0, "hour_cos": 0}),
+    "refrigerator_water": (0.7, {"volume_litres": 2.5, "duration_seconds": 2, "avg_flow_lpm": 2, "hour_sin": 0, "hour_cos": 0}),
+    "humidifier": (1.0, {"volume_litres": 2, "avg_flow_lpm": 2.5, "duration_seconds": 0, "hour_sin": 0, "hour_cos": 0}),
+    "boiler_makeup": (1.0, {"volume_litres": 2.5, "avg_flow_lpm": 2, "hour_sin": 0, "hour_cos": 0}),
+    "shower": (2.5, {"avg_flow_lpm": 3, "pressure_delta_psi": 2, "flow_variability": 1.5, "duration_seconds": 0, "volume_litres": 0}),
+    "bath": (2.8, {"avg_flow_lpm": 3, "pressure_delta_psi": 2, "duration_seconds": 0, "volume_litres": 0}),
+    "bathroom_tap": (1.8, {"avg_flow_lpm": 2.5, "pressure_delta_psi": 1.5, "duration_seconds": 0, "volume_litres": 0}),
+    "kitchen_tap": (1.8, {"avg_flow_lpm": 2.5, "pressure_delta_psi": 1.5, "duration_seconds": 0, "volume_litres": 0}),
+    "utility_tap": (2.0, {"avg_flow_lpm": 2, "duration_seconds": 0, "volume_litres": 0}),
+    "bidet": (1.6, {"avg_flow_lpm": 2, "duration_seconds": 0, "volume_litres": 0}),
+    "ro_drinking_faucet": (1.5, {"avg_flow_lpm": 2.5, "duration_seconds": 0, "volume_litres": 0}),
+    "washing_machine": (3.0, {"avg_flow_lpm": 2, "pressure_delta_psi": 1.5, "flow_variability": 1.5, "duration_seconds": 0, "volume_litres": 0}),
+    "dishwasher": (2.8, {"avg_flow_lpm": 2, "flow_variability": 1.5, "duration_seconds": 0, "volume_litres": 0}),
+    "water_softener": (2.5, {"avg_flow_lpm": 2, "flow_variability": 1.5, "duration_seconds": 0, "volume_litres": 0}),
+    "irrigation_zone": (2.2, {"avg_flow_lpm": 2.5, "pressure_delta_psi": 1.5, "duration_seconds": 0, "volume_litres": 0}),
+    "pool_fill": (1.8, {"avg_flow_lpm": 2, "duration_seconds": 0, "volume_litres": 0}),
+    "hose_bib": (2.5, {"avg_flow_lpm": 2, "duration_seconds": 0, "volume_litres": 0}),
+    "outdoor_tap": (2.5, {"avg_flow_lpm": 2, "duration_seconds": 0, "volume_litres": 0}),
+    "evaporative_cooler": (1.8, {"avg_flow_lpm": 2, "duration_seconds": 0, "volume_litres": 0}),
+    "ro_system_whole_house": (2.0, {"avg_flow_lpm": 2, "duration_seconds": 0, "volume_litres": 0}),
+    "leak_test": (0.8, {"volume_litres": 3, "duration_seconds": 3, "avg_flow_lpm": 2}),
+    "other": (1.5, {}),
 }
 #: Rules in order, the first that holds names the type: (type, confidence, ranges of volume, duration, flow, transient).
 RULES = [
@@ -88,9 +87,8 @@ def running_centroids(events: DataFrame, order: list[str], names: list[str]) ->
 
 def gate(rows: DataFrame, type_col: str, vector: dict[str, Column], center: dict[str, Column]) -> DataFrame:
     """rows with gate_distance and accepted: the weighted distance to the center is at most that of the fixture type; no type, no gate."""
-    def weighted(weights: str) -> Column:
-        table = {SHORT[k]: float(v) for k, v in (w.split("=") for w in weights.split())}
-        return F.sqrt(sum(((vector[f] - center[f]) * (vector[f] - center[f]) * table.get(f, 1.0) for f in vector), F.lit(0.0)))
+    def weighted(weights: dict[str, float]) -> Column:
+        return F.sqrt(sum(((vector[f] - center[f]) * (vector[f] - center[f]) * float(weights.get(f, 1.0)) for f in vector), F.lit(0.0)))
 
     kind, distance, limit = F.col(type_col), weighted(GATES["other"][1]), F.lit(GATES["other"][0])
     for name, (most, weights) in GATES.items():
@@ -99,6 +97,25 @@ def gate(rows: DataFrame, type_col: str, vector: dict[str, Column], center: dict
     return out.withColumn("accepted", F.coalesce(F.col("gate_distance") <= limit, F.lit(True)))
 
 
+def remapped(learned: DataFrame, stored: DataFrame, names: list[str], type_col: str = "suggested_type", default: float = 3.0, most: int = 4096) -> DataFrame:
+    """(circuit, learned_id, cluster_id, distance): each learned group's nearest stored cluster of its circuit, null where none is near enough.
+
+    learned(circuit, learned_id, names) and stored(circuit, cluster_id, type, names) hold one row a group; a stored cluster takes a group
+    within the distance that its type allows, else default. A circuit with more than ``most`` of either raises, as the pairs are compared within it.
+    """
+    for side in (learned, stored):
+        if side.groupBy("circuit").count().where(F.col("count") > most).limit(1).count():
+            raise ValueError(f"a circuit has more than {most} clusters")
+    theirs = stored.select("circuit", "cluster_id", F.col(type_col).alias("kind"), *[F.col(n).alias(f"s_{n}") for n in names])
+    limit = F.lit(default)
+    for kind, (distance, _) in GATES.items():
+        limit = F.when(F.col("kind") == kind, distance).otherwise(limit)
+    gap = F.sqrt(sum(((F.col(n) - F.col(f"s_{n}")) * (F.col(n) - F.col(f"s_{n}")) for n in names), F.lit(0.0)))
+    pairs = learned.join(theirs, "circuit").select("circuit", "learned_id", "cluster_id", gap.alias("distance"), limit.alias("limit")).where("distance <= limit")
+    near = pairs.groupBy("circuit", "learned_id").agg(F.min(F.struct("distance", "cluster_id")).alias("x"))
+    return learned.select("circuit", "learned_id").join(near, ["circuit", "learned_id"], "left").select("circuit", "learned_id", "x.cluster_id", "x.distance")
+
+
 def match_confidence(distance: Column, scale: float = THRESHOLD) -> Column:
     return F.exp(-distance / scale)
 

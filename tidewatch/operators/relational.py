@@ -52,14 +52,14 @@ def previous_by_end(events: DataFrame, key: str = "circuit", within_seconds: flo
     return out.withColumns({"seconds_since_prev_event": F.when(near, gap), "prev_cluster_id": F.when(near, F.col("__last.c"))}).drop("__last")
 
 
-def latest_states(readings: DataFrame, keys: list[str], ts: str = "ts", value: str = "state", default: str | None = None) -> DataFrame:
-    """The last value of each key; the default where it is null."""
-    return readings.groupBy(*keys).agg(F.coalesce(F.max_by(value, ts), F.lit(default)).alias(value), F.max(ts).alias(ts))
+def latest_states(readings: DataFrame, keys: list[str], ts: str = "ts", value: str = "state", default: str | None = None, tie: str = "id") -> DataFrame:
+    """The last value of each key, of one instant that of the largest tie; the default where it is null."""
+    return readings.groupBy(*keys).agg(F.coalesce(F.max_by(value, F.struct(ts, tie)), F.lit(default)).alias(value), F.max(ts).alias(ts))
 
 
-def pivot_latest(readings: DataFrame, key: str, role: str, roles: list[str], ts: str, value: str) -> DataFrame:
-    """One row per key with the last value of each role. Roles are given, so no pass looks for them."""
-    return readings.groupBy(key).agg(*[F.max_by(value, F.when(F.col(role) == r, F.col(ts))).alias(r) for r in roles])
+def pivot_latest(readings: DataFrame, key: str, role: str, roles: list[str], ts: str, value: str, tie: str = "id") -> DataFrame:
+    """One row per key with the last value of each role, of one instant that of the largest tie. Roles are given, so no pass looks for them."""
+    return readings.groupBy(key).agg(*[F.max_by(value, F.when(F.col(role) == r, F.struct(ts, tie))).alias(r) for r in roles])
 
 
 def tiered_search(rows: DataFrame, text: str, names: list[str], vendor: Column) -> DataFrame:

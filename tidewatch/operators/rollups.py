@@ -96,9 +96,10 @@ def quality_metrics(events: DataFrame, clusters: DataFrame) -> DataFrame:
     return seen.join(own, "circuit", "left").select("circuit", "cluster_count", F.round(share, 4).alias("coverage"), (F.col("events") - F.col("matched")).alias("unmatched"), "avg_confidence")
 
 
-def counter_delta(readings: DataFrame, group: list[str], ts: str, value: str, most: float = 10000.0) -> DataFrame:
-    """(group, delta): last minus first value of a counter, where there are two readings and 0 < delta < most; else null."""
-    own = readings.groupBy(*group).agg((F.max_by(value, ts) - F.min_by(value, ts)).alias("d"), F.count(value).alias("n"))
+def counter_delta(readings: DataFrame, group: list[str], ts: str, value: str, most: float = 10000.0, tie: str = "id") -> DataFrame:
+    """(group, delta): last minus first value of a counter (ties by id), where there are two readings and 0 < delta < most; else null."""
+    place = F.struct(ts, tie)
+    own = readings.groupBy(*group).agg((F.max_by(value, place) - F.min_by(value, place)).alias("d"), F.count(value).alias("n"))
     return own.select(*group, F.when((F.col("n") >= 2) & (F.col("d") > 0) & (F.col("d") < most), F.round("d", 3)).alias("delta"))
 
 

@@ -96,3 +96,45 @@ def edges(df: DataFrame, key: str, order: list[str], state: str) -> DataFrame:
     """The rows where a state differs from the one before it, with that one as before."""
     own = previous(df, key, order, {"before": state})
     return own.where(~F.col("before").eqNullSafe(F.col(state)))
+
+
+def placed_in_group(df: DataFrame, group: list[str], order: list[str], prefix: str = "__") -> DataFrame:
+    """df with {prefix}p, the place of each row in its group from 1, and {prefix}n, the size of the group; no task holds a group."""
+    own = numbered(df.withColumn(f"{prefix}g", F.struct(*group)), f"{prefix}g", order, f"{prefix}p")
+    sizes = own.groupBy(F.col(f"{prefix}g").alias(f"{prefix}k")).agg(F.count("*").alias(f"{prefix}n"))
+    return own.join(sizes, F.col(f"{prefix}g") == F.col(f"{prefix}k")).drop(f"{prefix}g", f"{prefix}k")
+
+
+def last_ema(df: DataFrame, group: list[str], order: list[str], value: str, alpha: float = 0.2) -> DataFrame:
+    """(group, last_ema): the exponential average after the last row of each group, as a sum of weighted values (groups without null keys)."""
+    own = placed_in_group(df, group, order)
+    age = F.col("__n") - F.col("__p")
+    weight = F.when(F.col("__p") == 1, F.pow(F.lit(1 - alpha), age)).otherwise(alpha * F.pow(F.lit(1 - alpha), age))
+    return own.groupBy(*group).agg(F.sum(weight * F.col(value)).alias("last_ema"))
+
+
+def curve_shapes(df: DataFrame, group: list[str], order: list[str], value: str) -> DataFrame:
+    """(group, shape): curves.curve_shape of each group's values in order, from places instead of arrays, so a long group costs no task its memory."""
+    own = placed_in_group(df, group, order)
+    n, place = F.col("__n"), F.col("__p")
+    cut = F.greatest(F.lit(1), F.floor(n / 5).cast("long"))
+    m = n - 2 * cut
+    third = F.greatest(F.lit(1), F.floor(m / 3).cast("long"))
+    at = place - cut
+    inside = (at >= 1) & (at <= m)
+    x = F.col(value)
+    stats = own.groupBy(*group).agg(F.first(n).alias("n"), F.first(m).alias("m"), F.avg(F.when(inside, x)).alias("mean"), F.stddev_samp(F.when(inside, x)).alias("dev"), F.avg(F.when(inside & (at <= third), x)).alias("head"), F.avg(F.when(inside & (at > m - third), x)).alias("tail"))
+    unknown = F.coalesce((F.col("n") < 10) | (F.col("m") < 6) | (F.col("mean") <= 0), F.lit(True))
+    change = (F.col("tail") - F.col("head")) / F.col("mean")
+    shape = F.when(unknown, "unknown").when(F.coalesce("dev", F.lit(0.0)) / F.col("mean") >= 0.55, "pulsed").when(change > 0.15, "rising").when(change < -0.15, "falling").otherwise("steady")
+    return stats.select(*group, shape.alias("shape"))
+
+
+def resampled(df: DataFrame, group: list[str], order: list[str], value: str, bins: int) -> DataFrame:
+    """(group, bin, mean): each group's values in order, in at most ``bins`` bins as in curves.resample (one a value if there are fewer)."""
+    own = placed_in_group(df, group, order)
+    k = F.least(F.lit(bins), F.col("__n"))
+    low = lambda i: F.bround(i * F.col("__n") / k).cast("long")
+    at = F.col("__p") - 1
+    here = [F.when((at >= low(F.lit(i))) & (at < F.greatest(low(F.lit(i + 1)), low(F.lit(i)) + 1)), F.lit(i)) for i in range(bins)]
+    return own.withColumn("bin", F.coalesce(*here)).groupBy(*group, "bin").agg(F.avg(value).alias("mean"))

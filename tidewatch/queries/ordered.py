@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import functions as F
 
-from tidewatch.functions import curves, scalars
+from tidewatch.functions import scalars
 from tidewatch.operators import clustering, intervals, maintenance, rollups, series, signal
 from tidewatch.operators import relational as rel
 from tidewatch.plans import sessions
-from tidewatch.queries import query, settled
-from tidewatch.sources.history import clusters, fixtures, readings, usage_events
+from tidewatch.queries import AS_OF, query, settled
+from tidewatch.sources.history import clusters, fixtures, readings, signals, usage_events
 from tidewatch.streaming.detector import detect
 
 ORDER = ["ts", "id"]
 START = ["start_ts", "id"]
+WINDOW_END = datetime(2024, 2, 15)
 PART = "PARTITION BY circuit ORDER BY ts, id"
 
 
@@ -67,10 +70,10 @@ def win07(spark, d):
     return signal.moving_average(readings(spark, d), "circuit", ORDER, "value", 30, 5).select("id", "circuit", settled("moving_avg", 4).alias("moving_avg"))
 
 
-@query("SELECT circuit, hour_ts, round(list_reduce(a, lambda x, y: 0.2 * y + 0.8 * x), 4) AS last_ema FROM (SELECT circuit, date_trunc('hour', ts) AS hour_ts, list(value ORDER BY ts, id) AS a FROM r GROUP BY ALL)")
+@query("SELECT circuit, hour_ts, round(list_reduce(a, lambda x, y: 0.2e0 * y + 0.8e0 * x) + 1e-9, 4) AS last_ema FROM (SELECT circuit, date_trunc('hour', ts) AS hour_ts, list(value ORDER BY ts, id) AS a FROM r GROUP BY ALL)")
 def win08(spark, d):
-    own = readings(spark, d).groupBy("circuit", F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("hour_ts")).agg(F.array_sort(F.collect_list(F.struct("ts", "id", "value"))).alias("a"))
-    return own.select("circuit", "hour_ts", F.round(F.element_at(curves.ema(F.transform("a", lambda x: x["value"])), -1), 4).alias("last_ema"))
+    own = readings(spark, d).withColumn("hour_ts", F.date_trunc("hour", "ts").cast("timestamp_ntz"))
+    return signal.last_ema(own, ["circuit", "hour_ts"], ORDER, "value").withColumn("last_ema", settled("last_ema", 4))
 
 
 @query("SELECT id, round(value * 2, 0) / 2 AS stepped FROM r")
@@ -118,16 +121,21 @@ def win16(spark, d):
     return clustering.running_centroids(usage_events(spark, d), START, []).select("id", "circuit", "member_count", "suggest")
 
 
-@query()
+DAY_LISTS = "days AS (SELECT circuit, CAST(ts AS DATE) AS day, list(value ORDER BY ts, id) AS a FROM r GROUP BY ALL)"
+
+
+@query(f""", {DAY_LISTS}, c AS (SELECT *, len(a) AS n, greatest(1, len(a) // 5) AS cut FROM days), s AS (SELECT circuit, day, n, a[cut + 1 : n - cut] AS x FROM c), t AS (SELECT *, len(x) AS m, list_avg(x) AS mean, greatest(1, len(x) // 3) AS k FROM s)
+SELECT circuit, day, CASE WHEN n < 10 OR m < 6 OR mean <= 0 THEN 'unknown' WHEN coalesce(list_stddev_samp(x), 0e0) / mean >= 0.55e0 THEN 'pulsed' WHEN (list_avg(x[m - k + 1 :]) - list_avg(x[: k])) / mean > 0.15e0 THEN 'rising' WHEN (list_avg(x[m - k + 1 :]) - list_avg(x[: k])) / mean < -0.15e0 THEN 'falling' ELSE 'steady' END AS shape FROM t""")
 def win17(spark, d):
-    own = readings(spark, d).groupBy("circuit", F.to_date("ts").alias("day")).agg(F.array_sort(F.collect_list(F.struct("ts", "id", "value"))).alias("a"))
-    return own.select("circuit", "day", curves.curve_shape(F.transform("a", lambda x: x["value"])).alias("shape"))
+    return signal.curve_shapes(readings(spark, d).withColumn("day", F.to_date("ts")), ["circuit", "day"], ORDER, "value")
 
 
-@query()
+@query(f""", {DAY_LISTS}, k AS (SELECT circuit, day, a, len(a) AS n, least(4, len(a)) AS k FROM days), b AS (SELECT *, CAST(unnest(range(0, k)) AS INTEGER) AS bin FROM k),
+l AS (SELECT *, CAST(round_even(bin * n / k, 0) AS BIGINT) AS lo, CAST(round_even((bin + 1) * n / k, 0) AS BIGINT) AS hi FROM b)
+SELECT circuit, day, bin, round(list_avg(a[lo + 1 : greatest(hi, lo + 1)]) + 1e-9, 4) AS mean FROM l""")
 def win18(spark, d):
-    own = readings(spark, d).groupBy("circuit", F.to_date("ts").alias("day")).agg(F.array_sort(F.collect_list(F.struct("ts", "id", "value"))).alias("a"))
-    return own.select("circuit", "day", curves.resample(F.transform("a", lambda x: x["value"]), F.least(F.lit(4), F.size("a"))).alias("bins"))
+    out = signal.resampled(readings(spark, d).withColumn("day", F.to_date("ts")), ["circuit", "day"], ORDER, "value", 4)
+    return out.withColumn("mean", settled("mean", 4))
 
 
 @query(f"SELECT id, circuit FROM (SELECT id, circuit, ts, row_number() OVER ({PART}) AS p, min(ts) OVER (PARTITION BY circuit) AS t0 FROM r) WHERE {micros('ts', 't0')} <= 86400 OR p % 5 = 0")
@@ -274,35 +282,45 @@ def clu12(spark, d):
     return clustering.classified(own).select("id", "circuit", "suggested_type")
 
 
+SCALED = [f"z_{n}" for n in clustering.FEATURES]
+
+
+def scaled(events):
+    """events with the nine features, each standardised by its circuit's running mean and deviation."""
+    own = clustering.feature_columns(events).withColumns({n: F.col(n).cast("double") for n in clustering.FEATURES})
+    return clustering.standardised(own, "circuit", START, clustering.FEATURES)
+
+
 @query()
 def clu03(spark, d):
-    own = clustering.standardised(usage_events(spark, d), "circuit", START, ["duration_seconds", "avg_flow_lpm"])
-    return clustering.learn_clusters(own, ["z_duration_seconds", "z_avg_flow_lpm"])
+    return clustering.learn_clusters(scaled(usage_events(spark, d)), SCALED)
 
 
 @query()
 def clu10(spark, d):
-    """The learner rebuilt from the matched events of the last days, from an empty state."""
-    u = usage_events(spark, d).where("cluster_id is not null and start_ts >= timestamp_ntz'2024-01-10 00:00:00'")
-    own = clustering.standardised(u, "circuit", START, ["duration_seconds", "avg_flow_lpm"])
-    return clustering.learn_clusters(own, ["z_duration_seconds", "z_avg_flow_lpm"])
+    """The learner rebuilt from the matched events of the last 60 days, from an empty state, and its groups mapped to the stored clusters."""
+    u = usage_events(spark, d).where(F.col("cluster_id").isNotNull() & (F.col("start_ts") >= F.lit(AS_OF).cast("timestamp_ntz") - F.expr("interval 60 days")))
+    own = scaled(u)
+    groups = clustering.learn_clusters(own, SCALED).where("learned_id is not null").join(own.select("circuit", "id", *SCALED), ["circuit", "id"])
+    means = [F.avg(n).alias(n) for n in SCALED]
+    stored = own.groupBy("circuit", "cluster_id").agg(*means).join(clusters(u).select("circuit", "cluster_id", "suggested_type"), ["circuit", "cluster_id"])
+    return clustering.remapped(groups.groupBy("circuit", "learned_id").agg(*means), stored, SCALED)
 
 
 @query()
 def clu11(spark, d):
     """The unmatched events that count for training, grouped in order of their start."""
     u = usage_events(spark, d).where("cluster_id is null and not excluded").withColumn("end_ts", F.col("start_ts"))
-    own = clustering.standardised(u, "circuit", START, ["duration_seconds", "avg_flow_lpm"])
-    return clustering.learn_clusters(own, ["z_duration_seconds", "z_avg_flow_lpm"])
+    return clustering.learn_clusters(scaled(u), SCALED)
 
 
 @query()
 def str01(spark, d):
-    return detect(readings(spark, d), min_seconds=3.0)
+    """Events by all three triggers: pressure, flow and onset, with gaps that empty the buffer."""
+    return detect(signals(spark, d), min_seconds=3.0)
 
 
 @query()
 def str02(spark, d):
-    r = readings(spark, d)
-    own = r.withColumn("role", F.when(F.col("sensor") == 1, "pressure").when(F.col("sensor") == 2, "volume").otherwise("flow"))
-    return sessions.reconstructed_events(own, usage_events(spark, d).where("id % 9 = 0"))
+    """Periods of flow and of the onset signal united, those of stored events (here the ones with an alert) left out."""
+    return sessions.reconstructed_events(signals(spark, d), usage_events(spark, d).where("triggered_alert"), window_end=WINDOW_END)

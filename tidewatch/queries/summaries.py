@@ -105,16 +105,16 @@ def agg11(spark, d):
     return usage_events(spark, d).groupBy("circuit").agg(F.max("start_ts").alias("last_start"), (F.coalesce(F.max("id"), F.lit(-1)) + 1).alias("next_id"))
 
 
-@query("SELECT circuit, hour_ts, CASE WHEN n >= 2 AND d > 0 AND d < 10000 THEN round(d, 3) END AS delta FROM (SELECT circuit, date_trunc('hour', ts) AS hour_ts, arg_max(value, ts) - arg_min(value, ts) AS d, count(*) AS n FROM r GROUP BY ALL)")
+@query("SELECT circuit, hour_ts, CASE WHEN n >= 2 AND d > 0 AND d < 10000 THEN round(d, 3) END AS delta FROM (SELECT circuit, date_trunc('hour', ts) AS hour_ts, arg_max(value, (ts, id)) - arg_min(value, (ts, id)) AS d, count(*) AS n FROM r GROUP BY ALL)")
 def agg13(spark, d):
     own = readings(spark, d).withColumn("hour_ts", F.date_trunc("hour", "ts").cast("timestamp_ntz"))
     return rollups.counter_delta(own, ["circuit", "hour_ts"], "ts", "value")
 
 
-@query("SELECT circuit, CAST(ts AS DATE) AS day, round(CASE WHEN arg_max(value, ts) < arg_min(value, ts) THEN 0e0 ELSE arg_max(value, ts) - arg_min(value, ts) END, 1) AS used FROM r GROUP BY ALL")
+@query("SELECT circuit, CAST(ts AS DATE) AS day, round(CASE WHEN arg_max(value, (ts, id)) < arg_min(value, (ts, id)) THEN 0e0 ELSE arg_max(value, (ts, id)) - arg_min(value, (ts, id)) END, 1) AS used FROM r GROUP BY ALL")
 def agg14(spark, d):
     """A counter against its first value of the day; after a reset the baseline is the counter itself, so nothing is used yet."""
-    own = readings(spark, d).groupBy("circuit", F.to_date("ts").alias("day")).agg(F.max_by("value", "ts").alias("now"), F.min_by("value", "ts").alias("base"))
+    own = readings(spark, d).groupBy("circuit", F.to_date("ts").alias("day")).agg(F.max_by("value", F.struct("ts", "id")).alias("now"), F.min_by("value", F.struct("ts", "id")).alias("base"))
     return own.select("circuit", "day", F.round(F.greatest(F.lit(0.0), F.col("now") - F.col("base")), 1).alias("used"))
 
 
@@ -201,7 +201,7 @@ def jn11(spark, d):
     return rel.nearest_center(vectors, centers, "embedding", "c").select("vec_id", "center_id", F.round("distance", 4).alias("distance"))
 
 
-@query("SELECT circuit, arg_max(value, ts) FILTER (sensor = 0) AS s0, arg_max(value, ts) FILTER (sensor = 1) AS s1, arg_max(value, ts) FILTER (sensor = 2) AS s2 FROM r GROUP BY circuit")
+@query("SELECT circuit, arg_max(value, (ts, id)) FILTER (sensor = 0) AS s0, arg_max(value, (ts, id)) FILTER (sensor = 1) AS s1, arg_max(value, (ts, id)) FILTER (sensor = 2) AS s2 FROM r GROUP BY circuit")
 def jn12(spark, d):
     own = readings(spark, d).withColumn("role", F.concat(F.lit("s"), F.col("sensor").cast("string")))
     return rel.pivot_latest(own, "circuit", "role", ["s0", "s1", "s2"], "ts", "value")
@@ -227,7 +227,7 @@ def jn14(spark, d):
     return rel.match_roles(own, ROLES)
 
 
-@query("SELECT c.circuit, c.n, l.last_value, t.any_alert FROM (SELECT circuit, count(*) AS n FROM u GROUP BY 1) c LEFT JOIN (SELECT circuit, arg_max(value, ts) AS last_value FROM r GROUP BY 1) l USING (circuit) LEFT JOIN (SELECT circuit, bool_or(triggered_alert) AS any_alert FROM u GROUP BY 1) t USING (circuit)")
+@query("SELECT c.circuit, c.n, l.last_value, t.any_alert FROM (SELECT circuit, count(*) AS n FROM u GROUP BY 1) c LEFT JOIN (SELECT circuit, arg_max(value, (ts, id)) AS last_value FROM r GROUP BY 1) l USING (circuit) LEFT JOIN (SELECT circuit, bool_or(triggered_alert) AS any_alert FROM u GROUP BY 1) t USING (circuit)")
 def jn15(spark, d):
     u = usage_events(spark, d)
     live = rel.latest_states(readings(spark, d), ["circuit"], value="value").select("circuit", F.col("value").alias("last_value"))
@@ -250,7 +250,7 @@ def srt02(spark, d):
     return rel.quiet_rank(usage_events(spark, d).where("triggered_alert"), ["circuit"], [F.desc("start_ts"), F.col("id")], 20).select("circuit", "id", "start_ts")
 
 
-@query("SELECT circuit, arg_max(state, ts) AS state, max(ts) AS ts FROM r GROUP BY circuit")
+@query("SELECT circuit, arg_max(state, (ts, id)) AS state, max(ts) AS ts FROM r GROUP BY circuit")
 def src04(spark, d):
     return rel.latest_states(readings(spark, d), ["circuit"])
 
@@ -273,7 +273,8 @@ def win14(spark, d):
     return rollups.day_series(rollups.hourly_volume(u), circuits(u), now())
 
 
-@query()
+@query(f""", {PROFILE}, o AS (SELECT circuit, list({{'a': avg_volume, 'h': hr}} ORDER BY avg_volume, hr) AS l FROM profile GROUP BY circuit)
+SELECT circuit, list_reduce(l, lambda b, x: CASE WHEN x.a < 0.95e0 * b.a OR x.a < 1.05e0 * b.a AND x.h BETWEEN 0 AND 5 THEN x ELSE b END).h AS hr FROM o""")
 def win19(spark, d):
     return rollups.quiet_hour(rollups.hour_profile(rollups.hourly_volume(usage_events(spark, d))))
 

@@ -106,6 +106,15 @@ def readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select(F.col("event_type").alias("circuit"), F.col("event_id").alias("id"), "ts", F.lit("flow").alias("role"), F.col("value").cast("string").alias("state"), "value", (F.col("user_id") % 8).alias("sensor"))
 
 
+def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Readings of all roles as a view on the events table: half flow, a quarter pressure, an eighth onset pulses, a sixteenth each meter and gaps."""
+    own = readings(spark, sf_dir)
+    sensor = F.col("sensor")
+    role = F.when(sensor < 4, "flow").when(sensor < 6, "pressure").when(sensor == 6, "onset").when(F.col("id") % 2 == 0, "volume").otherwise("reset")
+    state = F.when(role == "onset", F.when(F.col("value") >= 25, "on").otherwise("off")).when(role == "reset", "unavailable").otherwise(F.col("state"))
+    return own.withColumns({"role": role, "state": state})
+
+
 def clusters(events: DataFrame) -> DataFrame:
     """Clusters of the events: the even ones belong to a fixture."""
     own = events.where("cluster_id is not null").groupBy("circuit", "cluster_id").agg(F.count("*").alias("member_count"))

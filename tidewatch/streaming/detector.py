@@ -109,9 +109,9 @@ class Circuit:
 NAMES = [c.split()[0] for c in EVENT.split(", ")]
 
 
-def _frame(circuit: str, events: list[dict]) -> pd.DataFrame:
+def _frame(events: list[tuple[str, dict]]) -> pd.DataFrame:
     at = lambda t: pd.Timestamp(round(t * 1_000_000), unit="us")
-    rows = [{"circuit": circuit, "start_ts": at(e.pop("start")), "end_ts": at(e.pop("end")), **e} for e in events]
+    rows = [{"circuit": circuit, "start_ts": at(e.pop("start")), "end_ts": at(e.pop("end")), **e} for circuit, e in events]
     return pd.DataFrame(rows, columns=NAMES)
 
 
@@ -132,9 +132,9 @@ def detect(readings: DataFrame, threshold: float = 2.0, min_seconds: float = 3.0
                     name, machine = circuit, Circuit(threshold, min_seconds)
                 found = machine.read(at, role, state)
                 if found:
-                    out.append(_frame(name, [found]))
+                    out.append((name, found))
             if out:
-                yield pd.concat(out, ignore_index=True)
+                yield _frame(out)
 
     return dealt.mapInPandas(run, EVENT)
 
@@ -150,7 +150,7 @@ def detect_stream(readings: DataFrame, threshold: float = 2.0, min_seconds: floa
         rows = pd.concat(list(frames), ignore_index=True).sort_values(["at", "role", "id"], kind="stable")
         found = [e for e in (machine.read(a, r, s) for a, r, s in zip(rows["at"], rows["role"], rows["state"], strict=True)) if e]
         state.update(tuple(asdict(machine)[k] for k in STATE_NAMES))
-        yield _frame(key[0], found)
+        yield _frame([(key[0], e) for e in found])
 
     own = readings.selectExpr("circuit", "cast(cast(ts as timestamp) as double) as at", "role", "state", "id")
     return own.groupBy("circuit").applyInPandasWithState(step, EVENT, STATE, "append", GroupStateTimeout.NoTimeout)
