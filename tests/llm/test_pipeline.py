@@ -8,7 +8,7 @@ from tokenizers import Tokenizer
 import corpus_pipeline
 from tests.llm import brute
 from tidewatch.llm import pii
-from tidewatch.llm.queries import rule_vocabularies
+from tidewatch.llm.queries import rule_pieces, rule_vocabularies
 from tidewatch.llm.quality import fertility_rules
 
 SF = "/root/testdata/sf0.001"
@@ -26,7 +26,7 @@ def without_common_lines(docs):
 
 def test_run_equals_the_plain_stages(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    verdicts = {r["doc_id"]: r["kept"] for r in fertility_rules(docs, rule_vocabularies(spark)).collect()}
+    verdicts = {r["doc_id"]: r["kept"] for r in fertility_rules(docs, rule_vocabularies(spark), rule_pieces(spark)).collect()}
     rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
     assert not any(verdicts[i] and brute.quality(text)[-1] for i, text in rows)
     kept = without_common_lines([(i, text) for i, text in rows if verdicts[i]])
@@ -46,3 +46,24 @@ def test_run_equals_the_plain_stages(spark):
         filled[p["sequence_id"]] += p["length"]
     assert dict(got) == want
     assert sorted(filled) == list(range(len(filled))) and all(filled[s] == 2048 for s in sorted(filled)[:-1])
+
+
+def test_stages_on_odd_rows(spark):
+    """Null and repeated ids, null, empty and long texts, ties, an empty table and further columns."""
+    words = " ".join(f"word{i * 7919 % 1009}" for i in range(120))
+    rows = [(None, words, "en"), (None, None, None), (1, words, "en"), (1, words, "en"), (2, words, None), (3, "", "en"), (4, None, "en"), (5, "x " * 50000, "en")]
+    docs = spark.createDataFrame([(i, t, lang, "s", len(t or ""), "k") for i, t, lang in rows], "doc_id long, text string, lang string, source string, n_chars long, gone string")
+    ids = lambda df: sorted((r.doc_id or -1) for r in df.collect())
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, SF)
+        if name == "quality_rules":
+            assert set(ids(out)) <= {-1, 1, 2}
+        elif name == "near_duplicates":
+            assert ids(out) == [-1, -1, 1, 1, 3, 4, 5]
+        elif name == "pack":
+            assert set(ids(out)) == {-1, 1, 2, 3, 4, 5}
+        else:
+            assert ids(out) == sorted((r[0] or -1) for r in rows)
+        if name != "pack":
+            assert out.columns == corpus_pipeline.COLUMNS
+        assert stage(spark, docs.where("false"), SF).count() == 0

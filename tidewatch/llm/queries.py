@@ -26,6 +26,14 @@ def rule_vocabularies(spark, path=public_tokenizers.path):
     return [vocabulary(spark, path(name), None, public_tokenizers.PATTERN) for name in ("byte_bpe_50k.tiktoken", "byte_bpe_multi_50k.tiktoken")]
 
 
+def rule_pieces(spark, path=public_tokenizers.path):
+    """The pieces of the vocabulary with byte pieces."""
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=path("piece_bpe_32k.model"))
+    return spark.sparkContext.broadcast([model.id_to_piece(i) for i in range(model.get_piece_size()) if not model.is_byte(i)])
+
+
 def op1_ngram_jaccard_join(spark, sf_dir):
     return jaccard_components(table(spark, sf_dir, "documents"), size=5, percent=80)
 
@@ -58,7 +66,7 @@ def op5_additive_quantisation(spark, sf_dir):
 
 
 def op6_quality_fertility(spark, sf_dir):
-    return fertility_rules(table(spark, sf_dir, "documents"), rule_vocabularies(spark))
+    return fertility_rules(table(spark, sf_dir, "documents"), rule_vocabularies(spark), rule_pieces(spark))
 
 
 def op7_hilbert_packing(spark, sf_dir):
