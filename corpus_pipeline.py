@@ -11,7 +11,7 @@ from tidewatch.llm.line_dedup import dedup_lines
 from tidewatch.llm.ngram_join import jaccard_components
 from tidewatch.llm.packing import pack_by_curve
 from tidewatch.llm.quality import keep_fertile
-from tidewatch.llm.queries import bpe_vocabulary, rule_vocabularies
+from tidewatch.llm.queries import bpe_vocabulary, rule_pieces, rule_vocabularies
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -22,29 +22,29 @@ def _as_documents(docs: DataFrame, text) -> DataFrame:
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that pass."""
-    return keep_fertile(docs.select(*COLUMNS), rule_vocabularies(spark))
+    """The documents that pass, their rows unchanged; a null or empty text has no words and fails."""
+    return keep_fertile(docs.select(*COLUMNS), rule_vocabularies(spark), rule_pieces(spark))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document, without the lines that others keep; a null text stays null."""
+    """Every document, without the lines that others keep; a null text stays null, a row without an id loses nothing."""
     out = dedup_lines(docs)
     return _as_documents(out, F.when(F.col("text").isNotNull(), F.col("kept_text")))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest doc_id of each group of alike documents."""
+    """The smallest doc_id of each group of alike documents, with all rows of that id; a document without an id is kept, as it names no group."""
     first = jaccard_components(docs).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(first, "doc_id", "left_semi").select(*COLUMNS)
+    return docs.join(first, "doc_id", "left_semi").select(*COLUMNS).unionByName(docs.where("doc_id is null").select(*COLUMNS))
 
 
 def redact_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document, personal data replaced by its kind."""
+    """Every document, personal data replaced by its kind; null and empty texts stay."""
     return _as_documents(pii.redact(docs), F.col("text"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents in sequences of 2048 ids."""
+    """The pieces of all documents in sequences of 2048 ids; a null text is empty and gives its end mark."""
     return pack_by_curve(docs, bpe_vocabulary(spark), length=2048)
 
 
