@@ -34,10 +34,11 @@ def test_warc_round_trip(spark):
     assert sorted([tuple(r) for r in out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to").collect()], key=key) == sorted(warc_rows(rows), key=key)
     by_id = {r.page_id: r for r in out.collect()}
     assert bytes(by_id[1002].payload) == ("é" * 60).encode() and bytes(by_id[1003].payload) == b""
-    assert [r.page_id for r in warc.lookup(bundles, ["urn:page:1004"]).collect()] == [1004]
+    assert [r.page_id for r in warc.lookup(bundles, page_ids=[1004]).collect()] == [1004]
+    assert len({r.record_id for r in out.collect()}) == len(rows) and [r.page_id for r in warc.lookup(bundles, [by_id[1002].record_id]).collect()] == [1002]
     content = bundles.first().content  # any Zstandard reader can unpack a bundle
     plain = zstandard.ZstdDecompressor().stream_reader(io.BytesIO(bytes(content)), read_across_frames=True).read()
-    assert plain.startswith(b"WARC/1.1\r\n")
+    assert plain.startswith(b"WARC/1.1\r\n") and plain.count(b"WARC-Date: ") >= 1 and f"WARC-Refers-To: <{by_id[1002].record_id}>".encode() in b"".join(zstandard.ZstdDecompressor().stream_reader(io.BytesIO(bytes(b.content)), read_across_frames=True).read() for b in bundles.collect())
     assert warc.read_bundles(warc.write_bundles(df.where("false"))).count() == 0
 
 

@@ -116,9 +116,10 @@ def pack_by_curve(docs: DataFrame, vocab, id_col: str = "doc_id", text_col: str
     before, total = {}, 0
     for part, n in totals:
         before[part], total = total, total + n
-    base = F.element_at(F.from_json(F.lit("{" + ",".join(f'"{k}":{v}' for k, v in before.items()) + "}"), "map<string,bigint>"), F.col("part").cast("string"))
+    starts = F.broadcast(spark.createDataFrame(list(before.items()), "part int, before long"))  # one row a partition
     running = Window.partitionBy("part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    placed = ranged.select("row", (base + F.sum("n").over(running) - F.col("n")).alias("base"))
+    within = ranged.select("row", "part", (F.sum("n").over(running) - F.col("n")).alias("within"))
+    placed = within.join(starts, "part").select("row", (F.col("before") + F.col("within")).alias("base"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
