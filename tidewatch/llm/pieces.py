@@ -24,8 +24,9 @@ from tidewatch.llm.common import WordHasher, mix, text_slices
 MARK = "▁"
 #: How far an unknown character scores below the worst piece of a unigram vocabulary.
 UNKNOWN_PENALTY = 10.0
-#: Entries of the tables of known words and of piece pairs that a task holds; a full table is emptied.
-KNOWN, PAIRS = 1 << 17, 1 << 18
+#: Entries of the tables of known words and of piece pairs that a task holds. A full table of words becomes the older one, from which words that come
+#: again are taken over, so frequent words stay; a full table of pairs is emptied.
+KNOWN, PAIRS = 3 << 16, 1 << 18
 #: Bytes of text that are encoded at a time.
 SLICE = 1 << 20
 
@@ -47,14 +48,20 @@ class Pieces:
         self.floor = min(self.scores.values(), default=0.0) - UNKNOWN_PENALTY
         table = {i: piece.replace(MARK, " ").encode() if k == "normal" else bytes([int(piece[3:5], 16)]) if k == "byte" else " ⁇ ".encode() if k == "unknown" else b"" for i, piece, _, k in rows}
         self.texts = [table.get(i, b"") for i in range(max(table, default=-1) + 1)]
+        self.flat = np.frombuffer(b"".join(self.texts), np.uint8)
+        self.lengths = np.array([len(t) for t in self.texts], np.int64)
+        self.begins = np.cumsum(self.lengths) - self.lengths
         self.pairs: dict[tuple[str, str], bool] = {}
-        #: Pieces that their own merges make, and by their last two characters their sizes, largest first.
+        #: Pieces that their own merges make, and by their last three, else two, characters their sizes, largest first.
         self.whole = {p for p in self.ids if self.merged(p) == [p]} if kind == "bpe" else set()
         ends: dict[str, set[int]] = {}
         for piece in self.whole:
-            ends.setdefault(piece[-2:], set()).add(len(piece))
-        self.sizes = {tail: tuple(sorted(sizes | {1}, reverse=True)) for tail, sizes in ends.items()}
+            if len(piece) >= 2:
+                ends.setdefault(piece[-3:], set()).add(len(piece))
+        short = {tail: tuple(sorted(sizes | {1}, reverse=True)) for tail, sizes in ends.items() if len(tail) == 2}
+        self.sizes = short | {tail: tuple(sorted(sizes | set(short.get(tail[1:], ())) | {1}, reverse=True)) for tail, sizes in ends.items() if len(tail) == 3}
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def merged(self, symbols: str) -> list[str]:
         """The byte-pair pieces of a short string, merge by merge: best score first, then leftmost."""
@@ -91,20 +98,21 @@ class Pieces:
 
     def _agreed(self, word: str, shared: int, last: list) -> None:
         """The same for merge ranks: of the pieces that end here one agrees with the merges of what is before it."""
-        whole, sizes, pairs, one = self.whole, self.sizes, self.pairs, (1,)
+        whole, sizes, pairs, one, append = self.whole, self.sizes, self.pairs, (1,), last.append
         for end in range(shared + 1, len(word) + 1):
-            for size in sizes.get(word[max(0, end - 2) : end], one):
+            at = end - 3 if end > 3 else 0
+            for size in sizes.get(word[at:end]) or sizes.get(word[at + 1 : end], one):
                 if size > end:
                     continue
                 piece = word[end - size : end]
-                if size > 1 and piece not in whole:
+                if size > 3 and piece not in whole:
                     continue
                 before = last[end - size]
                 if before:
                     agrees = pairs.get((before, piece))
                     if not (self._follows(before, piece) if agrees is None else agrees):
                         continue
-                last.append(piece)
+                append(piece)
                 break
             else:
                 raise ValueError("merge ranks are not consistent")
@@ -113,8 +121,12 @@ class Pieces:
         """The ids of each marked word, as native unsigned 32-bit numbers."""
         new = sorted({w for w in words if w not in self.known})
         if len(self.known) + len(new) > KNOWN:
-            self.known.clear()
+            self.known, self.older = {}, self.known
             new = sorted(set(words))
+        if self.older:
+            again = {w: self.older[w] for w in new if w in self.older}
+            self.known.update(again)
+            new = [w for w in new if w not in again]
         path, last, best = "", [""], [0.0]
         for word in new:
             shared, most = 0, min(len(path), len(word))
@@ -139,9 +151,20 @@ class Pieces:
             self.known[word] = array("I", ids[::-1]).tobytes()
         return [self.known[w] for w in words]
 
+    def decoded(self, ids: np.ndarray, bounds: np.ndarray) -> list[str]:
+        """The text of ids[bounds[i] : bounds[i + 1]] for each i; ids without a piece give nothing."""
+        known = ids < len(self.lengths)
+        own = np.where(known, ids, 0)
+        sizes = np.where(known, self.lengths[own], 0)
+        ends = np.cumsum(sizes)
+        blob = self.flat[np.repeat(self.begins[own] - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)].tobytes()
+        edges = np.concatenate([[0], ends])[bounds].tolist()
+        skip = 1 if self.dummy_prefix else 0
+        return [blob[a + skip if blob[a : a + 1] == b" " and a < b else a : b].decode("utf-8", "replace") for a, b in zip(edges[:-1], edges[1:], strict=True)]
+
     def decode(self, ids: np.ndarray) -> str:
-        text = b"".join(self.texts[i] for i in ids)
-        return (text[1:] if self.dummy_prefix and text.startswith(b" ") else text).decode("utf-8", "replace")
+        ids = np.asarray(ids, np.int64)
+        return self.decoded(ids, np.array([0, len(ids)]))[0]
 
 
 def load_pieces(model_path: str, kind: str, dummy_prefix: bool = True) -> Pieces:
@@ -215,10 +238,16 @@ def decode_ids(encoded: DataFrame, pieces, ids_col: str = "ids", out_col: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pieces.value
         for batch in batches:
-            blobs = (b.as_py() for b in batch.column(place))
-            known = len(table.texts)
-            texts = [None if b is None else table.decode((x := np.frombuffer(b, "<u4"))[x < known]) for b in blobs]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*names, out_col])
+            blobs = batch.column(place).to_pylist()
+            sizes = np.array([len(b or b"") // 4 for b in blobs], np.int64)
+            at = 0
+            while at < len(blobs):  # some MB of text at a time
+                end = at + max(1, int(np.searchsorted(np.cumsum(sizes[at:]), SLICE, "right")))
+                ids = np.frombuffer(b"".join(b or b"" for b in blobs[at:end]), "<u4").astype(np.int64)
+                texts = table.decoded(ids, np.concatenate([[0], np.cumsum(sizes[at:end])]))
+                texts = [None if b is None else t for b, t in zip(blobs[at:end], texts, strict=True)]
+                yield pa.RecordBatch.from_arrays([*batch.slice(at, end - at).columns, pa.array(texts, pa.string())], [*names, out_col])
+                at = end
 
     return rest.mapInArrow(run, schema)
 
