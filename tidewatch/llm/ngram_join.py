@@ -221,7 +221,8 @@ def _only(sets: DataFrame, nodes: DataFrame, named: DataFrame) -> DataFrame:
             yield batch.filter(pa.array(_held(held.value, ids ^ (ids >> 26))))
 
     near = sets.mapInArrow(run, sets.schema)
-    found = near.alias("s").join(wanted.alias("w"), F.expr("s.sig = w.sig and s.id <=> w.id"), "left_semi").dropDuplicates(["sig"])
+    # The ids have let in about one copy of each set; one shuffle by sig serves the join and the rest. The sets grow with the documents: no broadcast.
+    found = near.join(wanted.select("sig").hint("merge"), "sig", "left_semi").dropDuplicates(["sig"])
     out = materialize(found.select("sig", "n", "low", "tokens"), "needed", "none")
     release(wanted)
     return out
@@ -367,7 +368,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     placed = whole.select(*per_set, "own", F.posexplode("own").alias("at", "tok"))
     first_here = "not arrays_overlap(slice(owna, 1, ata), slice(ownb, 1, atb))"
     enough = f"size(array_intersect(owna, ownb)) + least(pa - latea, pb - lateb) + {beyond} >= {need}"
-    cross = side(placed, "a", "component", "own").join(side(placed, "b", "component", "own"), "tok").where(f"componenta <> componentb and a < b and {alike_size} and least(helda, heldb) >= {need} and {first_here} and {enough}")
+    # Of all frequent shingles of a set (their number follows from late) and of its shared rare ones no more can be common than either side has.
+    kinds = " + ".join(f"least({a('a')}, {a('b')})" for a in (lambda s: f"late{s} + n{s} - p{s}", lambda s: f"held{s} - late{s} - n{s} + p{s}"))
+    cross = side(placed, "a", "component", "own").join(side(placed, "b", "component", "own"), "tok").where(f"componenta <> componentb and a < b and {alike_size} and {kinds} >= {need} and {first_here} and {enough}")
     more_pairs = materialize(cross.select("a", "b"), "pairs")
     more = _linked(all_sets, nodes, more_pairs, percent)
     final = connected_components(links.unionByName(more))
