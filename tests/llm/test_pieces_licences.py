@@ -92,3 +92,41 @@ def test_held_out_accuracy_of_the_classifier():
         lines, z = model.logits(1, line, feature)
         right += len(lines) > 0 and model.classes[int(z[0].argmax())] == name
     assert right / len(rows) > 0.9
+
+
+WRAPPED = {
+    "gpl": """/* This program is free software: you can redistribute it and/or modify
+ * it under the terms of the GNU General Public License as published by
+ * the Free Software Foundation, either version 3 of the License, or
+ * (at your option) any later version. */""",
+    "mit": """# Permission is hereby granted, free of charge, to any person obtaining a copy
+# of this software and associated documentation files (the "Software"), to deal
+# in the Software without restriction""",
+    "apache": """// Licensed under the Apache License, Version 2.0 (the "License");
+// you may not use this file except in compliance with the License.""",
+    "bsd": """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions
+are met:""",
+    "agpl": """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU Affero General Public License as
+published by the Free Software Foundation""",
+}
+
+
+def test_wrapped_notices_are_paragraphs(spark):
+    prose = "The river ran under the stone house in the morning.\nA garden in winter light."
+    rows = [(i, f"{prose}\n\n{text}\n\n{prose}", family) for i, (family, text) in enumerate(WRAPPED.items())]
+    rows += [(10, "GNU GENERAL PUBLIC LICENSE Version 2", "gpl"), (11, "x = 1\n# SPDX-License-Identifier: MIT\ny = 2", "mit")]
+    got = {r.doc_id: r for r in licences.scan_licences(spark.createDataFrame(rows, "doc_id long, text string, family string"), background=50).collect()}
+    for i, text, family in rows:
+        assert got[i].families == family, (got[i], text)
+        if i < 10:
+            span = got[i].licences[0]
+            assert text[span.start : span.end].count("\n") >= 1
+
+
+def test_unlisted_licences_are_unknown(spark):
+    """Families held out of training are licence-like, but none of the families."""
+    held_out = ["This program is licensed under the Eclipse Public License, version 2.0.", "Distributed under the Boost Software License, Version 1.0.", "Licensed under the European Union Public Licence, version 1.2."]
+    out = licences.scan_licences(spark.createDataFrame(list(enumerate(held_out)), "doc_id long, text string"), background=10).collect()
+    assert all(r.families == "" for r in out) and sum(r.n_unknown for r in out) >= 2

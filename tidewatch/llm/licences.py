@@ -1,8 +1,9 @@
 """Licence scans: a trained paragraph classifier with a calibrated unknown class, confirmed by comparison with templates.
 
-Every line with a word is a paragraph. Sparse features are its words and word pairs, hashed; a multinomial logistic regression gives each licence
-family a probability, and one more class stands for other text. Families above the calibrated threshold are compared with their templates; a
-licence-like paragraph that passes neither is unknown.
+Sparse features of a line are its words and word pairs, hashed; a multinomial logistic regression gives each licence family a probability, one class
+stands for unknown licences and one for other text. Licence-like lines that follow each other, with at most GAP other lines between, are a paragraph, as
+licences are wrapped; comment marks count as white space. A paragraph whose pooled probability of a family is above the calibrated threshold is compared
+with the family's templates, alone and with a few of the lines around it. If it is not confirmed, its lines are judged one by one, and a licence-like line that passes neither is unknown.
 """
 
 from __future__ import annotations
@@ -20,28 +21,40 @@ from tidewatch.llm.common import WordHasher, mix, text_slices
 #: Notices of public licences, by family.
 TEMPLATES = {
     "mit": [
+        "The MIT License (MIT)",
+        "SPDX-License-Identifier: MIT",
         "Released under the MIT License.",
         "This project is licensed under the terms of the MIT license.",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction",
     ],
     "apache": [
+        "Apache License Version 2.0",
+        "SPDX-License-Identifier: Apache-2.0",
         "Licensed under the Apache License, Version 2.0.",
         "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License.",
         "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND",
     ],
     "gpl": [
+        "GNU General Public License Version 2",
+        "SPDX-License-Identifier: GPL-3.0-or-later",
         "This work is licensed under the GNU General Public License, version 3.",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
     ],
     "lgpl": [
+        "GNU Lesser General Public License Version 3",
+        "SPDX-License-Identifier: LGPL-2.1-only",
         "This library is licensed under the GNU Lesser General Public License, version 2.1.",
         "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation",
     ],
     "agpl": [
+        "GNU Affero General Public License Version 3",
+        "SPDX-License-Identifier: AGPL-3.0-only",
         "Licensed under the GNU Affero General Public License, version 3.",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation",
     ],
     "bsd": [
+        "BSD 3-Clause License",
+        "SPDX-License-Identifier: BSD-3-Clause",
         "Released under the BSD 3-Clause License.",
         "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.",
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
@@ -49,6 +62,7 @@ TEMPLATES = {
     "mpl": [
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
         "Licensed under the Mozilla Public License, version 2.0.",
+        "SPDX-License-Identifier: MPL-2.0",
     ],
     "isc": [
         "Released under the ISC License.",
@@ -60,11 +74,33 @@ TEMPLATES = {
     "cc0": ["To the extent possible under law, the author has waived all copyright and related rights to this work.", "Released under CC0 1.0 Universal."],
     "unlicense": ["This is free and unencumbered software released into the public domain."],
 }
+#: Words of which a family's notice holds one, and words that no notice of it holds.
+MARKS = {
+    "mit": ({"mit", "hereby"}, set()),
+    "apache": ({"apache", "apache-0", "unless"}, set()),
+    "bsd": ({"bsd", "bsd-0-clause", "bsd-style", "redistribution"}, set()),
+    "isc": ({"isc", "hereby"}, set()),
+    "cc0": ({"cc0", "extent"}, set()),
+    "unlicense": ({"unencumbered"}, set()),
+    "gpl": ({"gnu", "gpl-0"}, {"affero", "lesser", "library"}),
+    "lgpl": ({"lesser", "lgpl-0", "library"}, {"affero"}),
+    "agpl": ({"affero", "agpl-0"}, set()),
+    "mpl": ({"mozilla", "mpl-0"}, set()),
+    "cc-by": ({"attribution", "by"}, {"noncommercial", "sharealike", "by-nc", "by-sa"}),
+    "cc-by-sa": ({"sharealike", "attribution-sharealike", "by-sa"}, set()),
+    "cc-by-nc": ({"noncommercial", "attribution-noncommercial", "by-nc"}, set()),
+}
+#: Other lines that a wrapped paragraph may hold between licence-like ones, and the most lines of one.
+GAP, LINES = 2, 40
+#: Lines that a paragraph may take in on either side, as not every line of a wrapped notice is licence-like by itself.
+REACH = 4
 #: Licence-like lines of no listed family, and ordinary sentences with words of licences.
 UNKNOWN_TEXTS = [
     "Licensed under the Example Community License, version 1.2.",
     "This work is licensed under a proprietary agreement; all rights reserved.",
     "Copyright by the authors. All rights reserved.",
+    "This program and the accompanying materials are made available under the terms of the Example Public License v2.0.",
+    "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, express or implied.",
     "Released under a custom licence of the publisher.",
     "Redistribution is not permitted without written permission of the owner.",
 ]
@@ -118,8 +154,11 @@ class LicenceModel:
         return lines, (z + self.bias) / self.temperature
 
     def closeness(self, family: str, text: str) -> float:
-        """The largest share of a template of the family that the paragraph holds, in distinct words."""
+        """The largest share of a template of the family that the paragraph holds, in distinct words; 0 if a mark of the family lacks or one of another is there."""
         words = set(folded(text))
+        needed, foreign = MARKS.get(family, (set(), set()))
+        if needed and not needed & words or foreign & words:
+            return 0.0
         return max(len(t & words) / len(t) for t in self.templates[family])
 
 
@@ -191,10 +230,44 @@ def train(background: list[str], per_class: int = 24, rounds: int = 200, rate: f
     return model
 
 
+def wrapped(licence_like: np.ndarray, lines: np.ndarray, rows: np.ndarray) -> Iterator[list[int]]:
+    """The licence-like lines in paragraphs: lines of one text with at most GAP others between, at most LINES in one."""
+    block: list[int] = []
+    for i in licence_like.tolist():
+        if block and (rows[lines[i]] != rows[lines[block[-1]]] or lines[i] - lines[block[-1]] > GAP + 1 or len(block) >= LINES):
+            yield block
+            block = []
+        block.append(i)
+    if block:
+        yield block
+
+
+def stretches(first: int, last: int, rows: np.ndarray, start: np.ndarray, end: np.ndarray) -> Iterator[tuple[int, int]]:
+    """The lines first..last, then with one and more of the lines that follow, then of those before: not beyond a blank line, at most REACH either way."""
+    full = lambda i: 0 <= i < len(rows) and rows[i] == rows[first] and end[i] > start[i]
+    yield first, last
+    for _ in range(REACH):
+        if not full(last + 1):
+            break
+        last += 1
+        yield first, last
+    for _ in range(REACH):
+        if not full(first - 1):
+            break
+        first -= 1
+        yield first, last
+
+
 def background_texts(docs: DataFrame, id_col: str, text_col: str, sample: int) -> list[str]:
-    """Ordinary text for training: at most ``sample`` texts of least hash, without lines that speak of licences."""
+    """Ordinary text for training: at most ``sample`` texts of least hash, of a longer one 20,000 characters, without lines that speak of licences.
+
+    The tasks send few more than that in all: only texts under a hash bound that follows from their number.
+    """
     clue = r"(?i)licen[cs]e|copyright|warrant|redistribut|permission"
-    own = docs.where(F.col(text_col).isNotNull() & F.length(text_col).between(1, 20000)).select(F.col(text_col).cast("string").alias("t"), F.xxhash64(id_col, text_col).alias("h"))
+    own = docs.where(F.length(text_col) > 0).select(F.substring(F.col(text_col).cast("string"), 1, 20000).alias("t"), F.xxhash64(id_col, text_col).alias("h"))
+    share = 2 * sample / max(1, docs.where(F.length(text_col) > 0).count())
+    if share < 1:
+        own = own.where(F.col("h") < int((share - 0.5) * 2**64))
     rows = own.orderBy("h", "t").limit(sample).select(F.expr(rf"array_join(filter(split(t, '\n'), l -> NOT regexp_like(l, '{clue}')), '\n')").alias("t"))
     return [r["t"] for r in rows.collect()]
 
@@ -225,7 +298,22 @@ def scan_licences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                     p = softmax(z)
                     licence_like = np.flatnonzero(p[:, -1] < 0.5)
                     chars = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)]) if len(licence_like) else None
-                    for i in licence_like:
+                    alone = []
+                    for block in wrapped(licence_like, lines, rows):
+                        j, k = int(lines[block[0]]), int(lines[block[-1]])
+                        pooled = p[block].mean(0)
+                        best = int(pooled[:n_families].argmax())
+                        family, chance = model.classes[best], float(pooled[best])
+                        text = lambda j, k: raw[start[j] : end[k]].tobytes().decode("utf-8", "replace")
+                        near = stretches(j, k, rows, start, end) if chance >= model.threshold else ()
+                        found_at = next(((a, b) for a, b in near if model.closeness(family, text(a, b)) >= closeness), None)
+                        if found_at is None:
+                            alone += block
+                            continue
+                        j, k = found_at
+                        base = chars[offsets[rows[j]]]
+                        found[rows[j]].append({"family": family, "start": int(chars[start[j]] - base), "end": int(chars[end[k]] - base), "probability": chance})
+                    for i in alone:
                         j = int(lines[i])
                         text = raw[start[j] : end[j]].tobytes().decode("utf-8", "replace")
                         best = int(p[i, :n_families].argmax())
@@ -234,6 +322,8 @@ def scan_licences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                             family, chance = UNKNOWN, float(1 - p[i, -1])
                         base = chars[offsets[rows[j]]]
                         found[rows[j]].append({"family": family, "start": int(chars[start[j]] - base), "end": int(chars[end[j]] - base), "probability": chance})
+                for own in found:
+                    own.sort(key=lambda x: x["start"])
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(found)), pa.array(found, kind)], ["id", "licences"])
 
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
