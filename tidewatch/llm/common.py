@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -23,10 +24,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. Without one nothing is written: a local folder would be lost with its machine."""
+    """The folder that driver and executors share. Where none is set a local master gets one of its own; a cluster raises, as a local folder would be lost."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = tempfile.mkdtemp(prefix="tidewatch-")
+        spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
