@@ -143,13 +143,10 @@ def src08(spark, d):
     """A backup written as one folder of JSON lines a table and read back: the loaded rows replace the table's."""
     import uuid
 
-    from tidewatch.sources.history import read_archive, write_backup
+    from tidewatch.sources.history import read_archive, shared_folder, write_backup
 
     u = upkeep.training_events(usage_events(spark, d), now(), 10).select("id", "circuit", "start_ts")
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    path = f"{shared.rstrip('/')}/tidewatch/backup-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/tidewatch/backup-{uuid.uuid4().hex}"
     write_backup({"events": u.withColumn("unknown", F.lit(1))}, path)
     return read_archive(spark, path, "events", u.schema)
 
