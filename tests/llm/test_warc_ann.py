@@ -105,3 +105,18 @@ def test_nearest_recall_does_not_fall_with_the_table(spark, tmp_path):
     made = recall(spark, np.arange(len(x)), x, 1000, str(tmp_path / "made.parquet"))
     print(f"recall at 5: sf0.1 {given:.4f}, 100,000 vectors {made:.4f}")
     assert given >= 0.999 and made >= 0.999
+
+
+def test_vectors_of_each_length_are_searched_among_themselves(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, rng.standard_normal(8 if i % 3 else 5).tolist()) for i in range(120)] + [(50, rng.standard_normal(8).tolist())]
+    out = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), every=50, books=4, words=8, sample=64)
+    got = {}
+    for r in out.orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    for q in (0, 100):
+        v = dict(rows)[q]
+        own = [(i, np.array(x)) for i, x in rows if len(x) == len(v) and i != q]
+        cosine = {i: float(x @ np.array(v) / np.linalg.norm(x) / np.linalg.norm(v)) for i, x in own if i != 50}
+        assert [i for i in got[q] if i != 50] == [i for i in sorted(cosine, key=lambda i: (-cosine[i], i)) if i in got[q]] and len(got[q]) == 5
+    assert len(got[50]) == 5  # a repeated id is answered once

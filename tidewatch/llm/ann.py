@@ -8,6 +8,7 @@ its products with the codewords, and all that the angles cannot rule out are ran
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +18,10 @@ from pyspark.sql import functions as F
 from tidewatch.llm.common import materialize
 
 
+#: Lengths that the vectors of one table may have.
+MOST_LENGTHS = 16
+
+
 def _squared(x: np.ndarray, c: np.ndarray) -> np.ndarray:
     return (c * c).sum(1)[None, :] - 2 * x @ c.T
 
@@ -83,22 +88,27 @@ def nearest(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
     vectors take no part, nor do null ids. Equal vectors are one code with its k + 1 smallest ids, which is exact: no list can hold more
     of them. The ``first`` best codes of a query, on original vectors, give a k-th best score; then every code whose stored angle to its
     vector lets the vector reach that score is ranked on original vectors in double precision, ties by smaller id. No neighbour is lost, at
-    any number of vectors; the codes decide only how many are ranked. Vectors must have one length; those of another length than the
-    sample's most frequent take no part. With repeated ids each row is a candidate, and queries of one id are answered once, for the row
+    any number of vectors; the codes decide only how many are ranked. Vectors of each length are searched among themselves; more than
+    MOST_LENGTHS lengths raise. With repeated ids each row is a candidate, and queries of one id are answered once, for the row
     of least vector. Empty tables give an empty result; further columns play no part.
     """
     spark = vectors.sparkSession
     own = usable(vectors, id_col, vector_col)
-    picked = own.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("v").collect()  # bounded by sample
+    sizes = own.groupBy(F.size("v").alias("size")).count().orderBy("size").limit(MOST_LENGTHS + 1).collect()
+    if len(sizes) > MOST_LENGTHS:
+        raise ValueError(f"vectors of more than {MOST_LENGTHS} lengths")
+    if len(sizes) > 1:
+        options = {"id_col": id_col, "vector_col": vector_col, "every": every, "k": k, "books": books, "words": words, "beam": beam, "sample": sample, "first": first, "query_block": query_block, "code_block": code_block}
+        return reduce(DataFrame.unionByName, [nearest(vectors.where(F.size(vector_col) == r["size"]), **options) for r in sizes])
+    share = 2 * sample / sizes[0]["count"] if sizes else 1.0
+    likely = own.where(F.xxhash64("vec_id") < int((share - 0.5) * 2**64)) if share < 1 else own  # so that tasks send few more than sample rows in all
+    picked = likely.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("v").collect()  # bounded by sample
     schema = "query_id long, rank int, vec_id long, score double"
     if not picked:
         return spark.range(0).selectExpr("id query_id", "cast(id as int) rank", "id vec_id", "cast(id as double) score")
-    lengths = [len(r["v"]) for r in picked]
-    size = max(set(lengths), key=lambda n: (lengths.count(n), n))
-    data = np.array([r["v"] for r in picked if len(r["v"]) == size])
+    data = np.array([r["v"] for r in picked])
     data = (data / np.linalg.norm(data, axis=1, keepdims=True)).astype(np.float32)
     trained = spark.sparkContext.broadcast(train_books(data, books, min(words, max(2, len(data))), seed=5))
-    own = own.where(F.size("v") == size)
 
     by_vector = Window.partitionBy("v").orderBy("vec_id")
     few = own.withColumn("place", F.row_number().over(by_vector)).where(F.col("place") <= k + 1)

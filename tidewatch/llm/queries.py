@@ -101,6 +101,28 @@ _LINES = """
 
 #: DuckDB SQL of the operators that SQL can express over whole tables.
 SQL: dict[str, str] = {
+    "op1_ngram_jaccard_join": r"""
+        WITH RECURSIVE w AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+        ),
+        s AS (
+            SELECT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' ')) END) AS shingle FROM w
+        ),
+        d AS (SELECT DISTINCT doc_id, shingle FROM s),
+        n AS (SELECT w.doc_id, count(shingle) AS n FROM w LEFT JOIN d USING (doc_id) GROUP BY ALL),
+        p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM d a JOIN d b USING (shingle) WHERE a.doc_id < b.doc_id GROUP BY ALL),
+        links AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
+        ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+        r AS (SELECT doc_id, doc_id AS seen FROM n UNION SELECT r.doc_id, ways.b FROM r JOIN ways ON ways.a = r.seen)
+        SELECT n.doc_id, n.n AS n_shingles, min(r.seen) AS component_id FROM n JOIN r USING (doc_id) GROUP BY ALL
+    """,
+    "op5_additive_quantisation": """
+        WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL),
+        u AS (SELECT vec_id, v FROM v WHERE len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0),
+        s AS (SELECT q.vec_id AS query_id, c.vec_id, list_cosine_similarity(q.v, c.v) AS score FROM u q JOIN u c ON c.vec_id <> q.vec_id WHERE q.vec_id % 50 = 0)
+        SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
+        FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, vec_id) AS rank FROM s) WHERE rank <= 5
+    """,
     "op2_warc_bundles": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS payload FROM pages),
         d AS (SELECT page_id, strlen(payload) AS payload_bytes, sha256(payload) AS payload_digest, min(page_id) OVER (PARTITION BY payload) AS first_id FROM p)
