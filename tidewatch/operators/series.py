@@ -55,12 +55,15 @@ def numbered(df: DataFrame, key: str, order: list[str], name: str = "pos", bucke
     return running(df, key, order, {name: ("sum", F.lit(1).cast("long"))}, bucket=bucket)
 
 
-def framed(df: DataFrame, key: str, order: list[str], frames: Mapping[str, tuple[str, Column | str, int, int]], bucket: int = BUCKET, block: int = BLOCK) -> DataFrame:
-    """df with pos and one column per name of frames: (avg, count, sum, max or first) of a column over rows start..end (both at most 0)."""
+def framed(df: DataFrame, key: str, order: list[str], frames: Mapping[str, tuple[str, Column | str, int, int]], bucket: int = BUCKET, block: int = BLOCK, placed: bool = False) -> DataFrame:
+    """df with pos and one column per name of frames: (avg, count, sum, max or first) of a column over rows start..end (both at most 0).
+
+    With placed, df has pos already.
+    """
     reach = max(-start for _, _, start, _ in frames.values())
     if reach >= block:
         raise ValueError("a frame reaches beyond a block")
-    own = numbered(df, key, order, "pos", bucket).withColumn("__blk", F.floor((F.col("pos") - 1) / block))
+    own = (df if placed else numbered(df, key, order, "pos", bucket)).withColumn("__blk", F.floor((F.col("pos") - 1) / block))
     late = (F.col("pos") - 1) % block >= block - reach
     dealt = own.withColumn("__at", F.explode(F.when(late, F.array("__blk", F.col("__blk") + 1)).otherwise(F.array("__blk"))))
     window = Window.partitionBy(key, "__at").orderBy("pos")

@@ -33,9 +33,9 @@ def rapid_drop(df: DataFrame, key: str, order: list[str], value: str, valid: Col
 
     An invalid row empties the buffer: samples before it are not compared with those after it.
     """
-    own = islands(df.withColumn("__ok", F.coalesce(valid, F.lit(False))), key, order, ~F.col("__ok"), "__run")
-    own = framed(own, key, order, {"__old": ("first", F.struct(F.col(value).alias("v"), F.col("__run").alias("r"), F.col("__ok").alias("ok")), -back, 0), "__n": ("count", F.lit(1), -back, 0)})
-    start = running(own, key, order, {"__t0": ("max", -seconds(F.col(order[0])))})
+    own = df.withColumn("__ok", F.coalesce(valid, F.lit(False)))
+    own = running(own, key, order, {"__run": ("sum", F.when(F.col("__ok"), 0).otherwise(1).cast("long")), "pos": ("sum", F.lit(1).cast("long")), "__t0": ("max", -seconds(F.col(order[0])))})
+    start = framed(own, key, order, {"__old": ("first", F.struct(F.col(value).alias("v"), F.col("__run").alias("r"), F.col("__ok").alias("ok")), -back, 0), "__n": ("count", F.lit(1), -back, 0)}, placed=True)
     enough = (F.col("__n") == back + 1) & F.col("__ok") & F.col("__old.ok") & (F.col("__old.r") == F.col("__run"))
     calm = seconds(F.col(order[0])) + F.col("__t0") >= grace_seconds
     return start.withColumn("is_rapid", F.coalesce(enough & calm & (F.col("__old.v") - F.col(value) > threshold), F.lit(False))).drop("__ok", "__run", "__old", "__n", "__t0", "pos")
@@ -53,7 +53,7 @@ def debounced(df: DataFrame, key: str, order: list[str], on: Column, hold_second
 def runs(df: DataFrame, key: str, order: list[str], inside: Column) -> DataFrame:
     """df with run (a number shared by consecutive rows inside), pos and in_run; a row outside ends the run before it."""
     own = df.withColumn("in_run", F.coalesce(inside, F.lit(False)))
-    return numbered(islands(own, key, order, ~F.col("in_run"), "run"), key, order)
+    return running(own, key, order, {"run": ("sum", F.when(F.col("in_run"), 0).otherwise(1).cast("long")), "pos": ("sum", F.lit(1).cast("long"))})
 
 
 def run_alerts(df: DataFrame, key: str, order: list[str], inside: Column, samples: int) -> DataFrame:
