@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidewatch.llm import pii
 from tidewatch.llm.ann import nearest
 from tidewatch.llm.common import materialize, table
+from tidewatch.llm.fill_middle import fill_in_middle
 from tidewatch.llm.lang_id import identify
 from tidewatch.llm.licences import scan_licences
 from tidewatch.llm.line_dedup import dedup_lines
@@ -89,7 +90,11 @@ def op10_byte_gru_language(spark, sf_dir):
     return identify(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_warc_bundles, op3_sentencepiece, op4_licence_scan, op5_additive_quantisation, op6_quality_fertility, op7_hilbert_packing, op8_pii_boosting, op9_line_dedup, op10_byte_gru_language)}
+def op12_fill_in_middle(spark, sf_dir):
+    return fill_in_middle(table(spark, sf_dir, "documents")).drop("output")
+
+
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_warc_bundles, op3_sentencepiece, op4_licence_scan, op5_additive_quantisation, op6_quality_fertility, op7_hilbert_packing, op8_pii_boosting, op9_line_dedup, op10_byte_gru_language, op12_fill_in_middle)}
 _LINES = """
     SELECT doc_id, line, i, lower_ascii AS key
     FROM (
@@ -131,6 +136,20 @@ SQL: dict[str, str] = {
                CASE WHEN payload_bytes >= 100 AND first_id <> page_id THEN first_id END AS refers_to
         FROM d
     """,
+    "op12_fill_in_middle": r"""
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS text, sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+        u AS (SELECT *, regexp_extract_all(text, '[^\n]*\n|[^\n]+') AS units, CAST('0x' || h[1:8] AS BIGINT) AS h1, CAST('0x' || h[9:16] AS BIGINT) AS h2, CAST('0x' || h[17:24] AS BIGINT) AS h3, CAST('0x' || h[25:32] AS BIGINT) AS h4 FROM d),
+        c AS (
+            SELECT *, len(units) AS n, least(h1 % (len(units) + 1), h2 % (len(units) + 1)) AS low, greatest(h1 % (len(units) + 1), h2 % (len(units) + 1)) AS high,
+                   CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 100 THEN 'plain' WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form
+            FROM u
+        ),
+        p AS (SELECT doc_id, text, n, form, array_to_string(units[1:low], '') AS prefix, array_to_string(units[low + 1:high], '') AS middle, array_to_string(units[high + 1:], '') AS suffix FROM c)
+        SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+               sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+               sha256(text) AS restored_sha256
+        FROM p
+    """,
     "op9_line_dedup": f"""
         WITH l AS ({_LINES}),
         common AS (SELECT key, max(doc_id) AS keeper FROM l WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT doc_id) >= 3),
