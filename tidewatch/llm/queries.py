@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidewatch.llm import pii
 from tidewatch.llm.ann import nearest
 from tidewatch.llm.common import materialize, table
+from tidewatch.llm.convo_trie import prefix_trie
 from tidewatch.llm.fill_middle import fill_in_middle
 from tidewatch.llm.lang_id import identify
 from tidewatch.llm.licences import scan_licences
@@ -94,7 +95,11 @@ def op12_fill_in_middle(spark, sf_dir):
     return fill_in_middle(table(spark, sf_dir, "documents")).drop("output")
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_warc_bundles, op3_sentencepiece, op4_licence_scan, op5_additive_quantisation, op6_quality_fertility, op7_hilbert_packing, op8_pii_boosting, op9_line_dedup, op10_byte_gru_language, op12_fill_in_middle)}
+def op13_conversation_trie(spark, sf_dir):
+    return prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_warc_bundles, op3_sentencepiece, op4_licence_scan, op5_additive_quantisation, op6_quality_fertility, op7_hilbert_packing, op8_pii_boosting, op9_line_dedup, op10_byte_gru_language, op12_fill_in_middle, op13_conversation_trie)}
 _LINES = """
     SELECT doc_id, line, i, lower_ascii AS key
     FROM (
@@ -150,6 +155,34 @@ SQL: dict[str, str] = {
                sha256(text) AS restored_sha256
         FROM p
     """,
+    "op13_conversation_trie": r"""
+        WITH t AS (
+            SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS i
+            FROM conversations WHERE conv_id IS NOT NULL
+        ),
+        x AS (SELECT conv_id, i, sha256(strlen(role) || ':' || role || text) AS s, CAST(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS BIGINT) AS words FROM t),
+        c AS (
+            SELECT conv_id, conv_id - conv_id % 20 AS base, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(range(1, len(CAST(conv_id AS VARCHAR)) + 1), lambda j: CAST(ascii(substr(CAST(conv_id AS VARCHAR), j, 1)) AS BIGINT))),
+                   lambda acc, byte: list_reduce(list_prepend(xor(acc, byte), CAST(range(0, 8) AS BIGINT[])), lambda v, bit: CASE WHEN v % 2 = 1 THEN xor(v // 2, 3988292384) ELSE v // 2 END))) % 4 AS h
+            FROM (SELECT DISTINCT conv_id FROM t)
+        ),
+        r AS (
+            SELECT c.conv_id, 0 AS part, x.i, x.s, x.words FROM c JOIN x ON x.conv_id = c.base AND x.i <= c.h
+            UNION ALL SELECT c.conv_id, 1, x.i, x.s, x.words FROM c JOIN x ON x.conv_id = c.conv_id AND x.i > c.h
+        ),
+        o AS (SELECT c.conv_id, coalesce(l, []) AS l, coalesce(w, []) AS w FROM c LEFT JOIN (SELECT conv_id, list(s ORDER BY part, i) AS l, list(words ORDER BY part, i) AS w FROM r GROUP BY conv_id) USING (conv_id)),
+        e AS (SELECT conv_id, d, sha256(array_to_string(l[1:d], ',')) AS node, sha256(array_to_string(l[1:d - 1], ',')) AS above, CASE WHEN d > 0 THEN w[d] ELSE 0 END AS words, len(l) = d AS last, l FROM (SELECT *, unnest(range(0, len(l) + 1)) AS d FROM o)),
+        n AS (
+            SELECT node, min(conv_id) AS conv_id, min(d) AS depth, any_value(above) AS above, count(*) AS n_convs, any_value(words) AS words, any_value(l[1:d]) AS l,
+                   sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (last), '')) AS ends_sha256
+            FROM e GROUP BY node
+        ),
+        k AS (SELECT above AS node, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY above),
+        f AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN k USING (node)),
+        sub AS (SELECT sha256(array_to_string(l[1:j], ',')) AS node, count(*) FILTER (n_children = 0) AS n_leaves, sum((n_convs - 1) * words) AS saved_tokens FROM (SELECT *, unnest(range(0, depth + 1)) AS j FROM f) GROUP BY ALL)
+        SELECT f.conv_id, f.depth::BIGINT AS depth, CASE WHEN f.depth > 0 THEN p.conv_id END AS parent_conv_id, f.n_convs, f.n_children, n_leaves, saved_tokens::BIGINT AS saved_tokens, f.ends_sha256
+        FROM f JOIN sub USING (node) LEFT JOIN f p ON p.node = f.above
+    """,
     "op9_line_dedup": f"""
         WITH l AS ({_LINES}),
         common AS (SELECT key, max(doc_id) AS keeper FROM l WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT doc_id) >= 3),
