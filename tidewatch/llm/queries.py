@@ -17,6 +17,7 @@ from tidewatch.llm.ngram_join import jaccard_components
 from tidewatch.llm.packing import pack_by_curve, vocabulary
 from tidewatch.llm.pieces import checksum, decode_ids, encode_texts, load_pieces
 from tidewatch.llm.quality import fertility_rules
+from tidewatch.llm.toxicity import score_toxicity
 from tidewatch.llm.warc import read_bundles, write_bundles
 
 
@@ -91,6 +92,10 @@ def op10_byte_gru_language(spark, sf_dir):
     return identify(table(spark, sf_dir, "documents"))
 
 
+def op11_toxicity_machine(spark, sf_dir):
+    return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op12_fill_in_middle(spark, sf_dir):
     return fill_in_middle(table(spark, sf_dir, "documents")).drop("output")
 
@@ -99,7 +104,7 @@ def op13_conversation_trie(spark, sf_dir):
     return prefix_trie(table(spark, sf_dir, "conversations"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_warc_bundles, op3_sentencepiece, op4_licence_scan, op5_additive_quantisation, op6_quality_fertility, op7_hilbert_packing, op8_pii_boosting, op9_line_dedup, op10_byte_gru_language, op12_fill_in_middle, op13_conversation_trie)}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_warc_bundles, op3_sentencepiece, op4_licence_scan, op5_additive_quantisation, op6_quality_fertility, op7_hilbert_packing, op8_pii_boosting, op9_line_dedup, op10_byte_gru_language, op11_toxicity_machine, op12_fill_in_middle, op13_conversation_trie)}
 _LINES = """
     SELECT doc_id, line, i, lower_ascii AS key
     FROM (
