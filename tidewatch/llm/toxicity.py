@@ -237,9 +237,11 @@ def training_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: s
     for label, (n, size) in found.items():
         share = min(1.0, sample[label] / n, sample_bytes / max(size, 1))
         bound = F.when(F.col("toxic") == label, F.lit(min(int(share * (1 << 63)), (1 << 63) - 1))).otherwise(bound)
-    chosen = narrow.where(F.col("hash") <= bound).select("hash", "toxic")
-    out = materialize(rows.join(chosen, "hash", "left_semi").groupBy("hash").agg(F.max("text").alias("text")).join(chosen, "hash"), "sample")
-    release(narrow)
+    chosen = materialize(narrow.where(F.col("hash") <= bound).select("hash", "toxic"), "chosen")
+    few = chosen.count() <= 4 * sum(sample)  # about sum(sample) at most, by the bound; more only if hashes crowd
+    small = F.broadcast(chosen) if few else chosen
+    out = materialize(rows.join(small.select("hash"), "hash", "left_semi").groupBy("hash").agg(F.max("text").alias("text")).join(small, "hash"), "sample")
+    release(narrow, chosen)
     return out
 
 
