@@ -3,6 +3,6 @@
 from __future__ import annotations
 
 from tidewatch.queries import QUERIES, SQL
-from tidewatch.queries import ordered, stored, summaries, upkeep  # noqa: F401  they register their queries
+from tidewatch.queries import lasting, ordered, stored, summaries, upkeep  # noqa: F401  they register their queries
 
 __all__ = ["QUERIES", "SQL"]

@@ -17,7 +17,7 @@ def daily_summary(events: DataFrame, score_alert: float = 0.6) -> DataFrame:
         F.max("peak_flow_lpm").alias("peak_flow"),
         F.avg("pre_event_pressure_psi").alias("avg_pressure"),
         F.min("min_pressure_psi").alias("min_pressure"),
-        F.count_if(F.col("anomaly_score") >= score_alert).alias("anomaly_count"),
+        F.count_if(F.col("anomaly_score") > score_alert).alias("anomaly_count"),
         F.count_if(F.col("triggered_alert")).alias("alert_count"),
     )
 

@@ -22,25 +22,25 @@ def seconds(ts: Column) -> Column:
 
 
 def running(df: DataFrame, key: str, order: list[str], values: Mapping[str, tuple[str, Column]], before: bool = False, bucket: int = BUCKET) -> DataFrame:
-    """df with one column per name of values: the sum, max or last of the column over all rows of the key up to this one.
+    """df with one column per name of values: the sum, max, min or last of the column over all rows of the key up to this one.
 
-    order starts with a timestamp and must be unique within a key; kinds are sum, max and last (which skips nulls). With before, the row itself
+    order starts with a timestamp and must be unique within a key; kinds are sum, max, min and last (which skips nulls). With before, the row itself
     does not count. Keys and timestamps that are null form series of their own.
     """
     inputs = {f"__v_{n}": c for n, (_, c) in values.items()}
     own = df.withColumns({"__run_bucket": F.floor(seconds(F.col(order[0])) / bucket), **inputs})
     place = F.struct(*order)
-    kinds = {"sum": lambda c: F.sum(c), "max": lambda c: F.max(c), "last": lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), place))}
+    kinds = {"sum": lambda c: F.sum(c), "max": lambda c: F.max(c), "min": lambda c: F.min(c), "last": lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), place))}
     totals = own.groupBy(key, "__run_bucket").agg(*[kinds[k](f"__v_{n}").alias(f"__t_{n}") for n, (k, _) in values.items()])
     earlier = Window.partitionBy(key).orderBy("__run_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    over = {"sum": lambda c: F.sum(c), "max": lambda c: F.max(c), "last": lambda c: F.last(c, ignorenulls=True)}
+    over = {"sum": lambda c: F.sum(c), "max": lambda c: F.max(c), "min": lambda c: F.min(c), "last": lambda c: F.last(c, ignorenulls=True)}
     carried = totals.select(F.col(key).alias("__run_key"), F.col("__run_bucket").alias("__run_cell"), *[over[k](f"__t_{n}").over(earlier).alias(f"__p_{n}") for n, (k, _) in values.items()])
     joined = own.join(carried, F.col(key).eqNullSafe(F.col("__run_key")) & F.col("__run_bucket").eqNullSafe(F.col("__run_cell")), "left")
     inside = Window.partitionBy(key, "__run_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1 if before else 0)
     put = {}
     for n, (k, _) in values.items():
         here, gone = over[k](f"__v_{n}").over(inside), F.col(f"__p_{n}")
-        put[n] = F.when(here.isNull(), gone).when(gone.isNull(), here).otherwise(here + gone) if k == "sum" else F.greatest(here, gone) if k == "max" else F.coalesce(here, gone)
+        put[n] = F.when(here.isNull(), gone).when(gone.isNull(), here).otherwise(here + gone) if k == "sum" else F.greatest(here, gone) if k == "max" else F.least(here, gone) if k == "min" else F.coalesce(here, gone)
     return joined.withColumns(put).drop("__run_bucket", "__run_key", "__run_cell", *inputs, *[f"__p_{n}" for n in values])
 
 

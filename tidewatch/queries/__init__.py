@@ -30,13 +30,14 @@ def settled(value, digits: int):
     return F.round((F.col(value) if isinstance(value, str) else value) + NUDGE, digits)
 
 
-def query(sql: str | None = None) -> Callable:
-    """Registers a function under its name; the SQL may use the views u, r, clusters and fixtures."""
+def query(sql: str | None = None, recursive: bool = False) -> Callable:
+    """Registers a function under its name; the SQL may use the views u, r, clusters and fixtures, and with recursive itself."""
+    begin = "WITH RECURSIVE" if recursive else "WITH"
 
     def add(f: Callable) -> Callable:
         QUERIES[f.__name__] = f
         if sql:
-            SQL[f.__name__] = f"WITH {EVENTS_SQL}{sql}" if sql.lstrip().startswith(",") else f"WITH {EVENTS_SQL}\n{sql}"
+            SQL[f.__name__] = f"{begin} {EVENTS_SQL}{sql}" if sql.lstrip().startswith(",") else f"{begin} {EVENTS_SQL}\n{sql}"
         return f
 
     return add

@@ -33,7 +33,7 @@ def circuits(events):
 
 
 SUMMARY = """SELECT circuit, CAST(start_ts AS DATE) AS day, count(*) AS event_count, round(sum(volume_litres) + 1e-9, 4) AS total_volume, round(avg(avg_flow_lpm) + 1e-9, 4) AS avg_flow, max(peak_flow_lpm) AS peak_flow,
- round(avg(pre_event_pressure_psi) + 1e-9, 4) AS avg_pressure, min(min_pressure_psi) AS min_pressure, count(*) FILTER (anomaly_score >= 0.6) AS anomaly_count, count(*) FILTER (triggered_alert) AS alert_count FROM u GROUP BY ALL"""
+ round(avg(pre_event_pressure_psi) + 1e-9, 4) AS avg_pressure, min(min_pressure_psi) AS min_pressure, count(*) FILTER (anomaly_score > 0.6) AS anomaly_count, count(*) FILTER (triggered_alert) AS alert_count FROM u GROUP BY ALL"""
 TOP = """, c AS (SELECT circuit, CAST(start_ts AS DATE) AS day, fixture_id, count(*) AS n FROM u WHERE fixture_id IS NOT NULL GROUP BY ALL),
 k AS (SELECT *, row_number() OVER (PARTITION BY circuit, day ORDER BY n DESC, fixture_id) AS p FROM c),
 t AS (SELECT circuit, day, '[' || string_agg('{"fixture_id":"' || fixture_id || '","count":' || n || '}', ',' ORDER BY p) || ']' AS breakdown, max(fixture_id) FILTER (p = 1) AS top_fixture_id, max(n) AS top_count FROM k WHERE p <= 5 GROUP BY ALL)"""
@@ -111,13 +111,6 @@ def agg13(spark, d):
     return rollups.counter_delta(own, ["circuit", "hour_ts"], "ts", "value")
 
 
-@query("SELECT circuit, CAST(ts AS DATE) AS day, round(CASE WHEN arg_max(value, (ts, id)) < arg_min(value, (ts, id)) THEN 0e0 ELSE arg_max(value, (ts, id)) - arg_min(value, (ts, id)) END, 1) AS used FROM r GROUP BY ALL")
-def agg14(spark, d):
-    """A counter against its first value of the day; after a reset the baseline is the counter itself, so nothing is used yet."""
-    own = readings(spark, d).groupBy("circuit", F.to_date("ts").alias("day")).agg(F.max_by("value", F.struct("ts", "id")).alias("now"), F.min_by("value", F.struct("ts", "id")).alias("base"))
-    return own.select("circuit", "day", F.round(F.greatest(F.lit(0.0), F.col("now") - F.col("base")), 1).alias("used"))
-
-
 @query("SELECT circuit, bool_or(has_pressure_transient) AS any_transient, bool_and(excluded) AS all_excluded, count(*) FILTER (excluded) AS n_excluded FROM u GROUP BY circuit")
 def agg16(spark, d):
     return usage_events(spark, d).groupBy("circuit").agg(F.bool_or("has_pressure_transient").alias("any_transient"), F.bool_and("excluded").alias("all_excluded"), F.count_if(F.col("excluded")).alias("n_excluded"))

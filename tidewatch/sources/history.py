@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,6 +31,13 @@ def shared_folder(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def kept(df: DataFrame, tag: str) -> DataFrame:
+    """df written to the shared folder and read back: lineage is cut, and a later pass reads it once more instead of making it again."""
+    path = f"{shared_folder(df.sparkSession)}/tidewatch/{tag}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def normalised_history(raw: DataFrame) -> DataFrame:
     """(entity_id, ts, state): the time is a number of seconds or ISO text; rows without one are left out."""
     text = F.coalesce("lu", "last_updated")
