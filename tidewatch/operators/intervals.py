@@ -6,14 +6,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.operators.series import islands, running, seconds
+from tidewatch.sources.history import kept
 
 
 def coalesce_intervals(df: DataFrame, key: str, start: str, end: str, tie: str, gap_seconds: float = 15.0, min_seconds: float = 0.0) -> DataFrame:
-    """(key, start, end, n_merged): intervals of a key at most gap_seconds apart become one (a gap of exactly that merges)."""
+    """(key, start, end, n_merged): intervals of a key at most gap_seconds apart become one (a gap of exactly that merges).
+
+    Which intervals open a new one is written once, so that the pass that numbers them does not read the input again.
+    """
     own = df.select(key, start, end, tie)
     reach = running(own, key, [start, tie], {"__reach": ("max", seconds(F.col(end)))}, before=True)
     opens = F.col("__reach").isNull() | (seconds(F.col(start)) > F.col("__reach") + gap_seconds)
-    grouped = islands(reach, key, [start, tie], opens, "__island").groupBy(key, "__island")
+    marked = kept(reach.select(key, start, end, tie, opens.alias("__opens")), "intervals")
+    grouped = islands(marked, key, [start, tie], F.col("__opens"), "__island").groupBy(key, "__island")
     out = grouped.agg(F.min(start).alias(start), F.max(end).alias(end), F.count("*").alias("n_merged")).drop("__island")
     return out.where(seconds(F.col(end)) - seconds(F.col(start)) >= min_seconds) if min_seconds else out
 

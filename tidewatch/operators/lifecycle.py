@@ -44,26 +44,27 @@ def calibration_ends(commands: DataFrame, counted: DataFrame) -> DataFrame:
     return out.withColumn("done", F.when(F.col("kind").isin(*BEGIN) & enough.isNotNull() & over.isNotNull(), done)).drop("__before", "__c", "__full", "__full_at")
 
 
-def _instant(at: Column) -> Column:
+def instant_back(at: Column) -> Column:
     """A timestamp so many seconds before 1970: its order is backwards in time."""
     return F.timestamp_micros((-1_000_000 * at).cast("long"))
 
 
-def _next(commands: DataFrame, after: str, kinds: tuple[str, ...], name: str) -> DataFrame:
-    """(id, name): for each command the (t, id) of the first command of some kinds at or after its time ``after``."""
-    facts = commands.where(F.col(after).isNotNull()).select("circuit", "id", _instant(F.col(after)).alias("back"))
-    others = commands.where(F.col("kind").isin(*kinds)).select("circuit", _instant(F.col("t")).alias("at"), (-F.col("id")).alias("id"), F.struct("t", "id").alias("v"))
+def first_from(commands: DataFrame, after: str, others: DataFrame, name: str) -> DataFrame:
+    """(id, name): for each command the (t, id) of the first of others (circuit, id, t) at or after its time ``after``, in seconds; rows without that time are left out."""
+    facts = commands.where(F.col(after).isNotNull()).select("circuit", "id", instant_back(F.col(after)).alias("back"))
+    others = others.select("circuit", instant_back(F.col("t")).alias("at"), (-F.col("id")).alias("id"), F.struct("t", "id").alias("v"))
     return as_of(facts, others, "circuit", "back", "id", "at", "v", name).select("id", name)
 
 
 def pointed(commands: DataFrame, label_days: int) -> DataFrame:
     """commands with ``next``, the (t, id) of the command that counts next if they took effect, and how their stretches end."""
     own = commands.withColumn("live", _check(F.col("done") + label_days * 86400))
-    backwards = own.withColumns({"__back": _instant(F.col("t")), "__place": -F.col("id")})
+    backwards = own.withColumns({"__back": instant_back(F.col("t")), "__place": -F.col("id")})
     of = lambda state: ("last", F.when(F.col("kind").isin(*COUNTS[state]), F.struct("t", "id")))
     own = running(backwards, "circuit", ["__back", "__place"], {"n_idle": of("idle"), "n_on": of("live")}, before=True).drop("__back", "__place")
     own = kept(own, "commands")
-    out = own.join(_next(own, "done", COUNTS["labelling"], "n_label"), "id", "left").join(_next(own, "live", COUNTS["live"], "n_live"), "id", "left")
+    of_kind = lambda state: own.where(F.col("kind").isin(*COUNTS[state]))
+    out = own.join(first_from(own, "done", of_kind("labelling"), "n_label"), "id", "left").join(first_from(own, "live", of_kind("live"), "n_live"), "id", "left")
     cut_short = F.col("n_on").isNotNull() & (F.col("n_on.t") < F.col("done"))
     reviewed = F.col("n_label").isNotNull() & (F.col("n_label.t") < F.col("live"))
     ends = F.when(~F.col("kind").isin(*BEGIN), F.lit("plain")).when(F.col("done").isNull() | cut_short, "calibrating").when(reviewed, "labelling").otherwise("live")
@@ -72,9 +73,9 @@ def pointed(commands: DataFrame, label_days: int) -> DataFrame:
     return out.withColumn("next", then).select("circuit", "id", "kind", "t", "done", "live", "ends", "next")
 
 
-def took_effect(commands: DataFrame) -> DataFrame:
-    """(id) of the commands that the first to count of each circuit leads to, itself included, by the pointers ``next``."""
-    first = commands.where(F.col("kind").isin(*COUNTS["idle"])).groupBy("circuit").agg(F.min(F.struct("t", "id"))["id"].alias("id")).select("id")
+def took_effect(commands: DataFrame, first_kinds: tuple[str, ...] = COUNTS["idle"]) -> DataFrame:
+    """(id) of the commands (circuit, id, t, kind, next) that the first of each circuit with one of some kinds leads to, itself included."""
+    first = commands.where(F.col("kind").isin(*first_kinds)).groupBy("circuit").agg(F.min(F.struct("t", "id"))["id"].alias("id")).select("id")
     jumps = commands.where("next is not null").select("id", F.col("next.id").alias("to"))
     reached = kept(first, "reached")
     while True:

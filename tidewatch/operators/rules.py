@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.functions.scalars import nth_weekday
-from tidewatch.operators.series import seconds
+from tidewatch.operators.series import previous, running, seconds
+from tidewatch.sources.history import kept
 
 #: What a sensitivity preset stands for (pressure drop in PSI, least seconds of an event, score to alert, score to shut off).
 PRESETS = {"low": (3.0, 5.0, 0.80, 0.95), "medium": (2.0, 3.0, 0.60, 0.80), "high": (1.0, 2.0, 0.40, 0.65)}
@@ -69,10 +70,28 @@ def valve_state(open_stop: Column, closed_stop: Column) -> Column:
     return F.when(open_stop & ~closed_stop, "open").when(closed_stop & ~open_stop, "closed").otherwise("unknown")
 
 
-def presence(states: DataFrame, home: str = "home") -> DataFrame:
-    """(circuit, away): true if all known persons are away, false if one is home, null if none is known."""
-    known = F.when(~F.col("state").isin("unknown", "unavailable"), F.col("state") == home)
-    return states.groupBy("circuit").agg((~F.bool_or(known)).alias("away"))
+def presence(states: DataFrame, home: str = "home", away: str = "not_home", key: str = "circuit") -> DataFrame:
+    """(key, away): true if all known persons are away, false if one is home, null if neither or none is known. Null and empty states are not known."""
+    known = F.when(F.col("state") != "", F.col("state"))
+    all_away, any_home = F.bool_and(known == away), F.bool_or(known == home)
+    return states.groupBy(key).agg(F.when(all_away, True).when(any_home, False).alias("away"))
+
+
+def away_history(states: DataFrame, key: str, entity: str, entities: list[str], order: list[str], home: str = "home", away: str = "not_home") -> DataFrame:
+    """states with ``away``, the mode after each change, and ``toggled``, whether it changed it: set when all known entities are away, cleared when one is home.
+
+    entities is the short list of those that count; one that has said nothing yet is not known, an empty or null state says nothing. All are carried in one
+    pass and the mode in a second one.
+    """
+    counts = F.col(entity).isin(entities) & (F.col("state") != "")
+    own = running(states, key, order, {f"__e{i}": ("last", F.when(counts & (F.col(entity) == e), F.col("state"))) for i, e in enumerate(entities)})
+    now = F.array(*[F.col(f"__e{i}") for i in range(len(entities))])
+    known = F.filter(now, lambda s: s.isNotNull())
+    all_away, any_home = (F.size(known) > 0) & F.forall(known, lambda s: s == away), F.exists(known, lambda s: s == home)
+    marked = kept(own.withColumn("__mode", F.when(counts & all_away, True).when(counts & any_home, False)).drop(*[f"__e{i}" for i in range(len(entities))]), "presence")
+    out = running(marked, key, order, {"away": ("last", F.col("__mode"))})
+    before = previous(kept(out.withColumn("away", F.coalesce("away", F.lit(False))).drop("__mode"), "presence"), key, order, {"__was": "away"})
+    return before.withColumn("toggled", F.col("away") != F.coalesce("__was", F.lit(False))).drop("__was")
 
 
 def next_run(rows: DataFrame, as_of: Column) -> DataFrame:

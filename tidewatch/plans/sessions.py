@@ -8,57 +8,72 @@ from pyspark.sql import functions as F
 from tidewatch.functions import curves, scalars
 from tidewatch.operators.intervals import coalesce_intervals, near, range_join
 from tidewatch.operators.series import previous, seconds
-from tidewatch.operators.signal import runs, sustained_runs
+from tidewatch.operators.signal import runs
+from tidewatch.sources.history import kept
 
+#: Added before rounding: a mean of decimals often lies between two roundings.
+NUDGE = 1e-9
 
-def flow_periods(readings: DataFrame, least_flow: float = 0.05) -> DataFrame:
-    """(circuit, start_ts, end_ts): runs of flow readings of at least least_flow; text that is no number is 0."""
-    flow = scalars.clean_flow(scalars.number(F.col("state"), 0.0))
-    own = readings.where("role = 'flow'")
-    found = sustained_runs(own, "circuit", ["ts", "id"], flow >= least_flow, 0.0)
-    return found.select("circuit", F.col("started_at").alias("start_ts"), F.col("ended_at").alias("end_ts"))
 
+def flow_periods(readings: DataFrame, window_end=None, least_flow: float = 0.05) -> DataFrame:
+    """(circuit, start_ts, end_ts): runs of flow readings of at least least_flow and of onset readings that are on, each kind by itself.
 
-def onset_periods(readings: DataFrame, window_end) -> DataFrame:
-    """(circuit, start_ts, end_ts): from the first 'on' to the next other state, or to window_end if none follows."""
-    own = runs(readings.where("role = 'onset'"), "circuit", ["ts", "id"], F.col("state") == "on")
-    on = own.where("in_run").groupBy("circuit", "run").agg(F.min("ts").alias("start_ts"))
-    off = own.where("not in_run").select("circuit", (F.col("run") - 1).alias("run"), F.col("ts").alias("end_ts"))
-    return on.join(off, ["circuit", "run"], "left").select("circuit", "start_ts", F.coalesce("end_ts", F.lit(window_end)).alias("end_ts"))
+    A run goes from its first reading to the one that ends it. One that nothing ends goes to window_end, without one to its last reading, if that is
+    later than its first. Flow text that is no number is 0; states are on, true or 1, whatever their case. Both kinds are one pass.
+    """
+    flow = scalars.number(F.col("state"), 0.0) >= least_flow
+    inside = F.when(F.col("role") == "flow", flow).otherwise(F.lower("state").isin("on", "true", "1"))
+    own = readings.where("role in ('flow', 'onset')").select("circuit", "id", "ts", F.struct("circuit", "role").alias("series"), inside.alias("inside"))
+    found = runs(own, "series", ["ts", "id"], F.col("inside"))
+    of = F.when(F.col("in_run"), F.col("run")).otherwise(F.col("run") - 1)  # the reading that ends a run belongs to it
+    ends = found.groupBy("series", of.alias("of")).agg(F.min(F.when(F.col("in_run"), F.col("ts"))).alias("start_ts"), F.max(F.when(F.col("in_run"), F.col("ts"))).alias("last"), F.min(F.when(~F.col("in_run"), F.col("ts"))).alias("off"))
+    until = F.col("last") if window_end is None else F.lit(window_end).cast(dict(readings.dtypes)["ts"])
+    closed = ends.where("start_ts is not null").where(F.col("off").isNotNull() | (until > F.col("start_ts")))
+    return closed.select("series.circuit", "start_ts", F.coalesce("off", until).alias("end_ts"))
 
 
-def reconstructed_events(readings: DataFrame, stored: DataFrame, window_end=None, gap_seconds: float = 15.0, min_seconds: float = 3.0, near_seconds: float = 30.0, pre_seconds: float = 30.0) -> DataFrame:
+def reconstructed_events(
+    readings: DataFrame, stored: DataFrame, window_end=None, gap_seconds: float = 15.0, min_seconds: float = 3.0, near_seconds: float = 30.0, pre_seconds: float = 30.0, least_flow: float = 0.05, least_drop: float = 0.8, averaged: bool = False
+) -> DataFrame:
     """Events of a history that are not stored yet, with flow and pressure measured over the readings of each.
 
     readings: (circuit, id, ts, role, state) with roles flow, onset, pressure and volume. Periods at most gap_seconds apart are one; those under
-    min_seconds, and those that start within near_seconds of a stored event of the circuit, are left out. The baseline is the mean
-    pressure of the pre_seconds before the start.
+    min_seconds, those that start within near_seconds of a stored event of the circuit, and those without a flow of least_flow are left out. The
+    baseline is the mean pressure of the pre_seconds before the start, else of the first three readings since, else 0. A transient is a drop from it of
+    least_drop, or three tenths of that where the pressure is an averaged one. The meter's first and last value give the volume if they lie over 0
+    and under 10,000 apart. Events start by flow.
+
+    Readings are measured by event and five minutes first, so that a long event is no single group of all its readings.
     """
-    periods = flow_periods(readings)
-    if window_end is not None:
-        periods = periods.unionByName(onset_periods(readings, window_end))
-    tied = periods.withColumn("tie", F.xxhash64("circuit", "start_ts", "end_ts")).dropDuplicates(["circuit", "start_ts", "end_ts"])
-    merged = coalesce_intervals(tied, "circuit", "start_ts", "end_ts", "tie", gap_seconds, min_seconds)
+    periods = kept(flow_periods(readings, window_end, least_flow).distinct().withColumn("tie", F.xxhash64("circuit", "start_ts", "end_ts")), "periods")
+    merged = coalesce_intervals(periods, "circuit", "start_ts", "end_ts", "tie", gap_seconds, min_seconds)
     fresh = near(merged, stored, "circuit", "start_ts", near_seconds, anti=True)
-    points = readings.where("role in ('flow', 'pressure', 'volume')").withColumn("value", scalars.number(F.col("state")))
-    joined = range_join(fresh, points.select("circuit", "ts", "role", "value"), "circuit", "start_ts", "end_ts", "ts", pre_seconds)
-    inside = F.col("point.ts") >= F.col("start_ts")
-    value = lambda role, when: F.when((F.col("point.role") == role) & when, F.col("point.value"))
+    points = readings.where("role in ('flow', 'pressure', 'volume')").select("circuit", "id", "ts", "role", scalars.number(F.col("state")).alias("value")).where("value is not null")
+    joined = range_join(fresh, points, "circuit", "start_ts", "end_ts", "ts", pre_seconds)
+    inside, role, place = F.col("point.ts") >= F.col("start_ts"), F.col("point.role"), F.struct("point.ts", "point.id", "point.value")
     flow, pressure = scalars.clean_flow(F.col("point.value")), scalars.clean_pressure(F.col("point.value"))
-    is_flow, is_pressure = (F.col("point.role") == "flow") & inside, F.col("point.role") == "pressure"
-    meter = value("volume", inside)
-    at_meter = F.when(meter.isNotNull(), F.col("point.ts"))
-    out = joined.groupBy("circuit", "start_ts", "end_ts").agg(
-        F.avg(F.when(is_flow, flow)).alias("avg_flow_lpm"),
-        F.max(F.when(is_flow, flow)).alias("peak_flow_lpm"),
-        F.count(F.when(is_flow, 1)).alias("n_flow"),
-        F.avg(F.when(is_pressure & (F.col("point.ts") <= F.col("start_ts")), pressure)).alias("pre_event_pressure_psi"),
-        F.min(F.when(is_pressure & inside, pressure)).alias("min_pressure_psi"),
-        (F.max_by(meter, at_meter) - F.min_by(meter, at_meter)).alias("metered"),
-        F.count(meter).alias("n_meter"),
-    )
+    is_flow, is_pressure, is_before = (role == "flow") & inside, (role == "pressure") & inside, (role == "pressure") & (F.col("point.ts") <= F.col("start_ts"))
+    meter = F.when((role == "volume") & inside & ~F.isnan("point.value") & (F.abs("point.value") < float("inf")), place)
+    three = lambda found: F.slice(F.array_sort(found), 1, 3)
+    event = ["circuit", "start_ts", "end_ts"]
+    parts = joined.groupBy(*event, F.floor(seconds(F.col("point.ts")) / 300).alias("part")).agg(
+        F.sum(F.when(is_flow, flow)).alias("flow"), F.max(F.when(is_flow, flow)).alias("peak"), F.count(F.when(is_flow, 1)).alias("n_flow"),
+        F.sum(F.when(is_before, pressure)).alias("before"), F.count(F.when(is_before, 1)).alias("n_before"), F.min(F.when(is_pressure, pressure)).alias("low"),
+        three(F.collect_list(F.when(is_pressure, F.struct("point.ts", "point.id", pressure.alias("value"))))).alias("three"), F.min(meter).alias("m0"), F.max(meter).alias("m1"), F.count(meter).alias("n_meter"),
+    )
+    whole = parts.groupBy(*event).agg(
+        (F.sum("flow") / F.sum("n_flow")).alias("avg_flow_lpm"), F.max("peak").alias("peak_flow_lpm"), F.sum("n_flow").alias("n_flow"), (F.sum("before") / F.sum("n_before")).alias("before"), F.min("low").alias("low"),
+        three(F.flatten(F.collect_list("three"))).alias("three"), (F.max("m1")["value"] - F.min("m0")["value"]).alias("metered"), F.sum("n_meter").alias("n_meter"),
+    )
+    first = F.aggregate("three", F.lit(0.0), lambda s, x: s + x["value"]) / F.size("three")
+    base = F.coalesce("before", F.when(F.size("three") > 0, first), F.lit(0.0))
+    out = whole.where(F.col("peak_flow_lpm") >= least_flow).withColumns({"base": base, "least": F.coalesce("low", base)})
+    drop = F.greatest(F.lit(0.0), F.col("base") - F.col("least"))
     ok = (F.col("n_meter") >= 2) & (F.col("metered") > 0) & (F.col("metered") < 10000)
-    return out.withColumn("volume_litres_measured", F.when(ok, F.round("metered", 3))).drop("metered", "n_meter")
+    return out.select(
+        *event, F.lit("flow").alias("start_trigger"), (F.col("low").isNotNull() & (drop >= least_drop * (0.3 if averaged else 1.0))).alias("has_pressure_transient"), F.round(F.col("base") + NUDGE, 2).alias("pre_event_pressure_psi"),
+        F.round(F.col("least") + NUDGE, 2).alias("min_pressure_psi"), F.round(drop + NUDGE, 2).alias("pressure_delta_psi"), "avg_flow_lpm", "peak_flow_lpm", "n_flow", F.when(ok, F.round(F.col("metered") + NUDGE, 3)).alias("volume_litres_measured"),
+    )
 
 
 def event_features(events: DataFrame) -> DataFrame:

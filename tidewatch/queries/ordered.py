@@ -165,19 +165,20 @@ def set01(spark, d):
     return u.where("cluster_id = 1").select("circuit", "start_ts").unionByName(u.where("triggered_alert").select("circuit", "start_ts"))
 
 
-NEAR = "SELECT id, circuit FROM u WHERE user_id % 2 = 0 AND {n} EXISTS (SELECT 1 FROM u o WHERE o.user_id % 2 = 1 AND o.circuit = u.circuit AND abs(CAST(floor(epoch(o.start_ts)) AS BIGINT) - CAST(floor(epoch(u.start_ts)) AS BIGINT)) <= 300)"
+NEAR = "SELECT id, circuit FROM u WHERE {n} EXISTS (SELECT 1 FROM u o WHERE o.anomaly_score >= 0.9 AND o.circuit = u.circuit AND abs(CAST(floor(epoch(o.start_ts)) AS BIGINT) - CAST(floor(epoch(u.start_ts)) AS BIGINT)) <= 300)"
 
 
 @query(NEAR.format(n=""))
 def flt04(spark, d):
+    """All events against the anomalous ones."""
     u = usage_events(spark, d)
-    return intervals.near(u.where("user_id % 2 = 0"), u.where("user_id % 2 = 1"), "circuit", "start_ts", 300.0).select("id", "circuit")
+    return intervals.near(u, u.where("anomaly_score >= 0.9"), "circuit", "start_ts", 300.0).select("id", "circuit")
 
 
 @query(NEAR.format(n="NOT"))
 def set04(spark, d):
     u = usage_events(spark, d)
-    return intervals.near(u.where("user_id % 2 = 0"), u.where("user_id % 2 = 1"), "circuit", "start_ts", 300.0, anti=True).select("id", "circuit")
+    return intervals.near(u, u.where("anomaly_score >= 0.9"), "circuit", "start_ts", 300.0, anti=True).select("id", "circuit")
 
 
 SPANS = "spans AS (SELECT circuit, start_ts AS started_at, start_ts + INTERVAL 2 HOUR AS ends_at FROM u WHERE anomaly_score >= 0.97)"
@@ -320,7 +321,26 @@ def str01(spark, d):
     return detect(signals(spark, d), min_seconds=3.0)
 
 
-@query()
+SIGNALS = """, sg AS (SELECT circuit, id, ts, value, CASE WHEN sensor < 4 THEN 'flow' WHEN sensor < 6 THEN 'pressure' WHEN sensor = 6 THEN 'onset' WHEN id % 2 = 0 THEN 'volume' ELSE 'reset' END AS role FROM r),
+x AS (SELECT *, CASE role WHEN 'flow' THEN value >= 0.05 ELSE value >= 25 END AS inside FROM sg WHERE role IN ('flow', 'onset')),
+y AS (SELECT *, count(*) FILTER (NOT inside) OVER (PARTITION BY circuit, role ORDER BY ts, id ROWS UNBOUNDED PRECEDING) AS run FROM x),
+z AS (SELECT circuit, role, CASE WHEN inside THEN run ELSE run - 1 END AS g, min(ts) FILTER (inside) AS s, min(ts) FILTER (NOT inside) AS e FROM y GROUP BY ALL),
+p AS (SELECT DISTINCT circuit, s, coalesce(e, TIMESTAMP '2024-02-15 00:00:00') AS e FROM z WHERE s IS NOT NULL AND (e IS NOT NULL OR s < TIMESTAMP '2024-02-15 00:00:00')),
+i AS (SELECT *, CASE WHEN s <= max(e) OVER (PARTITION BY circuit ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + INTERVAL 15 SECOND THEN 0 ELSE 1 END AS o FROM p),
+m AS (SELECT circuit, min(s) AS s, max(e) AS e FROM (SELECT *, sum(o) OVER (PARTITION BY circuit ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS n FROM i) GROUP BY circuit, n HAVING epoch_us(max(e)) - epoch_us(min(s)) >= 3000000),
+f AS (SELECT * FROM m WHERE NOT EXISTS (SELECT 1 FROM u WHERE u.triggered_alert AND u.circuit = m.circuit AND abs(CAST(floor(epoch(u.start_ts)) AS BIGINT) - CAST(floor(epoch(m.s)) AS BIGINT)) <= 30)),
+j AS (SELECT f.circuit, f.s, f.e, sg.ts, sg.id, sg.role, CASE sg.role WHEN 'flow' THEN CASE WHEN value > 200 OR value < 0.01 THEN 0e0 ELSE value END WHEN 'pressure' THEN CASE WHEN value < 0 OR value > 500 THEN 0e0 ELSE value END ELSE value END AS v
+ FROM f JOIN sg ON sg.circuit = f.circuit AND sg.role IN ('flow', 'pressure', 'volume') AND sg.ts BETWEEN f.s - INTERVAL 30 SECOND AND f.e),
+a AS (SELECT circuit, s, e, avg(v) FILTER (role = 'flow' AND ts >= s) AS avg_flow, max(v) FILTER (role = 'flow' AND ts >= s) AS peak, count(*) FILTER (role = 'flow' AND ts >= s) AS n_flow, avg(v) FILTER (role = 'pressure' AND ts <= s) AS pre,
+ min(v) FILTER (role = 'pressure' AND ts >= s) AS low, list(v ORDER BY ts, id) FILTER (role = 'pressure' AND ts >= s) AS three, list(v ORDER BY ts, id) FILTER (role = 'volume' AND ts >= s) AS meter FROM j GROUP BY ALL),
+b AS (SELECT *, coalesce(pre, list_avg(three[1:3]), 0e0) AS base FROM a WHERE peak >= 0.05),
+c AS (SELECT *, coalesce(low, base) AS least, greatest(0e0, base - coalesce(low, base)) AS fall, meter[-1] - meter[1] AS metered FROM b)
+SELECT circuit, s AS start_ts, e AS end_ts, 'flow' AS start_trigger, low IS NOT NULL AND fall >= 0.8 AS has_pressure_transient, round(base + 1e-9, 2) AS pre_event_pressure_psi, round(least + 1e-9, 2) AS min_pressure_psi, round(fall + 1e-9, 2) AS pressure_delta_psi,
+ round(avg_flow + 1e-9, 4) AS avg_flow_lpm, peak AS peak_flow_lpm, n_flow, CASE WHEN len(meter) >= 2 AND metered > 0 AND metered < 10000 THEN round(metered + 1e-9, 3) END AS volume_litres_measured FROM c"""
+
+
+@query(SIGNALS)
 def str02(spark, d):
     """Periods of flow and of the onset signal united, those of stored events (here the ones with an alert) left out."""
-    return sessions.reconstructed_events(signals(spark, d), usage_events(spark, d).where("triggered_alert"), window_end=WINDOW_END)
+    out = sessions.reconstructed_events(signals(spark, d), usage_events(spark, d).where("triggered_alert"), window_end=WINDOW_END)
+    return out.withColumn("avg_flow_lpm", settled("avg_flow_lpm", 4))

@@ -209,10 +209,33 @@ def st10(spark, d):
     return own.select("circuit", rules.minutes_remaining(F.col("e"), stamp(AS_OF)).alias("minutes"), rules.extended_window(F.col("s"), F.col("e"), 30).alias("extended"))
 
 
-@query("SELECT circuit, NOT bool_or(CASE WHEN sensor NOT IN (0, 1) THEN sensor = 2 END) AS away FROM r WHERE sensor < 4 AND (circuit <> 'view' OR sensor <> 2) GROUP BY circuit")
+PERSONS = "SELECT *, CASE WHEN value < 2 THEN 'home' WHEN value < 5 THEN 'unknown' WHEN value < 20 THEN '' ELSE 'not_home' END AS state FROM r"
+
+
+def persons(spark, d):
+    """Each sensor as a person, whose place its reading says."""
+    value = F.col("value")
+    return readings(spark, d).withColumn("state", F.when(value < 2, "home").when(value < 5, "unknown").when(value < 20, "").otherwise("not_home"))
+
+
+@query(f"SELECT place, CASE WHEN bool_and(state = 'not_home') FILTER (state <> '') THEN true WHEN bool_or(state = 'home') FILTER (state <> '') THEN false END AS away FROM (SELECT *, circuit || '/' || CAST(date_trunc('hour', ts) AS VARCHAR) AS place FROM ({PERSONS})) GROUP BY place")
 def agg16_presence(spark, d):
-    state = F.when(F.col("sensor") == 0, "unknown").when(F.col("sensor") == 1, "unavailable").when(F.col("sensor") == 2, "home").otherwise("away")
-    return rules.presence(readings(spark, d).where("sensor < 4 and (circuit <> 'view' or sensor <> 2)").withColumn("state", state))
+    """Who is home, hour by hour of each circuit."""
+    own = persons(spark, d).withColumn("place", F.concat_ws("/", "circuit", F.date_format("ts", "yyyy-MM-dd HH:00:00")))
+    return rules.presence(own, key="place")
+
+
+_LAST = ", ".join(f"last_value(CASE WHEN sensor = {i} AND state <> '' THEN state END IGNORE NULLS) OVER w" for i in range(8))
+
+
+@query(f""", p AS ({PERSONS}), k AS (SELECT *, list_filter([{_LAST}], lambda s: s IS NOT NULL) AS known FROM p WINDOW w AS (PARTITION BY circuit ORDER BY ts, id ROWS UNBOUNDED PRECEDING)),
+m AS (SELECT *, CASE WHEN state = '' THEN NULL WHEN len(known) > 0 AND len(list_filter(known, lambda s: s <> 'not_home')) = 0 THEN true WHEN list_contains(known, 'home') THEN false END AS mode FROM k),
+a AS (SELECT *, coalesce(last_value(mode IGNORE NULLS) OVER (PARTITION BY circuit ORDER BY ts, id ROWS UNBOUNDED PRECEDING), false) AS away FROM m)
+SELECT id, circuit, away, away <> coalesce(lag(away) OVER (PARTITION BY circuit ORDER BY ts, id), false) AS toggled FROM a""")
+def str08_away(spark, d):
+    """The away mode of each circuit after each change of one of its eight persons."""
+    own = persons(spark, d).withColumn("sensor", F.col("sensor").cast("string"))
+    return rules.away_history(own, "circuit", "sensor", [str(i) for i in range(8)], ["ts", "id"]).select("id", "circuit", "away", "toggled")
 
 
 @query("SELECT circuit, TIMESTAMP '2024-02-01 00:00:00' + to_seconds(CAST(sum(duration_seconds) FILTER (duration_seconds > 0) AS BIGINT)) AS calibration_ends_at FROM u GROUP BY circuit")

@@ -194,10 +194,11 @@ def jn11(spark, d):
     return rel.nearest_center(vectors, centers, "embedding", "c").select("vec_id", "center_id", F.round("distance", 4).alias("distance"))
 
 
-@query("SELECT circuit, arg_max(value, (ts, id)) FILTER (sensor = 0) AS s0, arg_max(value, (ts, id)) FILTER (sensor = 1) AS s1, arg_max(value, (ts, id)) FILTER (sensor = 2) AS s2 FROM r GROUP BY circuit")
+@query("SELECT circuit, " + ", ".join(f"arg_max(value, (ts, id)) FILTER (sensor = {i}) AS s{i}" for i in range(8)) + " FROM r GROUP BY circuit")
 def jn12(spark, d):
+    """Each circuit's live state: the last value of each of its eight sensors."""
     own = readings(spark, d).withColumn("role", F.concat(F.lit("s"), F.col("sensor").cast("string")))
-    return rel.pivot_latest(own, "circuit", "role", ["s0", "s1", "s2"], "ts", "value")
+    return rel.pivot_latest(own, "circuit", "role", [f"s{i}" for i in range(8)], "ts", "value")
 
 
 @query(f", {DAYS} SELECT a.circuit, a.day, round(a.total_volume, 4) AS total_volume, round(b.v, 4) AS prior_volume FROM days a LEFT JOIN (SELECT circuit, CAST(day + INTERVAL 1 MONTH AS DATE) AS day, sum(total_volume) AS v FROM (SELECT circuit, CAST(day - INTERVAL 15 DAY AS DATE) AS day, total_volume FROM days) GROUP BY ALL) b USING (circuit, day)")

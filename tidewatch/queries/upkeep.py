@@ -152,20 +152,22 @@ def src08(spark, d):
 
 
 ARCHIVE = ["id", "circuit", "cluster_id"]
+#: What is stored, and what an archive brings: they overlap by four days.
+BEFORE_ARCHIVE, IN_ARCHIVE = "start_ts < timestamp_ntz'2024-01-16 00:00:00'", "start_ts >= timestamp_ntz'2024-01-12 00:00:00'"
 
 
-@query("SELECT id, circuit, CASE WHEN id % 3 = 0 THEN CAST(NULL AS INTEGER) ELSE cluster_id END AS cluster_id FROM u WHERE id % 3 = 0 OR id % 2 = 0")
+@query("SELECT id, circuit, CASE WHEN start_ts < TIMESTAMP '2024-01-16 00:00:00' THEN CAST(NULL AS INTEGER) ELSE cluster_id END AS cluster_id FROM u")
 def src09(spark, d):
     u = usage_events(spark, d)
-    stored = u.where("id % 3 = 0").select("id", "circuit", F.lit(None).cast("int").alias("cluster_id"))
-    incoming = u.where("id % 2 = 0").select(*ARCHIVE, F.lit("x").alias("unknown"))
+    stored = u.where(BEFORE_ARCHIVE).select("id", "circuit", F.lit(None).cast("int").alias("cluster_id"))
+    incoming = u.where(IN_ARCHIVE).select(*ARCHIVE, F.lit("x").alias("unknown"))
     return upkeep.merge_archive(stored, incoming, ["id"])[0]
 
 
-@query("SELECT before, after, after - before AS added FROM (SELECT count(*) FILTER (id % 3 = 0) AS before, count(*) FILTER (id % 3 = 0 OR id % 2 = 0) AS after FROM u)")
+@query("SELECT before, after, after - before AS added FROM (SELECT count(*) FILTER (start_ts < TIMESTAMP '2024-01-16 00:00:00') AS before, count(*) AS after FROM u)")
 def src09_counts(spark, d):
     u = usage_events(spark, d)
-    return upkeep.merge_archive(u.where("id % 3 = 0").select(*ARCHIVE), u.where("id % 2 = 0").select(*ARCHIVE), ["id"])[1]
+    return upkeep.merge_archive(u.where(BEFORE_ARCHIVE).select(*ARCHIVE), u.where(IN_ARCHIVE).select(*ARCHIVE), ["id"])[1]
 
 
 @query("SELECT circuit, fixtures_changed, occupants_changed, CASE WHEN fixtures_changed THEN 'full' WHEN occupants_changed THEN 'partial_restart' ELSE 'partial' END AS action, CASE WHEN NOT fixtures_changed THEN TIMESTAMP '" + AS_OF + "' + INTERVAL 14 DAY END AS accelerated_until FROM (SELECT circuit, count(*) % 2 = 0 AS fixtures_changed, count(*) % 3 = 0 AS occupants_changed FROM u GROUP BY circuit)")
@@ -300,11 +302,12 @@ def snk05(spark, d):
     return maintenance.replace_rows(kept, again, ["circuit", "fixture_id", "day"], "seq").drop("seq")
 
 
-@query("SELECT circuit, hour_ts, n FROM (SELECT circuit, date_trunc('hour', start_ts) AS hour_ts, count(*) AS n FROM u GROUP BY ALL) WHERE hour_ts >= TIMESTAMP '2024-01-10 00:00:00'")
+@query("""SELECT circuit, hour_ts, n FROM (SELECT circuit, date_trunc('hour', start_ts) AS hour_ts, count(*) AS n FROM u GROUP BY ALL) h WHERE hour_ts >= TIMESTAMP '2024-01-10 00:00:00'
+OR EXISTS (SELECT 1 FROM u w WHERE w.circuit = h.circuit AND w.anomaly_score >= 0.97 AND h.hour_ts BETWEEN w.start_ts AND w.start_ts + INTERVAL 5 HOUR)""")
 def dml02(spark, d):
     hours = usage_events(spark, d).groupBy("circuit", F.date_trunc("hour", "start_ts").cast("timestamp_ntz").alias("hour_ts")).agg(F.count("*").alias("n"))
-    none = hours.select("circuit", F.col("hour_ts").alias("started_at"), F.col("hour_ts").alias("ends_at")).where("false")
-    return maintenance.retained(hours, F.lit("2024-01-10 00:00:00").cast("timestamp_ntz"), none, "hour_ts")
+    windows = usage_events(spark, d).where("anomaly_score >= 0.97").select("circuit", F.col("start_ts").alias("started_at"), F.expr("start_ts + interval 5 hours").alias("ends_at"))
+    return maintenance.retained(hours, F.lit("2024-01-10 00:00:00").cast("timestamp_ntz"), windows, "hour_ts")
 
 
 @query("SELECT id, circuit, ts FROM r WHERE circuit IN ('click', 'view') AND ts BETWEEN TIMESTAMP '2024-01-05 00:00:00' AND TIMESTAMP '2024-01-08 00:00:00'")
@@ -382,8 +385,10 @@ def srt03(spark, d):
     return days.orderBy("circuit", F.desc("day")).limit(50)
 
 
-@query("SELECT circuit, start_ts, min(id) AS id FROM (SELECT id, circuit, date_trunc('hour', start_ts) AS start_ts FROM u) GROUP BY ALL")
+@query("SELECT circuit, start_ts, coalesce(max(id) FILTER (triggered_alert), min(id)) AS id FROM (SELECT id, circuit, date_trunc('hour', start_ts) AS start_ts, triggered_alert FROM u) GROUP BY ALL")
 def str04(spark, d):
-    """Events read twice have the same key and are stored once."""
-    u = usage_events(spark, d).select("id", "circuit", F.date_trunc("hour", "start_ts").cast("timestamp_ntz").alias("start_ts"))
-    return maintenance.insert_missing(u.where("false"), u.unionByName(u), ["circuit", "start_ts"]).select("circuit", "start_ts", "id")
+    """Events of hours; those with an alert are stored already (the last of an hour), the others come twice and are stored once where the hour has none."""
+    u = usage_events(spark, d).withColumn("start_ts", F.date_trunc("hour", "start_ts").cast("timestamp_ntz"))
+    stored = u.where("triggered_alert").groupBy("circuit", "start_ts").agg(F.max("id").alias("id")).select("id", "circuit", "start_ts")
+    fresh = u.where("not triggered_alert").select("id", "circuit", "start_ts")
+    return maintenance.insert_missing(stored, fresh.unionByName(fresh), ["circuit", "start_ts"]).select("circuit", "start_ts", "id")
