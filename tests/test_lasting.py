@@ -285,3 +285,26 @@ def test_life_cycle_without_commands_or_events(spark):
     one = spark.createDataFrame([("a", 1, T0, "start", 1, 1)], none.schema)
     got = lifecycle.state_history(one, events.limit(0)).collect()
     assert [(r["state"], r["to_ts"], r["events_collected"]) for r in got] == [("calibrating", None, 0)]
+
+
+def test_passes_over_passes_read_the_source_a_few_times(spark, monkeypatch):
+    from tidewatch import catalogue
+    from tidewatch.operators import intervals
+    from tidewatch.plans import sessions
+    from tidewatch.sources import history
+
+    read = []
+
+    def scans(df):
+        return df._jdf.queryExecution().optimizedPlan().toString().count("Relation [event_id")
+
+    def counted(df, tag):
+        read.append(scans(df))
+        return history.kept(df, tag)
+
+    for module in (intervals, sessions):
+        monkeypatch.setattr(module, "kept", counted)
+    for name, most in (("set02", 2), ("str02", 4)):
+        read.clear()
+        out = catalogue.QUERIES[name](spark, "/root/testdata/sf0.001")
+        assert sum(read) + scans(out) <= most, name

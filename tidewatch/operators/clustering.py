@@ -97,21 +97,22 @@ def gate(rows: DataFrame, type_col: str, vector: dict[str, Column], center: dict
     return out.withColumn("accepted", F.coalesce(F.col("gate_distance") <= limit, F.lit(True)))
 
 
-def remapped(learned: DataFrame, stored: DataFrame, names: list[str], type_col: str = "suggested_type", default: float = 3.0, most: int = 4096) -> DataFrame:
+def remapped(learned: DataFrame, stored: DataFrame, names: list[str], type_col: str = "suggested_type", default: float = 3.0) -> DataFrame:
     """(circuit, learned_id, cluster_id, distance): each learned group's nearest stored cluster of its circuit, null where none is near enough.
 
     learned(circuit, learned_id, names) and stored(circuit, cluster_id, type, names) hold one row a group; a stored cluster takes a group
-    within the distance that its type allows, else default. A circuit with more than ``most`` of either raises, as the pairs are compared within it.
+    within the distance that its type allows, else default. Two that are near enough lie no farther apart in the first feature than the
+    largest such distance, so only groups of neighbouring strips of it are compared.
     """
-    for side in (learned, stored):
-        if side.groupBy("circuit").count().where(F.col("count") > most).limit(1).count():
-            raise ValueError(f"a circuit has more than {most} clusters")
-    theirs = stored.select("circuit", "cluster_id", F.col(type_col).alias("kind"), *[F.col(n).alias(f"s_{n}") for n in names])
+    width = max([default, *(d for d, _ in GATES.values())])
+    strip = lambda c: F.floor(F.col(c) / width)
+    around = F.explode(F.array(*[strip(names[0]) + i for i in (-1, 0, 1)]))
+    theirs = stored.select("circuit", "cluster_id", F.col(type_col).alias("kind"), around.alias("__strip"), *[F.col(n).alias(f"s_{n}") for n in names])
     limit = F.lit(default)
     for kind, (distance, _) in GATES.items():
         limit = F.when(F.col("kind") == kind, distance).otherwise(limit)
     gap = F.sqrt(sum(((F.col(n) - F.col(f"s_{n}")) * (F.col(n) - F.col(f"s_{n}")) for n in names), F.lit(0.0)))
-    pairs = learned.join(theirs, "circuit").select("circuit", "learned_id", "cluster_id", gap.alias("distance"), limit.alias("limit")).where("distance <= limit")
+    pairs = learned.withColumn("__strip", strip(names[0])).join(theirs, ["circuit", "__strip"]).select("circuit", "learned_id", "cluster_id", gap.alias("distance"), limit.alias("limit")).where("distance <= limit")
     near = pairs.groupBy("circuit", "learned_id").agg(F.min(F.struct("distance", "cluster_id")).alias("x"))
     return learned.select("circuit", "learned_id").join(near, ["circuit", "learned_id"], "left").select("circuit", "learned_id", "x.cluster_id", "x.distance")
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewatch.operators.series import running, seconds
+from tidewatch.sources.history import kept
 
 
 def named_events(events: DataFrame, clusters: DataFrame, fixtures: DataFrame) -> DataFrame:
@@ -98,20 +99,50 @@ def recent(events: DataFrame, limit: int = 100, date_from: Column | None = None,
     return own if date_from is not None or date_to is not None else own.limit(limit)
 
 
+def _distance(a: Column, b: Column) -> Column:
+    """The Euclidean distance of two arrays, in double precision."""
+    return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x.cast("double") - y) * (x.cast("double") - y)), F.lit(0.0), lambda s, x: s + x))
+
+
 def nearest_center(points: DataFrame, centers: DataFrame, vector: str, center: str, most: int = 4096) -> DataFrame:
-    """points with center_id and distance of the nearest center (Euclid, ties to the smaller id).
+    """points with center_id and distance of the nearest center (Euclid, ties to the smaller id); null for both without centers or a vector.
 
-    Centers are broadcast as one array, after their number is checked: beyond ``most`` this raises, as they no longer are a small dimension.
+    Up to ``most`` centers, which are counted first, are broadcast as one array; more go by nearest_by_pivots().
     """
     if centers.limit(most + 1).count() > most:
-        raise ValueError(f"more than {most} centers")
+        return nearest_by_pivots(points, centers, vector, center)
     packed = centers.agg(F.array_sort(F.collect_list(F.struct(F.col("center_id"), F.col(center).alias("c")))).alias("__all"))
-    square = lambda c: F.aggregate(F.zip_with(F.col(vector), c, lambda a, b: (a.cast("double") - b) * (a.cast("double") - b)), F.lit(0.0), lambda s, x: s + x)
-    each = F.transform("__all", lambda x: F.struct(F.sqrt(square(x["c"])).alias("d"), x["center_id"].alias("i")))
-    out = points.join(F.broadcast(packed)).withColumn("__best", F.array_min(each))
+    each = F.transform("__all", lambda x: F.struct(_distance(F.col(vector), x["c"]).alias("d"), x["center_id"].alias("i")))
+    out = points.join(F.broadcast(packed)).withColumn("__best", F.array_min(F.filter(each, lambda x: x["d"].isNotNull())))
     return out.withColumns({"center_id": F.col("__best.i"), "distance": F.col("__best.d")}).drop("__all", "__best")
 
 
+def nearest_by_pivots(points: DataFrame, centers: DataFrame, vector: str, center: str, pivots: int = 64, block: int = 256) -> DataFrame:
+    """nearest_center() for any number of centers: exact, and nothing that grows with them is broadcast.
+
+    Some centers are pivots, and each center belongs to the nearest of them, with its distance to it. The distance to the nearest pivot bounds a
+    point's nearest center from above; by the triangle inequality a pivot whose centers all lie farther is left out. Centers of a pivot are dealt into
+    blocks of some ``block``, so a pivot with many is no single group; a point meets the blocks of the pivots that remain by an equi-join.
+    """
+    own = kept(points.withColumn("__row", F.monotonically_increasing_id()), "points")
+    stored = kept(centers.select("center_id", F.col(center).cast("array<double>").alias("c")), "centers")
+    chosen = stored.where("c is not null").orderBy(F.xxhash64("c"), "center_id").limit(pivots).agg(F.collect_list("c").alias("__pivots"))  # one row of so many centers
+    to_pivots = lambda v: F.transform("__pivots", lambda p: _distance(v, p))
+    placed = stored.join(F.broadcast(chosen)).withColumn("__d", to_pivots(F.col("c"))).withColumn("__r", F.array_min("__d"))
+    placed = kept(placed.where("__r is not null").select("center_id", "c", "__r", F.array_position("__d", F.col("__r")).alias("__p")), "placed")
+    rings = placed.groupBy("__p").agg(F.min("__r").alias("low"), F.max("__r").alias("high"), F.ceil(F.count("*") / block).cast("long").alias("blocks"))  # a row a pivot
+    dealt = placed.join(F.broadcast(rings.select("__p", "blocks")), "__p").withColumn("__b", F.pmod(F.xxhash64("center_id"), F.col("blocks")))
+    blocks = dealt.groupBy("__p", "__b").agg(F.collect_list(F.struct("center_id", "c")).alias("__own"))
+    known = chosen.join(F.broadcast(rings.agg(F.array_sort(F.collect_list(F.struct("__p", "low", "high", "blocks"))).alias("__rings"))))
+    met = own.join(F.broadcast(known)).withColumn("__d", to_pivots(F.col(vector))).withColumn("__most", F.array_min("__d") * (1 + 1e-12) + 1e-12)
+    to = lambda r: F.element_at("__d", r["__p"].cast("int"))
+    near = F.filter("__rings", lambda r: (to(r) - r["high"] <= F.col("__most")) & (r["low"] - to(r) <= F.col("__most")))
+    met = met.select("__row", F.col(vector).alias("__v"), F.explode(near).alias("__g")).select("__row", "__v", "__g.__p", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__g.blocks") - 1)).alias("__b"))
+    best = F.array_min(F.transform("__own", lambda x: F.struct(_distance(F.col("__v"), x["c"]).alias("d"), x["center_id"].alias("i"))))
+    found = met.join(blocks, ["__p", "__b"]).select("__row", best.alias("__best")).groupBy("__row").agg(F.min("__best").alias("__best"))
+    return own.join(found, "__row", "left").withColumns({"center_id": F.col("__best.i"), "distance": F.col("__best.d")}).drop("__row", "__best")
+
+
 def quiet_rank(rows: DataFrame, keys: list[str], order: list[Column], n: int) -> DataFrame:
     """The first n rows of each key."""
     return rows.withColumn("__r", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("__r") <= n).drop("__r")

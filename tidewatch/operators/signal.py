@@ -106,8 +106,11 @@ def placed_in_group(df: DataFrame, group: list[str], order: list[str], prefix: s
 
 
 def last_ema(df: DataFrame, group: list[str], order: list[str], value: str, alpha: float = 0.2) -> DataFrame:
-    """(group, last_ema): the exponential average after the last row of each group, as a sum of weighted values (groups without null keys)."""
-    own = placed_in_group(df, group, order)
+    """(group, last_ema): the exponential average after the last value of each group, as a sum of weighted values (groups without null keys).
+
+    Null values are no readings: they neither count nor age the others, and a group of only nulls has no row.
+    """
+    own = placed_in_group(df.where(F.col(value).isNotNull()), group, order)
     age = F.col("__n") - F.col("__p")
     weight = F.when(F.col("__p") == 1, F.pow(F.lit(1 - alpha), age)).otherwise(alpha * F.pow(F.lit(1 - alpha), age))
     return own.groupBy(*group).agg(F.sum(weight * F.col(value)).alias("last_ema"))

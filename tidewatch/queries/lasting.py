@@ -7,11 +7,12 @@ from datetime import date, datetime
 
 from pyspark.sql import functions as F
 
-from tidewatch.operators import lifecycle, meters, rollups, storage
+from tidewatch.operators import leaktests, lifecycle, meters, migrations, rollups, rules, storage, tableset
 from tidewatch.operators import relational as rel
 from tidewatch.queries import AS_OF, query, settled
 from tidewatch.sources import live
-from tidewatch.sources.history import readings, shared_folder, table, usage_events
+from tidewatch.sources.history import clusters, readings, shared_folder, table, usage_events, write_backup
+from tidewatch.streaming import live_state
 
 NOON = "2024-01-12 12:00:00"
 
@@ -212,3 +213,123 @@ def st02(spark, d):
 def st02_states(spark, d):
     history = lifecycle.state_history(*training(spark, d))
     return lifecycle.state_at(usage_events(spark, d).select("id", "circuit", F.col("start_ts").alias("ts")), history).select("id", "circuit", "state")
+
+
+def line(spark, d):
+    """The events as what a valve's board says: commands, end stops, faults and pressures by sensor."""
+    return readings(spark, d).join(usage_events(spark, d).select("id", "duration_seconds"), "id")
+
+
+def leak_tests(spark, d):
+    own = line(spark, d)
+    value = F.col("value")
+    commands = own.where("sensor = 0").select("circuit", "id", "ts", F.when(value >= 10, "run").otherwise("stop").alias("kind"), (60 + 10 * F.col("duration_seconds")).alias("minutes"))
+    role = F.when(F.col("sensor") == 1, "open_stop").when(F.col("sensor") == 2, "closed_stop").otherwise("fault")
+    is_on = F.when(F.col("sensor") == 1, value >= 2).when(F.col("sensor") == 2, value < 1).otherwise(value > 60)
+    states = own.where("sensor in (1, 2, 3)").select("circuit", "id", "ts", role.alias("role"), is_on.alias("is_on"))
+    pressures = own.where("sensor >= 4").select("circuit", "id", "ts", (40 + value % 7).alias("pressure"), (value / 8).alias("drop_5s"))
+    return leaktests.leak_test_history(commands, states, pressures)
+
+
+_STATE = "(SELECT arg_max({what}, (x.ts, x.id)) FROM l x WHERE x.circuit = c.circuit AND x.sensor {sensor} AND x.ts <= c.ts{later})"
+LEAKS = f""",
+l AS (SELECT r.*, epoch_us(ts) / 1e6 AS t, duration_seconds AS k FROM r JOIN (SELECT id, duration_seconds FROM u) USING (id)),
+c AS (SELECT circuit, id, ts, t, CASE WHEN value >= 10 THEN 'run' ELSE 'stop' END AS kind, 60 + 10 * k AS minutes FROM l WHERE sensor = 0),
+a AS (SELECT c.*, t + 60 + minutes * 60 AS over, {_STATE.format(what="x.value >= 2", sensor="= 1", later="")} AS opened, {_STATE.format(what="x.value < 1", sensor="= 2", later="")} AS closed, {_STATE.format(what="x.value > 60", sensor="= 3", later="")} AS broken,
+ {_STATE.format(what="40 + x.value % 7", sensor=">= 4", later=" + INTERVAL 60 SECOND")} AS baseline FROM c WHERE kind = 'run'),
+b AS (SELECT a.*, CASE WHEN coalesce(closed, false) OR NOT coalesce(opened, false) THEN 6 WHEN coalesce(broken, false) THEN 7 END AS refused, (SELECT min(x.t) FROM c x WHERE x.kind = 'stop' AND x.circuit = a.circuit AND x.t >= a.t) AS stopped,
+ coalesce((SELECT min(x.t) FROM l x WHERE x.circuit = a.circuit AND x.sensor >= 4 AND x.t >= a.over), 1e18) AS until FROM a),
+s AS (SELECT b.id, l.t, l.id AS pid, CASE WHEN 40 + value % 7 - baseline > 3 THEN 4 WHEN value / 8 > 10 THEN 9 WHEN baseline - (40 + value % 7) > 3 THEN 3 WHEN l.t >= b.over THEN 2 END AS r FROM b JOIN l ON l.circuit = b.circuit AND l.sensor >= 4 AND l.t >= b.t + 60 AND l.t <= b.until WHERE refused IS NULL),
+f AS (SELECT id, min(t) AS ft, arg_min(r, (t, pid)) AS fr FROM s WHERE r IS NOT NULL GROUP BY id),
+e AS (SELECT b.circuit, b.id, b.ts, b.t, CASE WHEN refused IS NULL THEN baseline END AS baseline, CASE WHEN refused IS NOT NULL THEN refused WHEN stopped IS NOT NULL AND (ft IS NULL OR stopped <= ft) THEN 5 ELSE fr END AS result,
+ CASE WHEN refused IS NOT NULL THEN b.t WHEN stopped IS NOT NULL AND (ft IS NULL OR stopped <= ft) THEN stopped ELSE ft END AS ended FROM b LEFT JOIN f USING (id)),
+n AS (SELECT e.*, (SELECT arg_min(x.id, (x.t, x.id)) FROM e x WHERE x.circuit = e.circuit AND x.t >= e.ended + 1e-6) AS nxt FROM e),
+walk AS (SELECT n.* FROM n JOIN (SELECT arg_min(id, (t, id)) AS id FROM n GROUP BY circuit) USING (id) UNION ALL SELECT n.* FROM walk JOIN n ON n.id = walk.nxt),
+tests AS (SELECT circuit, id, ts AS started_at, CAST(result AS INTEGER) AS result, make_timestamp(CAST(round(ended * 1e6) AS BIGINT)) AS ended_at, round(baseline + 1e-9, 3) AS baseline FROM walk)"""
+
+
+@query(f"{LEAKS} SELECT * FROM tests", recursive=True)
+def st04_history(spark, d):
+    """Leak tests from the command to the result, with what refuses one, a minute of settling and a measured baseline."""
+    return leak_tests(spark, d).withColumn("baseline", settled("baseline", 3))
+
+
+def fault_changes(spark, d):
+    own, value = line(spark, d), F.col("value")
+    bursts = rules.faults(own.select("circuit", "id", "ts", value.alias("raw_flow"), (value / 2).alias("flow"), (F.col("sensor") * 2).alias("drop_5s"))).where("fault_kind is not null").select("circuit", "id", "ts", F.col("fault_kind").alias("reason"))
+    failed = leak_tests(spark, d).where(F.col("result") == rules.LEAK_RESULTS["failed"]).select("circuit", "id", F.col("ended_at").alias("ts"), F.lit("leak_test").alias("reason"))
+    valve = own.where("sensor = 1").select("circuit", "id", "ts", F.when(value >= 20, "open").otherwise("close").alias("kind"))
+    stops = own.where("sensor = 2").select("circuit", "id", "ts", F.when(value >= 20, "open_stop").otherwise("closed_stop").alias("role"), (value < 60).alias("is_on"))
+    stuck = leaktests.travel_faults(valve, stops, 14400).select("circuit", "id", "ts", F.lit("motor_timeout").alias("reason"))
+    resets = own.where("sensor = 5 and value < 20").select("circuit", "id", "ts")
+    return leaktests.fault_history(bursts.unionByName(failed).unionByName(stuck), resets)
+
+
+_STOP = "x.circuit = v.circuit AND x.sensor = 2 AND (x.value >= 20) = (v.value >= 20)"
+
+
+@query(f"""{LEAKS},
+v AS (SELECT * FROM l WHERE sensor = 1),
+late AS (SELECT circuit, id, ts + INTERVAL 4 HOUR AS ts FROM v WHERE NOT coalesce((SELECT arg_max(x.value < 60, (x.ts, x.id)) FROM l x WHERE {_STOP} AND x.ts <= v.ts), false) AND NOT EXISTS (SELECT 1 FROM l x WHERE {_STOP} AND x.value < 60 AND x.t BETWEEN v.t AND v.t + 14400)
+ AND NOT EXISTS (SELECT 1 FROM v o WHERE o.circuit = v.circuit AND o.t > v.t AND o.t < v.t + 14400)),
+g AS (SELECT circuit, id, ts, CASE WHEN value > 37.5 THEN 'instant_burst' WHEN value / 2 > 25 THEN 'burst' WHEN sensor * 2 > 10 AND value > 0 THEN 'rapid_drop' END AS reason, 0 AS reset FROM l
+ UNION ALL SELECT circuit, id, ended_at, 'leak_test', 0 FROM tests WHERE result = 3 UNION ALL SELECT circuit, id, ts, 'motor_timeout', 0 FROM late UNION ALL SELECT circuit, id, ts, NULL, 1 FROM l WHERE sensor = 5 AND value < 20),
+h AS (SELECT *, sum(reset) OVER (PARTITION BY circuit ORDER BY ts, reset, id ROWS UNBOUNDED PRECEDING) AS run FROM g WHERE reason IS NOT NULL OR reset = 1)
+SELECT circuit, id, ts, reset = 0 AS is_on, CASE WHEN reset = 0 THEN first_value(reason) OVER (PARTITION BY circuit, run, reset ORDER BY ts, id) END AS reason FROM h""", recursive=True)
+def st07_faults(spark, d):
+    """Faults of bursts, rapid drops, failed leak tests and valves that travel too long, on until a reset, with the first reason."""
+    return fault_changes(spark, d)
+
+
+def roles(spark, d):
+    """Readings of ten roles, dealt from the users of the events; alarms are on from a value of 30, some say nothing."""
+    value, kind = F.col("value"), F.element_at(F.array(*[F.lit(r) for r in live_state.ROLES]), (F.col("user_id") % 10 + 1).cast("int"))
+    own = table(spark, d, "events").select("event_type", "event_id", "ts", "value", "user_id", kind.alias("role"))
+    on = F.when(value >= 30, "on").otherwise("off")
+    state = F.when(F.col("role") == "valve", F.when(value >= 30, "open").otherwise("closed")).when(F.col("role").isin("fault", "trickle", "leak_test"), on)
+    state = state.when(F.col("role").isin("fault_reason", "leak_test_result"), F.when(value >= 5, F.concat(F.lit("reason "), F.floor(value).cast("string"))).otherwise("unknown")).when(value < 1, "unavailable").otherwise(value.cast("string"))
+    return own.select(F.concat_ws("/", F.col("event_type"), F.to_date("ts").cast("string")).alias("circuit"), F.col("event_id").alias("id"), "ts", "role", state.alias("state"))
+
+
+_TTL = "CASE WHEN newest - INTERVAL {n} SECOND <= max(ts) FILTER (role = '{r}') THEN arg_max(state, (ts, id)) FILTER (role = '{r}') END AS {r}"
+_ROLE_COLUMNS = ", ".join(_TTL.format(r=r, n=live_state.TTL.get(r, 10**9)) for r in live_state.ROLES)
+
+
+@query(f""", q AS (SELECT event_type || '/' || CAST(CAST(ts AS DATE) AS VARCHAR) AS circuit, event_id AS id, ts, value, {live_state.ROLES}[CAST(user_id % 10 + 1 AS INTEGER)] AS role FROM events),
+p AS (SELECT *, CASE WHEN role = 'valve' THEN CASE WHEN value >= 30 THEN 'open' ELSE 'closed' END WHEN role IN ('fault', 'trickle', 'leak_test') THEN CASE WHEN value >= 30 THEN 'on' ELSE 'off' END
+ WHEN role IN ('fault_reason', 'leak_test_result') THEN CASE WHEN value >= 5 THEN 'reason ' || CAST(floor(value) AS BIGINT) ELSE 'unknown' END WHEN value < 1 THEN 'unavailable' ELSE CAST(value AS VARCHAR) END AS state FROM q),
+n AS (SELECT *, max(ts) OVER (PARTITION BY circuit) AS newest FROM p), l AS (SELECT circuit, {_ROLE_COLUMNS} FROM n GROUP BY circuit, newest)
+SELECT circuit, coalesce(valve, 'unknown') AS valve_state, TRY_CAST(coalesce(CASE WHEN pressure_history NOT IN ('unknown', 'unavailable', '') THEN pressure_history END, pressure_avg) AS DOUBLE) AS pressure, coalesce(TRY_CAST(flow AS DOUBLE), 0e0) AS flow_rate,
+ coalesce(fault = 'on', false) AS fault_active, CASE WHEN fault = 'on' THEN coalesce(CASE WHEN fault_reason NOT IN ('unknown', 'unavailable', '') THEN fault_reason END, '') ELSE '' END AS fault_reason, coalesce(trickle = 'on', false) AS trickle_active,
+ coalesce(leak_test = 'on', false) AS leak_test_active, coalesce(leak_test_result, 'No test run') AS leak_test_result, TRY_CAST(volume AS DOUBLE) AS volume_total FROM l""")
+def jn12_live(spark, d):
+    """What a panel shows of each circuit (here one a day) from the last values of ten roles, three of which go stale after ten minutes."""
+    return live_state.shown(live_state.latest_roles(roles(spark, d)))
+
+
+@query(f"""SELECT 'events' AS name, circuit, count(*) AS n FROM u WHERE start_ts >= TIMESTAMP '{AS_OF}' - INTERVAL 12 DAY GROUP BY circuit
+UNION ALL SELECT 'clusters', circuit, count(*) FROM clusters GROUP BY circuit UNION ALL SELECT 'other', 'kept', count(DISTINCT circuit) FROM u""")
+def src08_tables(spark, d):
+    """All tables of a backup restored at once over a stale state: what the backup lacks is emptied, what is not restored stays."""
+    u, base = usage_events(spark, d), new_folder(spark, "set")
+    target, backup = tableset.TableSet(spark, base), new_folder(spark, "backup")
+    events = u.select("id", "circuit", F.date_format("start_ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("start_ts"), "cluster_id")
+    stale = {"events": events.where("cluster_id is null"), "clusters": clusters(u).select("circuit", "cluster_id"), "hours": events.select("circuit").distinct(), "other": u.select("circuit").distinct()}
+    target.commit(stale, migrations.LATEST)
+    write_backup({"events": events.where(F.col("start_ts") >= F.date_format(stamp(AS_OF) - F.expr("interval 12 days"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")).withColumn("unknown", F.lit(1)), "clusters": stale["clusters"]}, backup)
+    kinds = {"events": "id long, circuit string, start_ts string, cluster_id int", "clusters": "circuit string, cluster_id int", "hours": "circuit string"}
+    tableset.restore(target, backup, kinds, {"events": ["circuit", "start_ts", "id"]})
+    count = lambda name: target.read(name).groupBy("circuit").agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "circuit", "n")
+    rest = target.read("other").agg(F.count("*").alias("n")).select(F.lit("other").alias("name"), F.lit("kept").alias("circuit"), "n")
+    return count("events").unionByName(count("clusters")).unionByName(count("hours")).unionByName(rest)
+
+
+@query("""SELECT max(rowid) AS rowid, circuit, start_ts, CASE WHEN count(*) = 1 THEN max(cluster_id) END AS cluster_id, 1e0 AS hour_cos, CAST(NULL AS VARCHAR) AS match_level FROM (
+ SELECT min(rowid) AS rowid, circuit, way, strftime(start_ts, '%Y-%m-%dT%H:%M:%S+00:00') AS start_ts, arg_min(cluster_id, rowid) AS cluster_id FROM (SELECT id AS rowid, circuit, date_trunc('hour', start_ts) AS start_ts, id % 3 AS way, coalesce(cluster_id, 99) AS cluster_id FROM u) GROUP BY circuit, start_ts, way) GROUP BY circuit, start_ts""")
+def dml16(spark, d):
+    """Events of the oldest schema with times in three writings, as the newest schema has them: copies gone, times in UTC, new columns by default."""
+    hour = F.date_trunc("hour", "start_ts")
+    text = lambda shift: F.date_format(hour + F.expr(f"interval {shift} hours"), "yyyy-MM-dd'T'HH:mm:ss")
+    way = F.when(F.col("id") % 3 == 0, F.concat(text(0), F.lit("Z"))).when(F.col("id") % 3 == 1, text(0)).otherwise(F.concat(text(-6), F.lit("-06:00")))
+    old = usage_events(spark, d).select(F.col("id").alias("rowid"), F.col("id").cast("string").alias("id"), "circuit", way.alias("start_ts"), F.lit(None).cast("string").alias("end_ts"), F.coalesce("cluster_id", F.lit(99)).alias("cluster_id"))
+    return migrations.migrated(old, "events", 0).select("rowid", "circuit", "start_ts", "cluster_id", "hour_cos", "match_level")

@@ -209,7 +209,7 @@ def st10(spark, d):
     return own.select("circuit", rules.minutes_remaining(F.col("e"), stamp(AS_OF)).alias("minutes"), rules.extended_window(F.col("s"), F.col("e"), 30).alias("extended"))
 
 
-PERSONS = "SELECT *, CASE WHEN value < 2 THEN 'home' WHEN value < 5 THEN 'unknown' WHEN value < 20 THEN '' ELSE 'not_home' END AS state FROM r"
+PERSONS = "SELECT circuit, id, ts, sensor, CASE WHEN value < 2 THEN 'home' WHEN value < 5 THEN 'unknown' WHEN value < 20 THEN '' ELSE 'not_home' END AS state FROM r"
 
 
 def persons(spark, d):

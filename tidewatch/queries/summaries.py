@@ -194,6 +194,15 @@ def jn11(spark, d):
     return rel.nearest_center(vectors, centers, "embedding", "c").select("vec_id", "center_id", F.round("distance", 4).alias("distance"))
 
 
+@query("""SELECT vec_id, arg_min(center_id, (d, center_id)) AS center_id, round(min(d), 4) AS distance FROM (SELECT e.vec_id, c.vec_id AS center_id, array_distance(CAST(e.embedding AS DOUBLE[64]), CAST(c.embedding AS DOUBLE[64])) AS d
+FROM embeddings e JOIN embeddings c ON c.label = 0) GROUP BY vec_id""")
+def jn11_pivots(spark, d):
+    """Every vector against all those of the first label as centers, by pivots."""
+    vectors = table(spark, d, "embeddings")
+    centers = vectors.where("label = 0").select(F.col("vec_id").alias("center_id"), F.col("embedding").cast("array<double>").alias("c"))
+    return rel.nearest_by_pivots(vectors, centers, "embedding", "c", pivots=16, block=32).select("vec_id", "center_id", F.round("distance", 4).alias("distance"))
+
+
 @query("SELECT circuit, " + ", ".join(f"arg_max(value, (ts, id)) FILTER (sensor = {i}) AS s{i}" for i in range(8)) + " FROM r GROUP BY circuit")
 def jn12(spark, d):
     """Each circuit's live state: the last value of each of its eight sensors."""
