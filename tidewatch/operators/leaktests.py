@@ -34,7 +34,7 @@ def leak_test_history(commands: DataFrame, states: DataFrame, pressures: DataFra
         runs = as_of(runs, now, "circuit", "ts", "id", "at", "is_on", role)
     is_on = lambda c: F.coalesce(F.col(c), F.lit(False))
     refused = F.when(is_on("closed_stop") | ~is_on("open_stop"), LEAK_RESULTS["closed"]).when(is_on("fault"), LEAK_RESULTS["fault"])
-    runs = runs.withColumns({"refused": refused, "begin": F.timestamp_micros(((F.col("t") + SETTLE) * 1_000_000).cast("long")).cast(dict(commands.dtypes)["ts"])}).withColumn("over", F.col("t") + SETTLE + F.col("minutes") * 60)
+    runs = runs.withColumns({"refused": refused, "begin": F.timestamp_micros(F.round((F.col("t") + SETTLE) * 1_000_000).cast("long")).cast(dict(commands.dtypes)["ts"])}).withColumn("over", F.col("t") + SETTLE + F.col("minutes") * 60)
     runs = kept(as_of(runs, pressures.select("circuit", "id", F.col("ts").alias("at"), "pressure"), "circuit", "begin", "id", "at", "pressure", "baseline"), "runs")
     places = pressures.select("circuit", "id", seconds(F.col("ts")).alias("t"))
     due = first_from(runs, "over", places, "due")  # the reading that ends it by time
@@ -43,7 +43,7 @@ def leak_test_history(commands: DataFrame, states: DataFrame, pressures: DataFra
     # a test is read up to the reading after its time, but one that no reading ends is read to the last there is
     last = places.groupBy("circuit").agg(F.max("t").alias("last_t"))
     runs = runs.join(last, "circuit", "left").withColumn("until", F.coalesce(F.col("due.t"), "last_t"))
-    open_runs = runs.where("refused is null and until is not null").withColumn("end", F.timestamp_micros((F.col("until") * 1_000_000).cast("long")).cast(dict(commands.dtypes)["ts"])).where("end >= begin")
+    open_runs = runs.where("refused is null and until is not null").withColumn("end", F.timestamp_micros(F.round(F.col("until") * 1_000_000).cast("long")).cast(dict(commands.dtypes)["ts"])).where("end >= begin")
     samples = range_join(open_runs.select("circuit", F.col("id").alias("run"), "begin", "end", "baseline", "over"), pressures, "circuit", "begin", "end", "ts")
     at, drop = seconds(F.col("point.ts")), F.col("baseline") - F.col("point.pressure")
     verdict = F.when(-drop > threshold, LEAK_RESULTS["pressure_rose"]).when(F.col("point.drop_5s") > rapid, LEAK_RESULTS["rapid_drop"]).when(drop > threshold, LEAK_RESULTS["failed"]).when(at >= F.col("over"), LEAK_RESULTS["passed"])
@@ -75,7 +75,7 @@ def travel_faults(commands: DataFrame, stops: DataFrame, seconds_allowed: int =
         other = first_from(side, "after", own, "other")
         late = side.join(there, "id", "left").join(came, "id", "left").join(other, "id", "left").withColumn("limit", F.col("t") + seconds_allowed)
         late = late.where(~F.coalesce("there", F.lit(False)) & (F.col("came").isNull() | (F.col("came.t") > F.col("limit"))) & (F.col("other").isNull() | (F.col("other.t") >= F.col("limit"))))
-        part = late.select("circuit", "id", F.timestamp_micros((F.col("limit") * 1_000_000).cast("long")).cast(dict(commands.dtypes)["ts"]).alias("ts"))
+        part = late.select("circuit", "id", F.timestamp_micros(F.round(F.col("limit") * 1_000_000).cast("long")).cast(dict(commands.dtypes)["ts"]).alias("ts"))
         out = part if out is None else out.unionByName(part)
     return out
 

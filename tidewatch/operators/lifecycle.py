@@ -46,7 +46,7 @@ def calibration_ends(commands: DataFrame, counted: DataFrame) -> DataFrame:
 
 def instant_back(at: Column) -> Column:
     """A timestamp so many seconds before 1970: its order is backwards in time."""
-    return F.timestamp_micros((-1_000_000 * at).cast("long"))
+    return F.timestamp_micros(F.round(-1_000_000 * at).cast("long"))
 
 
 def first_from(commands: DataFrame, after: str, others: DataFrame, name: str) -> DataFrame:
@@ -76,7 +76,7 @@ def pointed(commands: DataFrame, label_days: int) -> DataFrame:
 def took_effect(commands: DataFrame, first_kinds: tuple[str, ...] = COUNTS["idle"]) -> DataFrame:
     """(id) of the commands (circuit, id, t, kind, next) that the first of each circuit with one of some kinds leads to, itself included."""
     first = commands.where(F.col("kind").isin(*first_kinds)).groupBy("circuit").agg(F.min(F.struct("t", "id"))["id"].alias("id")).select("id")
-    jumps = commands.where("next is not null").select("id", F.col("next.id").alias("to"))
+    jumps = commands.where(F.struct("t", "id") < F.col("next")).select("id", F.col("next.id").alias("to"))  # only forward, so the pointers end
     reached = kept(first, "reached")
     while True:
         more = kept(reached.join(jumps, "id").select(F.col("to").alias("id")), "reached")
