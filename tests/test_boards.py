@@ -53,7 +53,7 @@ def replay_tests(commands, states, pressures):
     return sorted(map(tuple, out))
 
 
-@pytest.mark.parametrize("seed", range(2))
+@pytest.mark.parametrize("seed", [0])
 def test_leak_tests_equal_a_replay(spark, seed):
     dice = random.Random(seed)
     commands, states, pressures, n = [], [], [], 0
