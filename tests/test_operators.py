@@ -76,7 +76,13 @@ def test_sessions_from_readings(spark):
     readings = spark.createDataFrame(rows, "circuit string, id long, ts timestamp_ntz, role string, state string")
     none = spark.createDataFrame([], "circuit string, start_ts timestamp_ntz")
     (event,) = sessions.reconstructed_events(readings, none).collect()  # the second run is under 3 s, the gap of 11 s merges
-    assert (event["start_ts"], event["end_ts"]) == (at(40), at(79))
+    assert (event["start_ts"], event["end_ts"]) == (at(40), at(80))  # a run goes to the reading that ends it
+    assert event["start_trigger"] == "flow" and event["has_pressure_transient"] and event["pressure_delta_psi"] == 4.84 and event["peak_flow_lpm"] == 6.0
+    late = sessions.reconstructed_events(readings.where("role <> 'pressure' or ts >= timestamp_ntz'2024-01-01 00:00:41'").withColumn("state", F.when((F.col("role") == "pressure") & (F.second("ts") == 50), "44.4").otherwise(F.col("state"))), none)
+    (first,) = late.collect()  # without a pressure before the start the first three since are the baseline
+    assert (first["pre_event_pressure_psi"], first["min_pressure_psi"], first["pressure_delta_psi"], first["has_pressure_transient"]) == (45.0, 44.4, 0.6, False)
+    assert sessions.reconstructed_events(readings.where("role <> 'pressure'"), none).first()["pre_event_pressure_psi"] == 0.0
+    assert sessions.reconstructed_events(readings.where("role <> 'flow'"), none).count() == 0  # an onset alone, or none, is no event
     assert event["volume_litres_measured"] == 3.5 and event["min_pressure_psi"] == 45 and event["pre_event_pressure_psi"] > 49
     stored = spark.createDataFrame([("main", at(70))], "circuit string, start_ts timestamp_ntz")
     assert sessions.reconstructed_events(readings, stored).count() == 0

@@ -322,7 +322,7 @@ def str01(spark, d):
 
 
 SIGNALS = """, sg AS (SELECT circuit, id, ts, value, CASE WHEN sensor < 4 THEN 'flow' WHEN sensor < 6 THEN 'pressure' WHEN sensor = 6 THEN 'onset' WHEN id % 2 = 0 THEN 'volume' ELSE 'reset' END AS role FROM r),
-x AS (SELECT *, CASE role WHEN 'flow' THEN value >= 0.05 ELSE value >= 25 END AS inside FROM sg WHERE role IN ('flow', 'onset')),
+x AS (SELECT *, CASE role WHEN 'flow' THEN value >= 20 ELSE value >= 25 END AS inside FROM sg WHERE role IN ('flow', 'onset')),
 y AS (SELECT *, count(*) FILTER (NOT inside) OVER (PARTITION BY circuit, role ORDER BY ts, id ROWS UNBOUNDED PRECEDING) AS run FROM x),
 z AS (SELECT circuit, role, CASE WHEN inside THEN run ELSE run - 1 END AS g, min(ts) FILTER (inside) AS s, min(ts) FILTER (NOT inside) AS e FROM y GROUP BY ALL),
 p AS (SELECT DISTINCT circuit, s, coalesce(e, TIMESTAMP '2024-02-15 00:00:00') AS e FROM z WHERE s IS NOT NULL AND (e IS NOT NULL OR s < TIMESTAMP '2024-02-15 00:00:00')),
@@ -333,7 +333,7 @@ j AS (SELECT f.circuit, f.s, f.e, sg.ts, sg.id, sg.role, CASE sg.role WHEN 'flow
  FROM f JOIN sg ON sg.circuit = f.circuit AND sg.role IN ('flow', 'pressure', 'volume') AND sg.ts BETWEEN f.s - INTERVAL 30 SECOND AND f.e),
 a AS (SELECT circuit, s, e, avg(v) FILTER (role = 'flow' AND ts >= s) AS avg_flow, max(v) FILTER (role = 'flow' AND ts >= s) AS peak, count(*) FILTER (role = 'flow' AND ts >= s) AS n_flow, avg(v) FILTER (role = 'pressure' AND ts <= s) AS pre,
  min(v) FILTER (role = 'pressure' AND ts >= s) AS low, list(v ORDER BY ts, id) FILTER (role = 'pressure' AND ts >= s) AS three, list(v ORDER BY ts, id) FILTER (role = 'volume' AND ts >= s) AS meter FROM j GROUP BY ALL),
-b AS (SELECT *, coalesce(pre, list_avg(three[1:3]), 0e0) AS base FROM a WHERE peak >= 0.05),
+b AS (SELECT *, coalesce(pre, list_avg(three[1:3]), 0e0) AS base FROM a WHERE peak >= 20),
 c AS (SELECT *, coalesce(low, base) AS least, greatest(0e0, base - coalesce(low, base)) AS fall, meter[-1] - meter[1] AS metered FROM b)
 SELECT circuit, s AS start_ts, e AS end_ts, 'flow' AS start_trigger, low IS NOT NULL AND fall >= 0.8 AS has_pressure_transient, round(base + 1e-9, 2) AS pre_event_pressure_psi, round(least + 1e-9, 2) AS min_pressure_psi, round(fall + 1e-9, 2) AS pressure_delta_psi,
  round(avg_flow + 1e-9, 4) AS avg_flow_lpm, peak AS peak_flow_lpm, n_flow, CASE WHEN len(meter) >= 2 AND metered > 0 AND metered < 10000 THEN round(metered + 1e-9, 3) END AS volume_litres_measured FROM c"""
@@ -341,6 +341,6 @@ SELECT circuit, s AS start_ts, e AS end_ts, 'flow' AS start_trigger, low IS NOT
 
 @query(SIGNALS)
 def str02(spark, d):
-    """Periods of flow and of the onset signal united, those of stored events (here the ones with an alert) left out."""
-    out = sessions.reconstructed_events(signals(spark, d), usage_events(spark, d).where("triggered_alert"), window_end=WINDOW_END)
+    """Periods of flow (here of 20 and more) and of the onset signal united, those of stored events (here the ones with an alert) left out."""
+    out = sessions.reconstructed_events(signals(spark, d), usage_events(spark, d).where("triggered_alert"), window_end=WINDOW_END, least_flow=20.0)
     return out.withColumn("avg_flow_lpm", settled("avg_flow_lpm", 4))
