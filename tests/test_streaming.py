@@ -58,11 +58,12 @@ def test_hourly_stream_and_idempotent_storage(spark, tmp_path):
     assert abs(spark.table("hours").agg(F.sum("volume")).first()[0] - events.agg(F.sum("volume_litres")).first()[0]) < 1e-6
     assert rollup.hourly_stream(stream).isStreaming and rollup.session_stream(stream.withColumnRenamed("start_ts", "ts").withColumn("value", F.lit(1.0))).isStreaming
 
-    target = str(tmp_path / "stored")
-    for cp in ("c2", "c3"):  # the second run reads everything again
-        rollup.store(rollup.distinct_events(stream), rollup.append_new(target, ["circuit", "start_ts"]), str(tmp_path / cp)).awaitTermination(120)
-    stored = spark.read.parquet(target)
-    assert stored.count() == events.select("circuit", "start_ts").distinct().count()
+    for prune in (None, "start_ts"):
+        target = str(tmp_path / f"stored-{prune}")
+        for cp in ("c2", "c3"):  # the second run reads everything again
+            rollup.store(rollup.distinct_events(stream), rollup.append_new(target, ["circuit", "start_ts"], prune), str(tmp_path / f"{cp}-{prune}")).awaitTermination(120)
+        stored = spark.read.parquet(target)
+        assert stored.count() == events.select("circuit", "start_ts").distinct().count()
 
 
 def test_backup_round_trip(spark, tmp_path):

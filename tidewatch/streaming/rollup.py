@@ -38,16 +38,23 @@ def store(stream: DataFrame, write: Callable[[DataFrame, int], None], checkpoint
     return (out.trigger(availableNow=True) if once else out).start()
 
 
-def append_new(path: str, keys: list[str]) -> Callable[[DataFrame, int], None]:
-    """A writer that keeps what is stored: a batch that is run again adds nothing. Each batch is a folder of its own."""
+def append_new(path: str, keys: list[str], prune: str | None = None) -> Callable[[DataFrame, int], None]:
+    """A writer that keeps what is stored: a batch that is run again adds nothing. Each batch is a folder of its own.
+
+    With prune, a column among the keys (as the start of an event), only stored rows between the least and the largest value of the batch are
+    compared, and files are written in its order, so that Parquet skips the others.
+    """
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         own = batch.dropDuplicates(keys)
         where = spark._jvm.org.apache.hadoop.fs.Path(path)
         if where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
-            stored = spark.read.parquet(path).where(F.col("batch") != number).select(*keys)
-            own = own.join(stored, keys, "left_anti")
-        own.write.mode("overwrite").parquet(f"{path}/batch={number}")
+            stored = spark.read.parquet(path).where(F.col("batch") != number)
+            if prune:
+                low, high = batch.agg(F.min(prune), F.max(prune)).first()
+                stored = stored.where(F.col(prune).between(F.lit(low), F.lit(high)) | F.col(prune).isNull())
+            own = own.join(stored.select(*keys), keys, "left_anti")
+        (own.sortWithinPartitions(prune) if prune else own).write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return write
