@@ -56,7 +56,7 @@ def numbered(df: DataFrame, key: str, order: list[str], name: str = "pos", bucke
 
 
 def framed(df: DataFrame, key: str, order: list[str], frames: Mapping[str, tuple[str, Column | str, int, int]], bucket: int = BUCKET, block: int = BLOCK, placed: bool = False) -> DataFrame:
-    """df with pos and one column per name of frames: (avg, count, sum, max or first) of a column over rows start..end (both at most 0).
+    """df with pos and one column per name of frames: (avg, count, sum, max, first or list, without nulls) of a column over rows start..end (both at most 0).
 
     With placed, df has pos already.
     """
@@ -67,7 +67,7 @@ def framed(df: DataFrame, key: str, order: list[str], frames: Mapping[str, tuple
     late = (F.col("pos") - 1) % block >= block - reach
     dealt = own.withColumn("__at", F.explode(F.when(late, F.array("__blk", F.col("__blk") + 1)).otherwise(F.array("__blk"))))
     window = Window.partitionBy(key, "__at").orderBy("pos")
-    use = {"avg": F.avg, "count": F.count, "sum": F.sum, "max": F.max, "first": F.first}
+    use = {"avg": F.avg, "count": F.count, "sum": F.sum, "max": F.max, "first": F.first, "list": F.collect_list}
     out = dealt.withColumns({n: use[k](c).over(window.rowsBetween(a, b)) for n, (k, c, a, b) in frames.items()})
     return out.where(F.col("__at") == F.col("__blk")).drop("__blk", "__at")
 

@@ -8,12 +8,28 @@ from pyspark.sql import functions as F
 from tidewatch.operators.series import framed, islands, numbered, previous, running, seconds
 
 
+def block_sum(values: Column, first: Column, size: int, block: int = 16) -> Column:
+    """The sum of an array of ``size`` values whose first has the place ``first`` (from 0) in its series: the values up to a multiple of ``block`` one by one,
+    then whole blocks, each summed by itself, then the rest one by one.
+
+    Sums of decimals differ in their last bits by their order, which decides comparisons with a limit that the exact sum meets; this order is that of the SQL.
+    """
+    plus = lambda part, start: F.aggregate(part, start, lambda s, x: s + x)
+    head = F.pmod(-first, F.lit(block)).cast("int")
+    whole = F.greatest(F.floor((size - head) / block), F.lit(0)).cast("int")
+    total = plus(F.slice(values, F.lit(1), head), F.lit(0.0))
+    for i in range(size // block):
+        total = total + F.when(i < whole, plus(F.slice(values, head + i * block + 1, F.lit(block)), F.lit(0.0))).otherwise(0.0)
+    return plus(F.slice(values, head + whole * block + 1, F.lit(block)), total)
+
+
 def lagged_baseline(df: DataFrame, key: str, order: list[str], value: str, lookback: int = 120, window: int = 80, threshold: float = 2.0) -> DataFrame:
     """df with baseline, the mean of the ``window`` samples ``lookback`` behind (null until all are there), drop and is_drop."""
-    own = framed(df, key, order, {"__n": ("count", value, -(lookback + window - 1), -lookback), "__avg": ("avg", value, -(lookback + window - 1), -lookback)})
-    base = F.when(F.col("__n") == window, F.col("__avg"))
-    drop = base - F.col(value)
-    return own.withColumns({"baseline": base, "drop": drop, "is_drop": F.coalesce(drop >= threshold, F.lit(False))}).drop("__n", "__avg", "pos")
+    back = lookback + window - 1
+    own = framed(df, key, order, {"__all": ("list", F.col(value).cast("double"), -back, -lookback)})
+    based = own.withColumn("baseline", F.when(F.size("__all") == window, block_sum(F.col("__all"), F.col("pos") - 1 - back, window) / window))
+    drop = F.col("baseline") - F.col(value)
+    return based.withColumns({"drop": drop, "is_drop": F.coalesce(drop >= threshold, F.lit(False))}).drop("__all", "pos")
 
 
 def composite_drop(df: DataFrame, key: str, order: list[str], value: str, threshold: float = 2.0, factor: float = 1.5) -> DataFrame:
