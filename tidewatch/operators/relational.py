@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -117,29 +121,73 @@ def nearest_center(points: DataFrame, centers: DataFrame, vector: str, center: s
     return out.withColumns({"center_id": F.col("__best.i"), "distance": F.col("__best.d")}).drop("__all", "__best")
 
 
-def nearest_by_pivots(points: DataFrame, centers: DataFrame, vector: str, center: str, pivots: int = 64, block: int = 256) -> DataFrame:
+def _best_of_slices(block: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """The nearest center of each point of one slice of points and one of centers, ``block`` points at a time.
+
+    A matrix product leaves the few centers that may be nearest; their distances are then summed exactly as _distance() does.
+    """
+
+    def vectors(column: pa.ChunkedArray) -> np.ndarray:
+        flat = column.combine_chunks()
+        return flat.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(flat), -1)
+
+    def best(points: pa.Table, centers: pa.Table) -> pa.Table:
+        if not points.num_rows or not centers.num_rows:
+            return pa.table({"__row": pa.array([], "int64"), "center_id": pa.array([], "int64"), "__dist": pa.array([], "float64")})
+        order = np.argsort(centers["center_id"].to_numpy())
+        xs, cs, ids = vectors(points["__v"]), vectors(centers["c"])[order], centers["center_id"].to_numpy()[order]
+        found, far = np.empty(len(xs), "int64"), np.empty(len(xs))
+        with np.errstate(all="ignore"):
+            squares = (cs * cs).sum(1)
+            for at in range(0, len(xs), block):
+                x = xs[at : at + block]
+                own = (x * x).sum(1)[:, None]
+                near = own + squares - 2 * (x @ cs.T)
+                most = np.fmin.reduce(near, 1)[:, None] + 1e-12 * (own + squares.max())
+                i, j = np.nonzero(~(near > most))  # what is no number stays in
+                total = np.zeros(len(i))
+                for k in range(xs.shape[1]):
+                    gap = x[i, k] - cs[j, k]
+                    total += gap * gap
+                dist = np.sqrt(total)
+                pick = np.lexsort((j, dist, i))
+                first = pick[np.unique(i[pick], return_index=True)[1]]
+                found[at : at + block], far[at : at + block] = ids[j[first]], dist[first]
+        return pa.table({"__row": points["__row"], "center_id": found, "__dist": far})
+
+    return best
+
+
+def nearest_by_pivots(points: DataFrame, centers: DataFrame, vector: str, center: str, pivots: int = 64, block: int = 256, slice_rows: int = 16384) -> DataFrame:
     """nearest_center() for any number of centers: exact, and nothing that grows with them is broadcast.
 
     Some centers are pivots, and each center belongs to the nearest of them, with its distance to it. The distance to the nearest pivot bounds a
-    point's nearest center from above; by the triangle inequality a pivot whose centers all lie farther is left out. Centers of a pivot are dealt into
-    blocks of some ``block``, so a pivot with many is no single group; a point meets the blocks of the pivots that remain by an equi-join.
+    point's nearest center from above; by the triangle inequality a pivot whose centers all lie farther is left out. The centers of a pivot, and the points
+    that it remains for, are dealt into slices of some ``slice_rows``, each pair of them one group of bounded size, in which ``block`` points at a time
+    meet the centers: a row is sent once for each slice of the other side, not for each pair. Where no pivot can be left out all distances are made.
     """
     own = kept(points.withColumn("__row", F.monotonically_increasing_id()), "points")
-    stored = kept(centers.select("center_id", F.col(center).cast("array<double>").alias("c")), "centers")
-    chosen = stored.where("c is not null").orderBy(F.xxhash64("c"), "center_id").limit(pivots).agg(F.collect_list("c").alias("__pivots"))  # one row of so many centers
+    stored = kept(centers.select("center_id", F.col(center).cast("array<double>").alias("c")).where("c is not null").groupBy("c").agg(F.min("center_id").alias("center_id")), "centers")  # of equal centers the smallest wins
+    picked = kept(stored.orderBy(F.xxhash64("c"), "center_id").limit(pivots), "pivots")
+    chosen = kept(picked.agg(F.collect_list("c").alias("__pivots")), "pivots")  # one row of so many centers
     to_pivots = lambda v: F.transform("__pivots", lambda p: _distance(v, p))
     placed = stored.join(F.broadcast(chosen)).withColumn("__d", to_pivots(F.col("c"))).withColumn("__r", F.array_min("__d"))
     placed = kept(placed.where("__r is not null").select("center_id", "c", "__r", F.array_position("__d", F.col("__r")).alias("__p")), "placed")
-    rings = placed.groupBy("__p").agg(F.min("__r").alias("low"), F.max("__r").alias("high"), F.ceil(F.count("*") / block).cast("long").alias("blocks"))  # a row a pivot
-    dealt = placed.join(F.broadcast(rings.select("__p", "blocks")), "__p").withColumn("__b", F.pmod(F.xxhash64("center_id"), F.col("blocks")))
-    blocks = dealt.groupBy("__p", "__b").agg(F.collect_list(F.struct("center_id", "c")).alias("__own"))
+    slices = lambda n: F.ceil(n / slice_rows).cast("long")
+    rings = kept(placed.groupBy("__p").agg(F.min("__r").alias("low"), F.max("__r").alias("high"), slices(F.count("*")).alias("blocks")), "rings")  # a row a pivot
     known = chosen.join(F.broadcast(rings.agg(F.array_sort(F.collect_list(F.struct("__p", "low", "high", "blocks"))).alias("__rings"))))
     met = own.join(F.broadcast(known)).withColumn("__d", to_pivots(F.col(vector))).withColumn("__most", F.array_min("__d") * (1 + 1e-12) + 1e-12)
     to = lambda r: F.element_at("__d", r["__p"].cast("int"))
     near = F.filter("__rings", lambda r: (to(r) - r["high"] <= F.col("__most")) & (r["low"] - to(r) <= F.col("__most")))
-    met = met.select("__row", F.col(vector).alias("__v"), F.explode(near).alias("__g")).select("__row", "__v", "__g.__p", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__g.blocks") - 1)).alias("__b"))
-    best = F.array_min(F.transform("__own", lambda x: F.struct(_distance(F.col("__v"), x["c"]).alias("d"), x["center_id"].alias("i"))))
-    found = met.join(blocks, ["__p", "__b"]).select("__row", best.alias("__best")).groupBy("__row").agg(F.min("__best").alias("__best"))
+    met = kept(met.select("__row", F.transform(near, lambda r: F.struct(r["__p"].alias("__p"), r["blocks"].alias("blocks"))).alias("__near")), "met").select("__row", F.explode("__near").alias("__g")).select("__row", "__g.*")
+    sides = rings.select("__p", "blocks").join(met.groupBy("__p").agg(slices(F.count("*")).alias("sides")), "__p")  # a row a pivot
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    dealt_points = met.join(F.broadcast(sides.select("__p", "sides")), "__p").select("__row", "__p", F.pmod(F.xxhash64("__row"), F.col("sides")).alias("__s"), every("blocks").alias("__b"))
+    dealt_points = own.select("__row", F.col(vector).alias("__v")).join(dealt_points, "__row")
+    dealt_centers = placed.join(F.broadcast(sides), "__p").select("center_id", "c", "__p", F.pmod(F.xxhash64("center_id"), F.col("blocks")).alias("__b"), every("sides").alias("__s"))
+    keys = ["__p", "__b", "__s"]
+    best = dealt_points.groupBy(*keys).cogroup(dealt_centers.groupBy(*keys)).applyInArrow(_best_of_slices(block), "__row long, center_id long, __dist double")
+    found = best.groupBy("__row").agg(F.min(F.struct(F.col("__dist").alias("d"), F.col("center_id").alias("i"))).alias("__best"))
     return own.join(found, "__row", "left").withColumns({"center_id": F.col("__best.i"), "distance": F.col("__best.d")}).drop("__row", "__best")
 
 
