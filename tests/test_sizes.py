@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 
 from tidewatch import catalogue
+from tidewatch.operators import intervals, leaktests
 from tidewatch.operators import relational as rel
 from tidewatch.operators import signal
 
@@ -49,3 +50,22 @@ def test_slices_of_centers_and_copies(spark):
         gaps = (centers - v) ** 2
         d = np.sqrt(((gaps[:, 0] + gaps[:, 1]) + gaps[:, 2]) + gaps[:, 3])
         assert got[i] == (int(d.argmin()), d.min())
+
+
+def test_first_reading_that_ends_a_run_by_levels(spark):
+    """Runs of any length look through few nodes: against a plain search, with four levels and runs that nothing ends."""
+    dice = random.Random(9)
+    readings = [("a" if i < 400 else "b", i, T0 + timedelta(seconds=(i % 400) // 2 * 10), dice.choice([40.0] * 40 + [43.5, 36.5, None]), dice.choice([0.0] * 60 + [11.0])) if dice.random() < 0.9 else ("a", i, T0, None, None) for i in range(500)]
+    runs = [(dice.choice("abc"), i, T0 + timedelta(seconds=dice.randrange(-5, 2100)), dice.choice([None, 40.0, 43.5])) for i in range(300)]
+    pdf = spark.createDataFrame(readings, "circuit string, id long, ts timestamp_ntz, pressure double, drop_5s double")
+    rdf = spark.createDataFrame(runs, "circuit string, id long, begin timestamp_ntz, baseline double")
+    got = {r["id"]: (r["beyond"]["pid"], r["beyond"]["r"]) for r in leaktests.first_beyond(rdf, pdf, 3.0, 10.0, fan=4).collect()}
+    want = {}
+    for circuit, run, begin, base in runs:
+        for _, pid, _, pressure, drop in sorted((x for x in readings if x[0] == circuit and x[2] >= begin), key=lambda x: (x[2], x[1])):
+            fall = None if base is None or pressure is None else base - pressure
+            r = 4 if fall is not None and fall < -3 else 9 if drop is not None and drop > 10 else 3 if fall is not None and fall > 3 else None
+            if r:
+                want[run] = (pid, r)
+                break
+    assert got == want and 0 < len(want) < 300

@@ -2,19 +2,61 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.operators.intervals import as_of, range_join
+from tidewatch.operators.intervals import as_of
 from tidewatch.operators.lifecycle import first_from, took_effect
 from tidewatch.operators.rules import LEAK_RESULTS
-from tidewatch.operators.series import running, seconds
+from tidewatch.operators.series import numbered, running, seconds
 from tidewatch.sources.history import kept
 
 #: Seconds that the pressure settles in before the baseline is taken, and that a valve may travel.
 SETTLE, TRAVEL = 60, 15
 
 
+def first_beyond(runs: DataFrame, pressures: DataFrame, threshold: float, rapid: float, fan: int = 64) -> DataFrame:
+    """(id, beyond): the first reading (t, pid, r) of each run from begin on that ends it by its pressure, with the result; runs that none ends are left out.
+
+    runs: (circuit, id, begin, baseline); pressures: (circuit, id, ts, pressure, drop_5s). Readings are numbered, and ``fan`` of them are one node with the
+    largest and least pressure and the largest drop, ``fan`` nodes one of the next level, and so on. A run looks through the rest of its node, then through the
+    rest of the node above, until one holds such a reading, and down again: it meets twice as many nodes as there are levels, however long it lasts.
+    """
+    at = numbered(pressures, "circuit", ["ts", "id"], "pos").withColumn("n", F.col("pos") - 1)
+    group = F.floor(F.col("n") / fan).alias("g")
+    leaf = F.struct("n", F.col("pressure").alias("hi"), F.col("pressure").alias("lo"), F.col("drop_5s").alias("drop"), seconds(F.col("ts")).alias("t"), F.col("id").alias("pid"))
+    levels = [kept(at.groupBy("circuit", group).agg(F.array_sort(F.collect_list(leaf)).alias("own")), "nodes")]
+    while levels[-1].where("g > 0").limit(1).count():
+        of = lambda c: F.transform("own", lambda x: x[c])
+        node = F.struct(F.col("g").alias("n"), F.array_max(of("hi")).alias("hi"), F.array_min(of("lo")).alias("lo"), F.array_max(of("drop")).alias("drop"))
+        nodes = levels[-1].select("circuit", node.alias("x"))
+        levels.append(kept(nodes.groupBy("circuit", F.floor(F.col("x.n") / fan).alias("g")).agg(F.array_sort(F.collect_list("x")).alias("own")), "nodes"))
+
+    def result(x: Column) -> Column:
+        base = F.col("baseline")
+        return F.when(-(base - x["hi"]) > threshold, LEAK_RESULTS["pressure_rose"]).when(x["drop"] > rapid, LEAK_RESULTS["rapid_drop"]).when(base - x["lo"] > threshold, LEAK_RESULTS["failed"])
+
+    def looked(own: DataFrame, level: int) -> DataFrame:
+        """own with hit, the first node from n on of the node g that holds such a reading."""
+        met = own.join(levels[level], ["circuit", "g"], "left")
+        return met.withColumn("hit", F.get(F.filter("own", lambda x: (x["n"] >= F.col("n")) & result(x).isNotNull()), F.lit(0))).drop("own", "g")
+
+    before = runs.select("circuit", "id", "baseline", (F.col("begin") - F.expr("interval 1 microsecond")).alias("__before"))
+    places = kept(at.select("circuit", "id", F.col("ts").alias("at"), "pos"), "places")
+    own = as_of(before, places, "circuit", "__before", "id", "at", "pos", "__pos").select("circuit", "id", "baseline", F.coalesce("__pos", F.lit(0)).cast("long").alias("n"))
+    hits: list[DataFrame] = []
+    for level in range(len(levels)):
+        tried = kept(looked(own.withColumn("g", group), level), "tried")
+        hits.append(tried.where("hit is not null").select("circuit", "id", "baseline", F.col("hit.n").alias("n")) if level else tried.where("hit is not null"))
+        own = tried.where("hit is null").select("circuit", "id", "baseline", (F.floor(F.col("n") / fan) + 1).alias("n"))
+    found = hits.pop()
+    for level in reversed(range(len(levels) - 1)):
+        down = looked(found.select("circuit", "id", "baseline", F.col("n").alias("g"), (F.col("n") * fan).alias("n")), level)
+        found = (down.select("circuit", "id", "baseline", F.col("hit.n").alias("n")) if level else down.select(*hits[0].columns)).unionByName(hits[level])
+        found = kept(found, "found")
+    return found.select("id", F.struct("hit.t", "hit.pid", result(F.col("hit")).alias("r")).alias("beyond"))
+
+
 def leak_test_history(commands: DataFrame, states: DataFrame, pressures: DataFrame, threshold: float = 3.0, rapid: float = 10.0) -> DataFrame:
     """(circuit, id, started_at, result, ended_at, baseline): every test that a run command asked for, by LEAK_RESULTS.
 
@@ -24,7 +66,8 @@ def leak_test_history(commands: DataFrame, states: DataFrame, pressures: DataFra
     a condition ends it: rise over the threshold, rapid drop, drop over the threshold, time over; a stop ends it before. A run that comes while a test
     is on does nothing. A test that nothing ends has no result yet (null).
 
-    Each run is followed to its end as if it had taken effect, all at once; those that did are found by doubling the pointers to the next run after each end.
+    Each run is followed to its end as if it had taken effect, all at once, by first_beyond(), so a long test does not meet each of its readings; those
+    that did take effect are found by doubling the pointers to the next run after each end.
     """
     keep = ["circuit", "id", "ts", "kind", "minutes"]
     own = commands.where("circuit is not null and ts is not null").select(*keep).withColumn("t", seconds(F.col("ts")))
@@ -32,22 +75,24 @@ def leak_test_history(commands: DataFrame, states: DataFrame, pressures: DataFra
     for role in ("open_stop", "closed_stop", "fault"):
         now = states.where(F.col("role") == role).select("circuit", "id", F.col("ts").alias("at"), "is_on")
         runs = as_of(runs, now, "circuit", "ts", "id", "at", "is_on", role)
+    pressures = kept(pressures.where("circuit is not null and ts is not null").select("circuit", "id", "ts", "pressure", "drop_5s"), "pressures")
     is_on = lambda c: F.coalesce(F.col(c), F.lit(False))
     refused = F.when(is_on("closed_stop") | ~is_on("open_stop"), LEAK_RESULTS["closed"]).when(is_on("fault"), LEAK_RESULTS["fault"])
     runs = runs.withColumns({"refused": refused, "begin": F.timestamp_micros(F.round((F.col("t") + SETTLE) * 1_000_000).cast("long")).cast(dict(commands.dtypes)["ts"])}).withColumn("over", F.col("t") + SETTLE + F.col("minutes") * 60)
     runs = kept(as_of(runs, pressures.select("circuit", "id", F.col("ts").alias("at"), "pressure"), "circuit", "begin", "id", "at", "pressure", "baseline"), "runs")
-    places = pressures.select("circuit", "id", seconds(F.col("ts")).alias("t"))
+    places = pressures.select("circuit", "id", seconds(F.col("ts")).alias("t"))  # the readings
     due = first_from(runs, "over", places, "due")  # the reading that ends it by time
     stopped = first_from(runs, "t", stops, "stopped")
     runs = runs.join(due, "id", "left").join(stopped, "id", "left")
     # a test is read up to the reading after its time, but one that no reading ends is read to the last there is
-    last = places.groupBy("circuit").agg(F.max("t").alias("last_t"))
-    runs = runs.join(last, "circuit", "left").withColumn("until", F.coalesce(F.col("due.t"), "last_t"))
-    open_runs = runs.where("refused is null and until is not null").withColumn("end", F.timestamp_micros(F.round(F.col("until") * 1_000_000).cast("long")).cast(dict(commands.dtypes)["ts"])).where("end >= begin")
-    samples = range_join(open_runs.select("circuit", F.col("id").alias("run"), "begin", "end", "baseline", "over"), pressures, "circuit", "begin", "end", "ts")
-    at, drop = seconds(F.col("point.ts")), F.col("baseline") - F.col("point.pressure")
-    verdict = F.when(-drop > threshold, LEAK_RESULTS["pressure_rose"]).when(F.col("point.drop_5s") > rapid, LEAK_RESULTS["rapid_drop"]).when(drop > threshold, LEAK_RESULTS["failed"]).when(at >= F.col("over"), LEAK_RESULTS["passed"])
-    found = samples.select("run", at.alias("t"), F.col("point.id").alias("pid"), verdict.alias("r")).where("r is not null").groupBy(F.col("run").alias("id")).agg(F.min(F.struct("t", "pid", "r")).alias("found"))
+    begin, at = F.col("begin_t"), lambda c: F.struct(f"{c}.t", f"{c}.pid")
+    runs = runs.withColumn("begin_t", seconds(F.col("begin")))
+    beyond = first_beyond(runs.where("refused is null"), pressures, threshold, rapid)
+    ends = runs.where("refused is null").select("id", "begin_t", "due").join(beyond, "id", "left")
+    ends = ends.withColumn("due", F.when(F.col("due.t") >= begin, F.struct(F.col("due.t").alias("t"), F.col("due.id").alias("pid"), F.lit(LEAK_RESULTS["passed"]).alias("r")))).withColumn("late", F.col("due").isNotNull() & (at("due") < at("beyond")))
+    # without a reading in its time a test whose end was due before it began has no result
+    ends = ends.join(runs.select("id", F.col("due.t").alias("until")), "id").where("until is null or until >= begin_t")
+    found = ends.select("id", F.when(F.col("beyond").isNull() | F.col("late"), F.col("due")).otherwise(F.col("beyond")).alias("found"))
     runs = runs.join(found, "id", "left")
     by_stop = F.col("stopped").isNotNull() & (F.col("found").isNull() | (F.col("stopped.t") <= F.col("found.t")))
     runs = runs.withColumns({
