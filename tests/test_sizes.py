@@ -69,3 +69,25 @@ def test_first_reading_that_ends_a_run_by_levels(spark):
                 want[run] = (pid, r)
                 break
     assert got == want and 0 < len(want) < 300
+
+
+def test_means_of_spans_without_pairs(spark):
+    """Against the pairs themselves: copies of spans, points at the ends, nulls, values that are no numbers, and a small value beside large ones."""
+    dice = random.Random(10)
+    points = [(dice.choice("ab"), T0 + timedelta(seconds=dice.randrange(2000)), dice.choice([None, 0.25, 3.1, 1e14]) if dice.random() < 0.99 else dice.choice([float("inf"), float("nan")])) for _ in range(400)]
+    spans = [(dice.randrange(60), dice.choice(["a", "b", None]), T0 + timedelta(seconds=(s := dice.randrange(2000))), T0 + timedelta(seconds=s + dice.choice([-90, -10, 0, 5, 400]))) for _ in range(90)]
+    pdf = spark.createDataFrame(points, "circuit string, ts timestamp_ntz, value double")
+    sdf = spark.createDataFrame(spans, "id long, circuit string, start_ts timestamp_ntz, end_ts timestamp_ntz")
+    got = {(r.id, r.circuit): (r.n, r.inside, r.baseline) for r in intervals.range_means(sdf, pdf, "circuit", "id", "start_ts", "end_ts", "ts", "value", 30.0).collect()}
+    want = {}
+    for i, c, start, end in spans:
+        for circuit, ts, v in points:
+            if circuit == c and start - timedelta(seconds=30) <= ts <= end:
+                own = want.setdefault((i, c), [0, [], []])
+                own[0] += 1
+                own[1] += [v] if v is not None and ts >= start else []
+                own[2] += [v] if v is not None and ts <= start else []
+    assert got.keys() == want.keys() and len(want) > 30
+    for k, (n, inside, base) in want.items():
+        mean = lambda x: float(np.mean(x)) if x else None
+        assert got[k][0] == n and all(a == b or a is not None and np.isclose(a, b, rtol=1e-12, equal_nan=True) for a, b in zip(got[k][1:], (mean(inside), mean(base)), strict=True)), k

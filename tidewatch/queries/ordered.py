@@ -203,9 +203,7 @@ def flt07(spark, d):
 @query("SELECT u.id, u.circuit, count(*) AS n, round(avg(r.value) FILTER (r.ts >= u.start_ts) + 1e-9, 4) AS inside, round(avg(r.value) FILTER (r.ts <= u.start_ts) + 1e-9, 4) AS baseline FROM u JOIN r ON r.circuit = u.circuit AND r.ts BETWEEN u.start_ts - INTERVAL 1800 SECOND AND u.end_ts GROUP BY ALL")
 def jn08(spark, d):
     u = usage_events(spark, d).select("id", "circuit", "start_ts", "end_ts")
-    joined = intervals.range_join(u, readings(spark, d).select("circuit", "ts", "value"), "circuit", "start_ts", "end_ts", "ts", 1800.0)
-    value, ts = F.col("point.value"), F.col("point.ts")
-    out = joined.groupBy("id", "circuit").agg(F.count("*").alias("n"), F.avg(F.when(ts >= F.col("start_ts"), value)).alias("inside"), F.avg(F.when(ts <= F.col("start_ts"), value)).alias("baseline"))
+    out = intervals.range_means(u, readings(spark, d).select("circuit", "ts", "value"), "circuit", "id", "start_ts", "end_ts", "ts", "value", 1800.0)
     return out.select("id", "circuit", "n", settled("inside", 4).alias("inside"), settled("baseline", 4).alias("baseline"))
 
 
