@@ -1,14 +1,16 @@
 """What only larger or denser tables show."""
 
 import random
+import time
 from datetime import datetime, timedelta
 
 import duckdb
 import numpy as np
 import pandas as pd
 
+from tests.plain_learner import PlainLearner
 from tidewatch import catalogue
-from tidewatch.operators import intervals, leaktests
+from tidewatch.operators import clustering, intervals, leaktests
 from tidewatch.operators import relational as rel
 from tidewatch.operators import signal
 
@@ -91,3 +93,20 @@ def test_means_of_spans_without_pairs(spark):
     for k, (n, inside, base) in want.items():
         mean = lambda x: float(np.mean(x)) if x else None
         assert got[k][0] == n and all(a == b or a is not None and np.isclose(a, b, rtol=1e-12, equal_nan=True) for a, b in zip(got[k][1:], (mean(inside), mean(base)), strict=True)), k
+
+
+def test_learner_equals_a_plain_one_in_less_time(spark):
+    """To the last bit, with few far groups and with many that overlap; the far ones, as in the tables, in well under the time."""
+    dice = np.random.default_rng(11)
+    for rows, most in ((dice.normal(0, 3.0, (2500, 9)), 0.7), (dice.normal(0, 0.9, (1500, 3)), None)):
+        took, found = [], []
+        for learner in (PlainLearner(1.5, 0.05), clustering.MicroClusters(1.5, 0.05)):
+            began = time.process_time()
+            own = []
+            for x in rows:
+                learner.learn(x)
+                own.append(learner.nearest(x))
+            took.append(time.process_time() - began)
+            found.append((own, {i: (g, c.tolist()) for i, (g, c) in learner.groups().items()}))
+        assert found[0] == found[1]
+        assert most is None or took[1] < most * took[0]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import sqrt
 
 import numpy as np
 import pandas as pd
@@ -136,49 +137,77 @@ def classified(rows: DataFrame) -> DataFrame:
 
 
 class MicroClusters:
-    """An online density-based learner: weighted micro-clusters that fade, and shared density between those that overlap."""
+    """An online density-based learner: weighted micro-clusters that fade, and shared density between those that overlap.
+
+    There are few micro-clusters at a time, in lists by their ids: a row costs few calls of small vectors, and powers of the fading are looked up by age.
+    """
 
     def __init__(self, radius: float = THRESHOLD, fading: float = FADING, every: int = 2, overlap: float = 0.3, least: float = 1.0) -> None:
         self.radius, self.fading, self.every, self.overlap, self.least = radius, fading, every, overlap, least
         self.t, self.next_id = 0, 0
-        self.centers: dict[int, np.ndarray] = {}
-        self.weights: dict[int, tuple[float, int]] = {}
+        self.ids: list[int] = []
+        self.centers: list[np.ndarray] = []
+        self.weights: list[tuple[float, int]] = []
         self.shared: dict[tuple[int, int], tuple[float, int]] = {}
+        self.powers: list[float] = []
 
     def _faded(self, at: tuple[float, int]) -> float:
-        return at[0] * 2 ** (-self.fading * (self.t - at[1]))
+        age = self.t - at[1]
+        while age >= len(self.powers):
+            self.powers.append(2 ** (-self.fading * len(self.powers)))
+        return at[0] * self.powers[age]
 
     def learn(self, x: np.ndarray) -> None:
         self.t += 1
-        hits = {i: d for i, c in self.centers.items() if (d := float(np.linalg.norm(c - x))) <= self.radius}
-        if not hits:
-            self.centers[self.next_id], self.weights[self.next_id] = x.copy(), (1.0, self.t)
+        radius, near = self.radius, []
+        for k, center in enumerate(self.centers):
+            gap = center - x
+            d = sqrt(gap.dot(gap))
+            if d <= radius:
+                near.append((k, d))
+        if not near:
+            self.ids.append(self.next_id)
+            self.centers.append(x.copy())
+            self.weights.append((1.0, self.t))
             self.next_id += 1
         else:
-            before = {i: self.centers[i] for i in hits}
-            for i, d in hits.items():
-                self.weights[i] = self._faded(self.weights[i]) + 1, self.t
-                self.centers[i] = before[i] + np.exp(-(d * d) / (2 * (self.radius / 3) ** 2)) * (x - before[i])
-            ids = sorted(hits)
-            for a in range(len(ids)):
-                for b in range(a + 1, len(ids)):
-                    pair = ids[a], ids[b]
+            before = [self.centers[k] for k, _ in near]
+            for (k, d), old in zip(near, before, strict=True):
+                self.weights[k] = self._faded(self.weights[k]) + 1, self.t
+                self.centers[k] = old + np.exp(-(d * d) / (2 * (radius / 3) ** 2)) * (x - old)
+            stays = [False] * len(near)
+            for a in range(len(near)):
+                for b in range(a + 1, len(near)):
+                    i, j = near[a][0], near[b][0]
+                    pair = self.ids[i], self.ids[j]
                     self.shared[pair] = self._faded(self.shared.get(pair, (0.0, self.t))) + 1, self.t
-                    if np.linalg.norm(self.centers[pair[0]] - self.centers[pair[1]]) < self.radius:
-                        self.centers[pair[0]], self.centers[pair[1]] = before[pair[0]], before[pair[1]]
+                    if stays[a] and stays[b]:
+                        continue  # both are where they were
+                    gap = self.centers[i] - self.centers[j]
+                    if sqrt(gap.dot(gap)) < radius:
+                        self.centers[i], self.centers[j], stays[a], stays[b] = before[a], before[b], True, True
         if self.t % self.every == 0:
             self._clean()
 
     def _clean(self) -> None:
         weak = 2 ** (-self.fading * self.every)
-        gone = {i for i, w in self.weights.items() if self._faded(w) < weak}
-        for i in gone:
-            del self.centers[i], self.weights[i]
-        self.shared = {p: s for p, s in self.shared.items() if not gone & set(p) and self._faded(s) >= weak * self.overlap}
-
-    def groups(self) -> dict[int, tuple[int, np.ndarray]]:
-        """(group, weighted center of the group) of each micro-cluster that is heavy enough; the group is its smallest member."""
-        own = {i: self._faded(w) for i, w in self.weights.items() if self._faded(w) >= self.least * 0.5}
+        keep = [k for k, w in enumerate(self.weights) if not self._faded(w) < weak]
+        if len(keep) < len(self.ids):
+            gone = set(self.ids) - {self.ids[k] for k in keep}
+            self.ids, self.centers, self.weights = [self.ids[k] for k in keep], [self.centers[k] for k in keep], [self.weights[k] for k in keep]
+            self.shared = {p: s for p, s in self.shared.items() if p[0] not in gone and p[1] not in gone}
+        if self.shared:
+            self.shared = {p: s for p, s in self.shared.items() if self._faded(s) >= weak * self.overlap}
+
+    def _groups(self) -> list[tuple[int, list[int], np.ndarray]]:
+        """(group, its members, its weighted center) of the micro-clusters that are heavy enough; the group is its smallest member."""
+        own = {}
+        for i, center, weight in zip(self.ids, self.centers, self.weights, strict=True):
+            w = self._faded(weight)
+            if w >= self.least * 0.5:
+                own[i] = w, center
+        if not self.shared:
+            return [(i, [i], center * w / w) for i, (w, center) in own.items()]
         root = {i: i for i in own}
 
         def find(i: int) -> int:
@@ -187,22 +216,29 @@ class MicroClusters:
             return i
 
         for (a, b), s in self.shared.items():
-            if a in own and b in own and self._faded(s) / ((own[a] + own[b]) / 2) >= self.overlap:
+            if a in own and b in own and self._faded(s) / ((own[a][0] + own[b][0]) / 2) >= self.overlap:
                 low, high = sorted((find(a), find(b)))
                 root[high] = low
         members: dict[int, list[int]] = {}
         for i in own:
             members.setdefault(find(i), []).append(i)
-        out = {}
+        out = []
         for g, ids in members.items():
-            w = np.array([own[i] for i in ids])
-            center = (np.stack([self.centers[i] for i in ids]) * w[:, None]).sum(0) / w.sum()
-            out |= {i: (g, center) for i in ids}
+            w = np.array([own[i][0] for i in ids])
+            out.append((g, ids, (np.stack([own[i][1] for i in ids]) * w[:, None]).sum(0) / w.sum()))
         return out
 
+    def groups(self) -> dict[int, tuple[int, np.ndarray]]:
+        """(group, weighted center of the group) of each micro-cluster that is heavy enough."""
+        return {i: (g, center) for g, ids, center in self._groups() for i in ids}
+
     def nearest(self, x: np.ndarray) -> tuple[int, float] | None:
-        groups = self.groups()
-        found = min(((float(np.linalg.norm(c - x)), g) for g, c in groups.values()), default=None)
+        found = None
+        for g, _, center in self._groups():
+            gap = center - x
+            at = sqrt(gap.dot(gap)), g
+            if found is None or at < found:
+                found = at
         return None if found is None else (found[1], found[0])
 
 
@@ -220,11 +256,12 @@ def learn_clusters(events: DataFrame, names: list[str], radius: float = THRESHOL
         for batch in batches:
             ids, distances = [], []
             values = batch[names].to_numpy(float)
-            for c, x in zip(batch["circuit"], values, strict=True):
+            complete = np.isfinite(values).all(axis=1)
+            for c, x, whole in zip(batch["circuit"], values, complete.tolist(), strict=True):
                 if c != circuit:
                     circuit, learner = c, MicroClusters(radius, fading)
                 found = None
-                if np.isfinite(x).all():
+                if whole:
                     learner.learn(x)
                     found = learner.nearest(x)
                 ids.append(found[0] if found else None)
