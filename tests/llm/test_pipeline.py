@@ -1,5 +1,6 @@
 """The pipeline against a plain version of its stages."""
 
+import random
 from collections import defaultdict
 
 import public_tokenizers
@@ -8,6 +9,7 @@ from tokenizers import Tokenizer
 import corpus_pipeline
 from tests.llm import brute
 from tidewatch.llm import pii
+from tidewatch.llm.ngram_join import first_of_each
 from tidewatch.llm.queries import rule_pieces, rule_vocabularies
 from tidewatch.llm.quality import fertility_rules
 
@@ -67,3 +69,38 @@ def test_stages_on_odd_rows(spark):
         if name != "pack":
             assert out.columns == corpus_pipeline.COLUMNS
         assert stage(spark, docs.where("false"), SF).count() == 0
+
+
+def shuffled(spark):
+    """Bytes that all stages so far have written for a shuffle."""
+    jvm = spark._jvm
+    none = spark.sparkContext._gateway.new_array(jvm.double, 0)
+    stages = spark._jsc.sc().statusStore().stageList(None, False, False, none, jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+def test_near_duplicates_do_not_shuffle_the_texts(spark):
+    """Only rows that the bitmaps leave open are joined, so what the join writes does not grow with the texts."""
+    dice = random.Random(3)
+    texts = [" ".join(f"{dice.getrandbits(40):x}" for _ in range(200)) for _ in range(300)]
+    docs = spark.createDataFrame([(i, texts[i % 300], "en", "s", 1) for i in range(400)], "doc_id long, text string, lang string, source string, n_chars long")
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as with more ids than may be broadcast
+    try:
+        out = corpus_pipeline.near_duplicates(spark, docs, SF)
+        before = shuffled(spark)
+        rows = out.collect()
+        assert shuffled(spark) - before < 100_000 < sum(map(len, texts)) // 5
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert sorted((r.doc_id, r.text) for r in rows) == list(enumerate(texts))
+
+
+def test_first_of_each_where_ids_share_a_cell(spark):
+    """Ids that stay and ids that go in one cell, an id whose rows do both, ids below zero and none: as the plain join."""
+    far = lambda i: (1 << 26) + (i ^ 1)  # noqa: E731, the cell of i
+    groups = [(5, 5), (far(5), 5), (far(7), 7), (7, 7), (8, 8), (far(8), far(8)), (9, 5), (11, 11), (11, 5), (-3, -3), (-4, -3), (1 << 62, 5), ((1 << 62) + 1, (1 << 62) + 1), (None, 5), (None, None)]
+    docs = spark.createDataFrame([(i, str(n)) for n, (i, _) in enumerate(groups)], "doc_id long, text string")
+    stay = {i for i, c in groups if i is not None and i == c}
+    got = first_of_each(docs, spark.createDataFrame(groups, "doc_id long, component_id long")).collect()
+    assert sorted(r.text for r in got) == sorted(str(n) for n, (i, _) in enumerate(groups) if i is None or i in stay)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import WordHasher, binary_column, materialize, mix, release, shingles, text_slices
+from tidewatch.llm.common import WordHasher, binary_column, free_prefix, materialize, mix, release, shingles, text_slices
 from tidewatch.llm.components import connected_components
 
 #: A shingle that more sets hold comes late in the global order.
@@ -390,3 +390,22 @@ def _linked(all_sets: DataFrame, nodes: DataFrame, pairs: DataFrame, percent: in
     links = materialize(_verified(pairs, needed, percent), "links")
     release(needed)
     return links
+
+
+def first_of_each(docs: DataFrame, groups: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """The rows of docs whose id names its own component in groups, which is jaccard_components(docs); all rows of such an id, and those without an id.
+
+    Ids that stay and ids that go set bits of two bitmaps of fixed size, 8 MB each at most. A row whose cell only one kind holds is decided where it
+    lies; only the texts of the others are shuffled, to be joined by id. Ids far beyond 2 ** BITS fill both bitmaps; then all rows are joined.
+    """
+    own = free_prefix(docs, groups)
+    cell = lambda c: f"((cast({c} as long) ^ shiftright(cast({c} as long), {BITS})) & {(1 << BITS) - 1})"
+    stays = f"{id_col} = component_id"
+    bits = [F.expr(f"bitmap_construct_agg({cell(id_col)} % 32768) FILTER (WHERE {which})").alias(f"{own}{c}") for c, which in (("stay", stays), ("go", f"not {stays}"))]
+    cells = groups.where(f"{id_col} is not null").groupBy(F.expr(f"{cell(id_col)} div 32768").alias(f"{own}part")).agg(*bits)
+    placed = docs.withColumn(f"{own}part", F.expr(f"{cell(id_col)} div 32768")).join(F.broadcast(cells), f"{own}part", "left")
+    held = lambda c: f"getbit(cast(conv(hex(substring({own}{c}, cast({cell(id_col)} % 32768 div 8 as int) + 1, 1)), 16, 10) as int), cast({cell(id_col)} % 8 as int)) = 1"
+    sure = placed.where(f"not coalesce({held('go')}, false)").select(*docs.columns)
+    unsure = placed.where(f"{held('go')} and {held('stay')}").select(*docs.columns)
+    # The ids that stay grow with the documents: no broadcast. A semi-join would be moved below the bitmaps, and all texts shuffled.
+    return sure.unionByName(unsure.join(groups.where(stays).select(id_col).distinct().hint("merge"), id_col).select(*docs.columns))
